@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 from pixelmill.operators.ordered import running
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
+def _shifted(logits: str | Column, classes: int, temperature: float) -> list[Column]:
+    """Logits over the temperature, minus their maximum so that exp cannot overflow.
 
-
-def softmax(logits: str | Column, temperature: float = 1.0) -> Column:
-    """Class probabilities, shifted by the maximum so that exp cannot overflow."""
+    One scalar expression per class keeps the work inside generated code; the
+    array functions with lambdas would be interpreted.
+    """
     a = F.col(logits) if isinstance(logits, str) else logits
     top = F.array_max(a)
-    e = F.transform(a, lambda v: F.exp((v - top) / temperature))
-    return F.transform(e, lambda v: v / _sum(e))
+    return [(a[i] - top) / temperature for i in range(classes)]
 
 
-def log_softmax(logits: str | Column, temperature: float = 1.0) -> Column:
-    a = F.col(logits) if isinstance(logits, str) else logits
-    top = F.array_max(a)
-    lse = F.log(_sum(F.transform(a, lambda v: F.exp((v - top) / temperature))))
-    return F.transform(a, lambda v: (v - top) / temperature - lse)
+def _total(cols: Sequence[Column]) -> Column:
+    return sum(cols[1:], cols[0])
+
+
+def softmax(logits: str | Column, classes: int = 3, temperature: float = 1.0) -> Column:
+    """Class probabilities."""
+    e = [F.exp(v) for v in _shifted(logits, classes, temperature)]
+    return F.array(*[v / _total(e) for v in e])
+
+
+def log_softmax(logits: str | Column, classes: int = 3, temperature: float = 1.0) -> list[Column]:
+    z = _shifted(logits, classes, temperature)
+    lse = F.log(_total([F.exp(v) for v in z]))
+    return [v - lse for v in z]
 
 
 def argmax(array: str | Column) -> Column:
@@ -35,8 +43,8 @@ def argmax(array: str | Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def softmax_argmax(df: DataFrame, logits: str = "logits") -> DataFrame:
-    return df.withColumns({"prob": softmax(logits), "pred": argmax(logits)})
+def softmax_argmax(df: DataFrame, logits: str = "logits", classes: int = 3) -> DataFrame:
+    return df.withColumns({"prob": softmax(logits, classes), "pred": argmax(logits)})
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -82,7 +90,7 @@ def weighted_log_loss(
 ) -> DataFrame:
     """Class-weighted cross-entropy, mean over valid pixels."""
     w = F.array(*[F.lit(float(v)) for v in weights])[F.col(gt)]
-    loss = -log_softmax(logits)[F.col(gt)] * w
+    loss = -F.array(*log_softmax(logits, len(weights)))[F.col(gt)] * w
     return (
         df.filter(F.col(gt) != ignore)
         .groupBy(*by)
@@ -155,15 +163,17 @@ def kl_distill(
     alpha: float,
     temperature: float,
     by: Sequence[str] = (),
+    classes: int = 3,
     student: str = "logits",
     teacher: str = "teacher",
     gt: str = "gt",
 ) -> DataFrame:
     """alpha * CE + (1 - alpha) * KL(teacher || student) * T^2, averaged over pixels."""
-    ls, lt = log_softmax(student, temperature), log_softmax(teacher, temperature)
-    kl = _sum(F.zip_with(ls, lt, lambda s, t: F.exp(t) * (t - s)))
+    ls = log_softmax(student, classes, temperature)
+    lt = log_softmax(teacher, classes, temperature)
+    kl = _total([F.exp(t) * (t - s) for s, t in zip(ls, lt)])
     agg = df.groupBy(*by).agg(
-        F.avg(-log_softmax(student)[F.col(gt)]).alias("ce"),
+        F.avg(-F.array(*log_softmax(student, classes))[F.col(gt)]).alias("ce"),
         (F.avg(kl) * temperature * temperature).alias("kl"),
     )
     return agg.withColumn("total", alpha * F.col("ce") + (1 - alpha) * F.col("kl"))

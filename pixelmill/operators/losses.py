@@ -119,7 +119,8 @@ def lovasz_score(
         df.filter(F.col(gt) != ignore)
         .select(
             *by,
-            F.posexplode(F.col(prob)).alias("cls", "_p"),
+            # outer: no size filter is inferred that would repeat the prob expression
+            F.posexplode_outer(F.col(prob)).alias("cls", "_p"),
             F.col(gt).alias("_gt"),
         )
         .select(

@@ -49,7 +49,9 @@ def normal(rows, cols):
 
 
 def compare(name, sdf, con, sql):
+    t0 = time.time()
     scols, srows = sdf.columns, [tuple(r) for r in sdf.collect()]
+    t1 = time.time()
     stypes = dict(sdf.dtypes)
     if sql is None:
         return f"rows-only n={len(srows)}", len(srows) > 0
@@ -57,6 +59,7 @@ def compare(name, sdf, con, sql):
     dcols = [d[0] for d in cur.description]
     dtypes = {d[0]: str(d[1]) for d in cur.description}
     drows = cur.fetchall()
+    clock = f" [collect {t1 - t0:.1f}s sql {time.time() - t1:.1f}s]"
     if sorted(scols) != sorted(dcols):
         return f"columns differ: spark={sorted(scols)} duck={sorted(dcols)}", False
     same = {
@@ -68,7 +71,7 @@ def compare(name, sdf, con, sql):
     if len(a) != len(b):
         return f"row counts differ: spark={len(a)} duck={len(b)}", False
     diff = [(x, y) for x, y in zip(a, b) if x != y]
-    note = f"n={len(a)}"
+    note = f"n={len(a)}{clock}"
     if not a:
         return "EMPTY", False
     if diff:

@@ -1,2 +1,2 @@
 from pixelmill.plans.registry import REGISTRY  # noqa: F401
-from pixelmill.plans import metrics, recode, losses, stats  # noqa: F401
+from pixelmill.plans import metrics, recode, losses, stats, windows  # noqa: F401

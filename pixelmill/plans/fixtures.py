@@ -308,19 +308,23 @@ CONTENT = """content AS (
 
 
 def sign_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, protected, hash): 64 sign bits of an embedding as a signed 64-bit integer."""
-    bits = F.aggregate(
-        F.transform(F.col("embedding"), lambda v: F.when(v > 0, 1).otherwise(0).cast("bigint")),
-        F.lit(0).cast("bigint"),
-        lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit),
+    """(id, protected, hash): signs of neighbouring-pair sums of an embedding, as an integer."""
+    e = F.col("embedding")
+    bits = F.transform(
+        F.sequence(F.lit(0), F.lit(31)),
+        lambda k: F.when(F.get(e, 2 * k) + F.get(e, 2 * k + 1) > 0, 1).otherwise(0).cast("bigint"),
+    )
+    packed = F.aggregate(
+        bits, F.lit(0).cast("bigint"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit)
     )
     return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), (F.col("label") == 0).alias("protected"), bits.alias("hash")
+        F.col("vec_id").alias("id"), (F.col("label") == 0).alias("protected"), packed.alias("hash")
     )
 
 
 HASHES = """hashes AS (SELECT vec_id AS id, label = 0 AS protected,
-  array_to_string(list_transform(embedding, lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), '') AS bits
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(32), lambda k:
+    CASE WHEN embedding[2*k+1] + embedding[2*k+2] > 0 THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, b: a*2 + b) AS hash
   FROM embeddings)"""
 
 

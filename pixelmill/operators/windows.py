@@ -29,8 +29,8 @@ def runs(df: DataFrame, mask: Column, axis: str = "x", frame: str = "frame_id")
     w = Window.partitionBy(frame, line).orderBy(axis)
     fg = df.filter(mask).select(frame, F.col(line), F.col(axis))
     return (
-        fg.withColumn("_k", F.col(axis) - F.row_number().over(w))
-        .groupBy(frame, line, "_k")
+        fg.withColumn("_win_k", F.col(axis) - F.row_number().over(w))
+        .groupBy(frame, line, "_win_k")
         .agg(F.min(axis).alias("start"), F.max(axis).alias("stop"))
         .select(frame, F.col(line).alias("line"), "start", "stop")
     )
@@ -110,13 +110,13 @@ def box_stats(
     """Local mean, population std and count in a win x win box."""
     v = value.cast("double")
     d = box_sums(
-        df, {"_s": v, "_q": v * v, "_n": F.lit(1).cast("bigint")}, win, size, border, frame
+        df, {"_win_s": v, "_win_q": v * v, "_win_n": F.lit(1).cast("bigint")}, win, size, border, frame
     )
-    mean = F.col("_s") / F.col("_n")
-    var = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
+    mean = F.col("_win_s") / F.col("_win_n")
+    var = F.greatest(F.col("_win_q") / F.col("_win_n") - mean * mean, F.lit(0.0))
     return d.withColumns(
-        {f"{prefix}_mean": mean, f"{prefix}_std": F.sqrt(var), f"{prefix}_n": F.col("_n")}
-    ).drop("_s", "_q", "_n")
+        {f"{prefix}_mean": mean, f"{prefix}_std": F.sqrt(var), f"{prefix}_n": F.col("_win_n")}
+    ).drop("_win_s", "_win_q", "_win_n")
 
 
 def masked_contrast(
@@ -134,19 +134,19 @@ def masked_contrast(
     d = box_sums(
         df,
         {
-            "_fs": F.when(mask, v).otherwise(0.0),
-            "_bs": F.when(mask, 0.0).otherwise(v),
-            "_fn": F.when(mask, one).otherwise(0),
-            "_bn": F.when(mask, 0).otherwise(one),
+            "_win_fs": F.when(mask, v).otherwise(0.0),
+            "_win_bs": F.when(mask, 0.0).otherwise(v),
+            "_win_fn": F.when(mask, one).otherwise(0),
+            "_win_bn": F.when(mask, 0).otherwise(one),
         },
         win,
         size,
         "reflect",
         frame,
     )
-    ok = (F.col("_bn") >= min_bg) & (F.col("_fn") >= 1)
-    gap = F.abs(F.col("_fs") / F.col("_fn") - F.col("_bs") / F.col("_bn"))
-    return d.withColumn(out, F.when(ok, gap)).drop("_fs", "_bs", "_fn", "_bn")
+    ok = (F.col("_win_bn") >= min_bg) & (F.col("_win_fn") >= 1)
+    gap = F.abs(F.col("_win_fs") / F.col("_win_fn") - F.col("_win_bs") / F.col("_win_bn"))
+    return d.withColumn(out, F.when(ok, gap)).drop("_win_fs", "_win_bs", "_win_fn", "_win_bn")
 
 
 def stencil(df: DataFrame, value: Column, frame: str = "frame_id") -> DataFrame:
@@ -154,23 +154,23 @@ def stencil(df: DataFrame, value: Column, frame: str = "frame_id") -> DataFrame:
 
     The Laplacian is the diagonal form 2, 0, 2 / 0, -8, 0 / 2, 0, 2.
     """
-    d = df.withColumn("_c", value.cast("double"))
+    d = df.withColumn("_win_c", value.cast("double"))
     r, c = _row(frame), _col(frame)
     d = d.withColumns(
         {
-            "_l": F.coalesce(F.lag("_c").over(r), F.lead("_c").over(r)),
-            "_r": F.coalesce(F.lead("_c").over(r), F.lag("_c").over(r)),
+            "_win_l": F.coalesce(F.lag("_win_c").over(r), F.lead("_win_c").over(r)),
+            "_win_r": F.coalesce(F.lead("_win_c").over(r), F.lag("_win_c").over(r)),
         }
     )
     near = {}
-    for n in ("_l", "_c", "_r"):
+    for n in ("_win_l", "_win_c", "_win_r"):
         near[f"{n}u"] = F.coalesce(F.lag(n).over(c), F.lead(n).over(c))
         near[f"{n}d"] = F.coalesce(F.lead(n).over(c), F.lag(n).over(c))
     d = d.withColumns(near)
-    q = {n: F.col(n) for n in ("_l", "_c", "_r", *near)}
-    gx = (q["_ru"] + 2 * q["_r"] + q["_rd"]) - (q["_lu"] + 2 * q["_l"] + q["_ld"])
-    gy = (q["_ld"] + 2 * q["_cd"] + q["_rd"]) - (q["_lu"] + 2 * q["_cu"] + q["_ru"])
-    lap = 2 * (q["_lu"] + q["_ru"] + q["_ld"] + q["_rd"]) - 8 * q["_c"]
+    q = {n: F.col(n) for n in ("_win_l", "_win_c", "_win_r", *near)}
+    gx = (q["_win_ru"] + 2 * q["_win_r"] + q["_win_rd"]) - (q["_win_lu"] + 2 * q["_win_l"] + q["_win_ld"])
+    gy = (q["_win_ld"] + 2 * q["_win_cd"] + q["_win_rd"]) - (q["_win_lu"] + 2 * q["_win_cu"] + q["_win_ru"])
+    lap = 2 * (q["_win_lu"] + q["_win_ru"] + q["_win_ld"] + q["_win_rd"]) - 8 * q["_win_c"]
     d = d.withColumns({"gx": gx, "gy": gy, "lap": lap})
     return d.withColumn("grad", F.hypot("gx", "gy")).drop(*q)
 
@@ -181,9 +181,9 @@ def laplacian_variance(
 ) -> DataFrame:
     """Variance of the Laplacian in a box: local texture."""
     d = stencil(df, value, frame).drop("gx", "gy", "grad")
-    d = box_stats(d, F.col("lap"), win, size, "reflect", frame, "_lv")
-    return d.withColumn(out, F.col("_lv_std") * F.col("_lv_std")).drop(
-        "_lv_mean", "_lv_std", "_lv_n", "lap"
+    d = box_stats(d, F.col("lap"), win, size, "reflect", frame, "_win_lv")
+    return d.withColumn(out, F.col("_win_lv_std") * F.col("_win_lv_std")).drop(
+        "_win_lv_mean", "_win_lv_std", "_win_lv_n", "lap"
     )
 
 
@@ -192,18 +192,18 @@ def local_range(
 ) -> DataFrame:
     """Local max minus local min in a box cut at the frame edge."""
     half = win // 2
-    d = df.withColumns({"_hi": value.cast("double"), "_lo": value.cast("double")})
+    d = df.withColumns({"_win_hi": value.cast("double"), "_win_lo": value.cast("double")})
     for over in (_row(frame), _col(frame)):
         box = over.rangeBetween(-half, half)
-        d = d.withColumns({"_hi": F.max("_hi").over(box), "_lo": F.min("_lo").over(box)})
-    return d.withColumn(out, F.col("_hi") - F.col("_lo")).drop("_hi", "_lo")
+        d = d.withColumns({"_win_hi": F.max("_win_hi").over(box), "_win_lo": F.min("_win_lo").over(box)})
+    return d.withColumn(out, F.col("_win_hi") - F.col("_win_lo")).drop("_win_hi", "_win_lo")
 
 
 def edge_width(df: DataFrame, value: Column, win: int = 5, frame: str = "frame_id") -> DataFrame:
     """Gradient magnitude and the width proxy range / (gradient + 0.001)."""
     d = stencil(df, value, frame).drop("gx", "gy", "lap")
-    d = local_range(d, value, win, frame, "_range")
-    return d.withColumn("edge_width", F.col("_range") / (F.col("grad") + 1e-3)).drop("_range")
+    d = local_range(d, value, win, frame, "_win_range")
+    return d.withColumn("edge_width", F.col("_win_range") / (F.col("grad") + 1e-3)).drop("_win_range")
 
 
 def local_max(df: DataFrame, value: str, win: int, frame: str = "frame_id", out: str = "peak"):
@@ -230,7 +230,7 @@ def _morph_once(df, column, kernel, k, grow, frame):
         d = df.withColumn(column, agg(column).over(over_row.rangeBetween(-k, k)))
         return d.withColumn(column, agg(column).over(over_col.rangeBetween(-k, k)))
     widths = _half_widths(kernel, k)
-    names = {hw: f"_m{hw}" for hw in sorted(set(widths.values()))}
+    names = {hw: f"_win_m{hw}" for hw in sorted(set(widths.values()))}
     d = df.withColumns(
         {n: agg(column).over(over_row.rangeBetween(-hw, hw)) for hw, n in names.items()}
     )
@@ -272,9 +272,9 @@ def boundary_band(
     df: DataFrame, mask: Column, k: int, frame: str = "frame_id", out: str = "band"
 ) -> DataFrame:
     """1 within k pixels of the mask boundary, inside or outside."""
-    d = morph(df, mask, "dilate", k, "ellipse", frame, "_dil")
-    d = morph(d, mask, "erode", k, "ellipse", frame, "_ero")
-    return d.withColumn(out, F.col("_dil") * (1 - F.col("_ero"))).drop("_dil", "_ero")
+    d = morph(df, mask, "dilate", k, "ellipse", frame, "_win_dil")
+    d = morph(d, mask, "erode", k, "ellipse", frame, "_win_ero")
+    return d.withColumn(out, F.col("_win_dil") * (1 - F.col("_win_ero"))).drop("_win_dil", "_win_ero")
 
 
 def ring(
@@ -282,12 +282,12 @@ def ring(
     out: str = "ring", kernel: str = "square",
 ) -> DataFrame:
     """1 in the band between ``inner`` and ``outer`` pixels outside the mask."""
-    d = morph(df, mask, "dilate", outer, kernel, frame, "_out")
+    d = morph(df, mask, "dilate", outer, kernel, frame, "_win_out")
     if inner:
-        d = morph(d, mask, "dilate", inner, kernel, frame, "_in")
+        d = morph(d, mask, "dilate", inner, kernel, frame, "_win_in")
     else:
-        d = d.withColumn("_in", mask.cast("int"))
-    return d.withColumn(out, F.col("_out") - F.col("_in")).drop("_out", "_in")
+        d = d.withColumn("_win_in", mask.cast("int"))
+    return d.withColumn(out, F.col("_win_out") - F.col("_win_in")).drop("_win_out", "_win_in")
 
 
 def arc_length(
@@ -298,8 +298,8 @@ def arc_length(
     sq = sum(
         ((F.col(a) - F.lag(a).over(w)) * (F.col(a) - F.lag(a).over(w)) for a in axes), F.lit(0.0)
     )
-    d = nodes.withColumn("_step", F.coalesce(F.sqrt(sq), F.lit(0.0)))
-    return d.withColumn("arc", F.sum("_step").over(w)).drop("_step")
+    d = nodes.withColumn("_win_step", F.coalesce(F.sqrt(sq), F.lit(0.0)))
+    return d.withColumn("arc", F.sum("_win_step").over(w)).drop("_win_step")
 
 
 def frame_displacement(
@@ -318,13 +318,13 @@ def frame_displacement(
     for a in axes:
         bad = bad | F.isnan(a) | (F.abs(F.col(a)) == float("inf")) | F.col(a).isNull()
     per = (
-        points.withColumns({"_d": F.sqrt(sq), "_bad": bad})
+        points.withColumns({"_win_d": F.sqrt(sq), "_win_bad": bad})
         .groupBy(clip, frame)
         .agg(
             F.count(F.lit(1)).alias("points"),
-            F.avg("_d").alias("mean_d"),
-            F.max("_d").alias("max_d"),
-            F.count_if("_bad").alias("bad"),
+            F.avg("_win_d").alias("mean_d"),
+            F.max("_win_d").alias("max_d"),
+            F.count_if("_win_bad").alias("bad"),
         )
     )
     return per.groupBy(clip).agg(

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.functions.seeded import normal, uniform
+from pixelmill.operators.components import components
+from pixelmill.operators.distance import value_of_nearest
+from pixelmill.operators.ordered import exact_percentiles, row_index
+from pixelmill.operators.windows import morph
+from pixelmill.session import cut_lineage
+
 AXES = ("px", "py", "pz")
 
 
@@ -34,3 +42,654 @@ def directional_light(
         for c in channels
     }
     return j.withColumns(lit).drop(*[f"_c{a}" for a in AXES])
+
+
+# Render frustum and view directions.
+FRUSTUM, IMG_H, IMG_W = 1.1, 480, 640
+NEAR_MM, RANGE_MM = 500.0, 1000.0
+
+
+def view_matrix(look: Sequence[float], up: Sequence[float]) -> list[list[float]]:
+    """Rows right, down, forward of an orthographic camera, in world coordinates."""
+
+    def unit(v):
+        n = math.sqrt(sum(c * c for c in v))
+        return [c / n for c in v]
+
+    def cross(a, b):
+        return [
+            a[1] * b[2] - a[2] * b[1],
+            a[2] * b[0] - a[0] * b[2],
+            a[0] * b[1] - a[1] * b[0],
+        ]
+
+    forward = unit(look)
+    right = unit(cross(forward, up))
+    return [right, cross(forward, right), forward]
+
+
+def _rotation(view: Column, views: dict[str, list[list[float]]]) -> Column:
+    """Nine numbers of a view's matrix from a literal map (as many rows as views)."""
+    items = []
+    for name, m in views.items():
+        items += [F.lit(name), F.array(*[F.lit(float(c)) for row in m for c in row])]
+    return F.create_map(*items)[view]
+
+
+def project(points: DataFrame, views: dict[str, list[list[float]]]) -> DataFrame:
+    """Camera coordinates cx, cy, cz of every point in every view, added to the row."""
+    names = F.array(*[F.lit(v) for v in views])
+    d = points.withColumn("view", F.explode(names))
+    d = d.withColumn("_r", _rotation(F.col("view"), views))
+    dots = {
+        out: sum((F.col(a) * F.col("_r")[3 * i + j] for j, a in enumerate(AXES)), F.lit(0.0))
+        for i, out in enumerate(("cx", "cy", "cz"))
+    }
+    return d.withColumns(dots).drop("_r")
+
+
+def _scale(size: tuple[int, int]) -> float:
+    return size[0] / (2 * FRUSTUM)
+
+
+def to_pixel(df: DataFrame, size: tuple[int, int] = (IMG_H, IMG_W)) -> DataFrame:
+    """Add rounded pixel u, v, quantised depth_mm and in_frustum to projected points."""
+    s, (h, w) = _scale(size), size
+    mm = (F.col("cz") + FRUSTUM) / (2 * FRUSTUM) * RANGE_MM + NEAR_MM
+    return df.withColumns(
+        {
+            "u": F.rint(F.col("cx") * s + w / 2.0).cast("int"),
+            "v": F.rint(F.col("cy") * s + h / 2.0).cast("int"),
+            "depth_mm": F.floor(F.greatest(F.lit(0.0), F.least(F.lit(65535.0), mm))).cast("int"),
+            "in_frustum": F.col("cz").between(-FRUSTUM, FRUSTUM),
+        }
+    )
+
+
+def _disc(r: int) -> list[tuple[int, int]]:
+    span = range(-r, r + 1)
+    return [(dx, dy) for dy in span for dx in span if dx * dx + dy * dy <= r * r]
+
+
+def z_buffer(
+    projected: DataFrame,
+    size: tuple[int, int] = (IMG_H, IMG_W),
+    keys: Sequence[str] = ("sample_id", "view"),
+    radius: int = 1,
+    big_label: int = 3,
+    big_scale: float = 1.0,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Nearest point per pixel: (keys.., y, x, depth_mm, point_id, label6, carry..).
+
+    Each point is splatted as a disc, a bigger one for ``big_label`` when ``big_scale``
+    exceeds 1. Ties in depth go to the lower point id. A minimum per pixel, so it
+    combines map-side and does not depend on order.
+    """
+    h, w = size
+
+    def offsets(r):
+        return F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in _disc(r)])
+
+    splat = offsets(radius)
+    if big_scale > 1.0:
+        span = 2 * radius + 1
+        big = max(radius + 1, round((span * big_scale - 1) / 2.0))
+        splat = F.when(F.col("label") == big_label, offsets(big)).otherwise(splat)
+    d = to_pixel(projected, size).filter("in_frustum").withColumn("_o", F.explode(splat))
+    d = d.withColumns({"x": F.col("u") + F.col("_o.dx"), "y": F.col("v") + F.col("_o.dy")})
+    d = d.filter(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    label6 = F.when(F.col("label").between(0, 4), F.col("label") + 1).otherwise(0)
+    best = F.min(F.struct("depth_mm", "point_id", label6.alias("label6"), *carry))
+    return d.groupBy(*keys, "y", "x").agg(best.alias("_b")).select(*keys, "y", "x", "_b.*")
+
+
+def dense(
+    df: DataFrame, size: tuple[int, int], keys: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """Every pixel of every frame that has at least one row; missing values are 0."""
+    h, w = size
+    frames = df.select(*keys).distinct()
+    cells = frames.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("_i"))
+    grid = cells.select(
+        *keys,
+        F.floor(F.col("_i") / w).cast("int").alias("y"),
+        (F.col("_i") % w).alias("x"),
+        *[F.lit(0).cast(df.schema[v].dataType).alias(v) for v in values],
+        F.lit(False).alias("_hit"),
+    )
+    rows = grid.unionByName(df.select(*keys, "y", "x", *values, F.lit(True).alias("_hit")))
+    best = F.max(F.struct("_hit", *values))
+    return rows.groupBy(*keys, "y", "x").agg(best.alias("_b")).select(
+        *keys, "y", "x", *[F.col(f"_b.{v}").alias(v) for v in values]
+    )
+
+
+def fill_gaps(
+    df: DataFrame, frame: str, depth: str = "depth_mm", values: Sequence[str] = ("label6",)
+) -> DataFrame:
+    """Close one-pixel gaps of a dense depth frame from the nearest valid pixel."""
+    valid = F.col(depth) > 0
+    d = morph(df, valid, "close", 1, "square", frame, "_closed")
+    cols = [depth, *values]
+    d = value_of_nearest(d, valid, cols, 2, frame, "_near")
+    fill = (F.col("_closed") == 1) & (F.col(depth) == 0)
+    d = d.withColumn("filled", fill.cast("int"))
+    d = d.withColumns(
+        {c: F.when(F.col("filled") == 1, F.col(f"{c}_near")).otherwise(F.col(c)) for c in cols}
+    )
+    return d.drop("_closed", "dist", *[f"{c}_near" for c in cols])
+
+
+def unproject(
+    pixels: DataFrame, views: dict[str, list[list[float]]], size: tuple[int, int] = (IMG_H, IMG_W)
+) -> DataFrame:
+    """Pixels with depth back to world points px, py, pz."""
+    s, (h, w) = _scale(size), size
+    d = pixels.filter(F.col("depth_mm") > 0).withColumn("_r", _rotation(F.col("view"), views))
+    cam = [
+        (F.col("x") - w / 2.0) / s,
+        (F.col("y") - h / 2.0) / s,
+        (F.col("depth_mm") - NEAR_MM) / RANGE_MM * (2 * FRUSTUM) - FRUSTUM,
+    ]
+    world = {
+        a: sum((c * F.col("_r")[3 * i + j] for i, c in enumerate(cam)), F.lit(0.0))
+        for j, a in enumerate(AXES)
+    }
+    return d.withColumns(world).drop("_r")
+
+
+def backproject_pinhole(
+    pixels: DataFrame, fx: float, fy: float, cx: float, cy: float,
+    unit_m: float = 0.001, z_min: float = 0.1, z_max: float = 3.0,
+) -> DataFrame:
+    """Valid-depth pixels to camera-frame metres."""
+    z = F.col("depth_mm") * unit_m
+    d = pixels.filter((F.col("depth_mm") > 0) & z.between(z_min, z_max))
+    return d.withColumns(
+        {
+            "px": (F.col("x") - cx) / fx * z,
+            "py": (F.col("y") - cy) / fy * z,
+            "pz": z.cast("double"),
+        }
+    )
+
+
+def normalise_cloud(points: DataFrame, by: Sequence[str] = ("sample_id",), fill: float = 0.9):
+    """Centre on the mean and scale the largest half extent to ``fill`` of the frustum."""
+    mean = points.groupBy(*by).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
+    d = points.join(mean, list(by))
+    d = d.withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop(*[f"_m{a}" for a in AXES])
+    half = d.groupBy(*by).agg(F.max(F.greatest(*[F.abs(a) for a in AXES])).alias("_h"))
+    k = fill * FRUSTUM / F.greatest(F.col("_h"), F.lit(1e-9))
+    return d.join(half, list(by)).withColumns({a: F.col(a) * k for a in AXES}).drop("_h")
+
+
+def local_frame(points: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Centre X and Z on their box, put the lowest Y at 0, scale the longest extent to 1."""
+    aggs = []
+    for a in AXES:
+        aggs += [F.min(a).alias(f"_lo{a}"), F.max(a).alias(f"_hi{a}")]
+    d = points.join(points.groupBy(*by).agg(*aggs), list(by))
+    extent = F.greatest(*[F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in AXES], F.lit(1e-9))
+    zero = {
+        a: F.col(f"_lo{a}") if a == "py" else (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2 for a in AXES
+    }
+    d = d.withColumn("_e", extent)
+    d = d.withColumns({a: (F.col(a) - zero[a]) / F.col("_e") for a in AXES})
+    return d.drop("_e", *[f"_{s}{a}" for s in ("lo", "hi") for a in AXES])
+
+
+def crop_axis(points: DataFrame, axis: str, lo: float, hi: float) -> DataFrame:
+    return points.filter(F.col(axis).between(lo, hi))
+
+
+# The six canonical views, look direction and up vector.
+CANONICAL_VIEWS = {
+    "front": ((0, 0, -1), (0, 1, 0)),
+    "back": ((0, 0, 1), (0, 1, 0)),
+    "right": ((1, 0, 0), (0, 1, 0)),
+    "left": ((-1, 0, 0), (0, 1, 0)),
+    "top": ((0, -1, 0), (0, 0, -1)),
+    "bottom": ((0, 1, 0), (0, 0, 1)),
+}
+
+
+def canonical_views() -> dict[str, list[list[float]]]:
+    return {name: view_matrix(look, up) for name, (look, up) in CANONICAL_VIEWS.items()}
+
+
+# ---- neighbours
+
+
+def _cells(df: DataFrame, size: float, spread: int, axes: Sequence[str] = AXES) -> DataFrame:
+    """Add integer cell columns _k0.._k2; with ``spread`` also the neighbouring cells."""
+    for i, a in enumerate(axes):
+        c = F.floor(F.col(a) / size)
+        if spread:
+            c = F.explode(F.array(*[c + s for s in range(-spread, spread + 1)]))
+        df = df.withColumn(f"_k{i}", c)
+    return df
+
+
+_KEYS = ["_k0", "_k1", "_k2"]
+
+
+def _dist2(a: str = "", b: str = "_b_") -> Column:
+    return sum(
+        ((F.col(f"{a}{x}") - F.col(f"{b}{x}")) * (F.col(f"{a}{x}") - F.col(f"{b}{x}")) for x in AXES),
+        F.lit(0.0),
+    )
+
+
+def _right(b: DataFrame, by, id_b, carry):
+    return b.select(
+        *by, F.col(id_b).alias("_bid"), *[F.col(x).alias(f"_b_{x}") for x in AXES],
+        *[F.col(c).alias(f"near_{c}") for c in carry],
+    )
+
+
+def _right_cells(right: DataFrame, size: float, spread: int = 0) -> DataFrame:
+    return _cells(right, size, spread, [f"_b_{x}" for x in AXES])
+
+
+def nearest_point(
+    a: DataFrame,
+    b: DataFrame,
+    k: int = 1,
+    by: Sequence[str] = ("sample_id",),
+    id_a: Sequence[str] = ("point_id",),
+    id_b: str = "point_id",
+    cell: float = 0.25,
+    carry: Sequence[str] = (),
+    exclude_self: bool = False,
+) -> DataFrame:
+    """The k nearest points of ``b`` for each row of ``a``: (by.., id_a.., rank, near_id,
+    distance, near_<carry>..). Ties go to the lower id.
+
+    Points meet through a cell grid. A row is settled at cell size s when its k-th
+    neighbour lies within s, because the 27 cells around it cover that radius; the
+    others go on with cells twice as large. The smaller side is the one expanded.
+    """
+    by, id_a = list(by), list(id_a)
+    right = _right(b, by, id_b, carry)
+    left = cut_lineage(a.select(*by, *id_a, *AXES))
+    facts = [F.count(F.lit(1))] + [F.max(F.abs(x)) for x in AXES]
+    n_left, *far_a = left.agg(*facts).first()
+    n_right, *far_b = b.agg(*facts).first()
+    stop = 4.0 * (sum(v for v in (*far_a, *far_b) if v is not None) + cell)
+    done, size = None, cell
+    while True:
+        last = size > stop
+        # the side with fewer rows is entered in the 27 cells around it
+        if n_left <= n_right:
+            pairs = _cells(left, size, 1).join(_right_cells(right, size, 0), [*by, *_KEYS])
+        else:
+            pairs = _cells(left, size, 0).join(_right_cells(right, size, 1), [*by, *_KEYS])
+        if exclude_self:
+            pairs = pairs.filter(F.col(id_a[-1]) != F.col("_bid"))
+        pairs = pairs.select(
+            *by, *id_a, _dist2().alias("_d2"), "_bid", *[f"near_{c}" for c in carry]
+        )
+        if k == 1:
+            best = F.min(F.struct("_d2", "_bid", *[f"near_{c}" for c in carry]))
+            top = pairs.groupBy(*by, *id_a).agg(best.alias("_t"))
+            top = top.select(*by, *id_a, F.lit(1).alias("rank"), "_t.*")
+        else:
+            w = Window.partitionBy(*by, *id_a).orderBy("_d2", "_bid")
+            top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if not last:
+            settled = (
+                top.filter((F.col("rank") == k) & (F.col("_d2") <= size * size))
+                .select(*by, *id_a)
+            )
+            top = top.join(settled, [*by, *id_a], "left_semi")
+        top = cut_lineage(top)
+        done = top if done is None else done.unionByName(top)
+        if last:
+            break
+        left = cut_lineage(left.join(top.select(*by, *id_a).distinct(), [*by, *id_a], "left_anti"))
+        n_left = left.count()
+        if not n_left:
+            break
+        size *= 2.0
+    return done.select(
+        *by, *id_a, "rank", F.col("_bid").alias("near_id"), F.sqrt("_d2").alias("distance"),
+        *[f"near_{c}" for c in carry],
+    )
+
+
+def within_radius(
+    a: DataFrame,
+    b: DataFrame,
+    r: float,
+    k: int | None = None,
+    by: Sequence[str] = ("sample_id",),
+    id_a: Sequence[str] = ("point_id",),
+    id_b: str = "point_id",
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Points of ``b`` within r of each row of ``a``; with k the first k by id."""
+    by, id_a = list(by), list(id_a)
+    left = _cells(a.select(*by, *id_a, *AXES), r, 1)
+    pairs = left.join(_right_cells(_right(b, by, id_b, carry), r), [*by, *_KEYS])
+    pairs = pairs.withColumn("_d2", _dist2()).filter(F.col("_d2") <= r * r)
+    out = pairs.select(
+        *by, *id_a, F.col("_bid").alias("near_id"), F.sqrt("_d2").alias("distance"),
+        *[f"near_{c}" for c in carry],
+    )
+    if k is None:
+        return out
+    w = Window.partitionBy(*by, *id_a).orderBy("near_id")
+    return out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def bind_to_edge(
+    points: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    by: Sequence[str] = ("sample_id",),
+    cell: float = 0.25,
+) -> DataFrame:
+    """Nearest skeleton segment per point: (by.., point_id, a, b, t, weight_a, weight_b,
+    ox, oy, oz, distance). Ties go to the lower (a, b).
+
+    A segment is entered in every cell its box touches after growing it by the cell size
+    s, so each segment within s of a point shares the point's cell. Points whose best
+    segment is further away go on with cells twice as large.
+    """
+    by = list(by)
+    e = edges.select(*by, "a", "b")
+    for end in ("a", "b"):
+        n = nodes.select(
+            *by, F.col("node_id").alias(end), *[F.col(c).alias(f"_{end}{c[1]}") for c in ("nx", "ny", "nz")]
+        )
+        e = e.join(n, [*by, end])
+    xyz = ("x", "y", "z")
+    left = points.select(*by, "point_id", *AXES)
+    span = e.agg(*[F.max(F.abs(F.col(f"_a{c}"))).alias(c) for c in xyz],
+                 *[F.max(F.abs(F.col(f"_b{c}"))).alias(f"b{c}") for c in xyz]).first()
+    away = left.agg(*[F.max(F.abs(F.col(a))) for a in AXES]).first()
+    stop = 4.0 * sum(v for v in (*span, *away) if v is not None) + cell
+    done, size = None, cell
+    while True:
+        last = size > stop
+        grown = e
+        for i, c in enumerate(xyz):
+            lo = F.floor((F.least(f"_a{c}", f"_b{c}") - size) / size)
+            hi = F.floor((F.greatest(f"_a{c}", f"_b{c}") + size) / size)
+            grown = grown.withColumn(f"_k{i}", F.explode(F.sequence(lo, hi)))
+        j = _cells(left, size, 0).join(grown, [*by, *_KEYS])
+        ev = {c: F.col(f"_b{c}") - F.col(f"_a{c}") for c in xyz}
+        pv = {c: F.col(f"p{c}") - F.col(f"_a{c}") for c in xyz}
+        len2 = F.greatest(sum((ev[c] * ev[c] for c in xyz), F.lit(0.0)), F.lit(1e-12))
+        t = F.greatest(
+            F.lit(0.0), F.least(F.lit(1.0), sum((pv[c] * ev[c] for c in xyz), F.lit(0.0)) / len2)
+        )
+        j = j.withColumn("t", t)
+        off = {f"o{c}": pv[c] - F.col("t") * ev[c] for c in xyz}
+        j = j.withColumns(off).withColumn(
+            "_d2", sum((F.col(f"o{c}") * F.col(f"o{c}") for c in xyz), F.lit(0.0))
+        )
+        best = F.min(F.struct("_d2", "a", "b", "t", "ox", "oy", "oz"))
+        top = j.groupBy(*by, "point_id").agg(best.alias("_t")).select(*by, "point_id", "_t.*")
+        if not last:
+            top = top.filter(F.col("_d2") <= size * size)
+        top = cut_lineage(top)
+        done = top if done is None else done.unionByName(top)
+        if last:
+            break
+        left = cut_lineage(left.join(top.select(*by, "point_id"), [*by, "point_id"], "left_anti"))
+        if left.isEmpty():
+            break
+        size *= 2.0
+    return done.select(
+        *by, "point_id", "a", "b", "t", (1.0 - F.col("t")).alias("weight_a"),
+        F.col("t").alias("weight_b"), "ox", "oy", "oz", F.sqrt("_d2").alias("distance"),
+    )
+
+
+# ---- checks built on neighbours
+
+
+def roundtrip_error(
+    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), cell: float = 0.05,
+    sample: str = "sample_id",
+) -> DataFrame:
+    """Unproject every pixel, find its nearest original point: mean, p95, max per view."""
+    world = unproject(pixels, views, size)
+    near = nearest_point(world, points, 1, [sample], ["view", "y", "x"], cell=cell)
+    pct = exact_percentiles(near, [sample, "view"], "distance", {"p95": 0.95})
+    base = near.groupBy(sample, "view").agg(
+        F.avg("distance").alias("mean"), F.max("distance").alias("max")
+    )
+    return base.join(pct, [sample, "view"])
+
+
+def view_coverage(points: DataFrame, views, size=(IMG_H, IMG_W), sample: str = "sample_id"):
+    """Share of points inside the image and the depth range in at least one view."""
+    h, w = size
+    p = to_pixel(project(points, views), size)
+    s = _scale(size)
+    u, v = F.col("cx") * s + w / 2.0, F.col("cy") * s + h / 2.0
+    inside = F.col("in_frustum") & (u >= 0) & (u < w) & (v >= 0) & (v < h)
+    per = p.groupBy(sample, "point_id").agg(F.max(inside.cast("int")).alias("_in"))
+    return per.groupBy(sample).agg(
+        F.count(F.lit(1)).alias("points"),
+        F.sum("_in").cast("bigint").alias("visible"),
+        F.avg("_in").alias("coverage"),
+    )
+
+
+def label_consistency(
+    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), cell: float = 0.05,
+    sample: str = "sample_id",
+) -> DataFrame:
+    """(label6, n, agree, share): does a pixel carry the label of its nearest point."""
+    world = unproject(pixels, views, size)
+    near = nearest_point(
+        world, points, 1, [sample], ["view", "y", "x"], cell=cell, carry=["label"]
+    )
+    j = near.join(pixels.select(sample, "view", "y", "x", "label6"), [sample, "view", "y", "x"])
+    own = F.col("near_label") + 1 == F.col("label6")
+    return j.groupBy("label6").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(own).alias("agree"),
+        (F.count_if(own) / F.count(F.lit(1))).alias("share"),
+    )
+
+
+def cross_view_error(
+    pixels: DataFrame, views, pairs: Sequence[tuple[str, str]], size=(IMG_H, IMG_W),
+    limit: float = 0.008, sample: str = "sample_id",
+) -> DataFrame:
+    """Opposing views: mean distance of pixels that meet within ``limit``, per pair."""
+    h, w = size
+    world = unproject(pixels, views, size)
+    # One flat id per pixel of a view, so neighbours can be told apart and ordered.
+    world = world.withColumn("_pid", F.col("y").cast("bigint") * w + F.col("x"))
+    tags = [
+        F.struct(
+            F.lit(f"{a}-{b}").alias("pair"),
+            F.lit(a).alias("_first"),
+            F.lit(b).alias("_second"),
+        )
+        for a, b in pairs
+    ]
+    both = world.select("*", F.inline(F.array(*tags)))
+    first = both.filter(F.col("view") == F.col("_first"))
+    second = both.filter(F.col("view") == F.col("_second"))
+    near = within_radius(first, second, limit, None, [sample, "pair"], ["_pid"], "_pid")
+    best = near.groupBy(sample, "pair", "_pid").agg(F.min("distance").alias("d"))
+    best = best.filter(F.col("d") < limit)
+    return best.groupBy(sample, "pair").agg(
+        F.count(F.lit(1)).alias("matches"), F.avg("d").alias("mean_error")
+    )
+
+
+def depth_envelope(
+    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), slack: float = 2.0,
+    sample: str = "sample_id",
+) -> DataFrame:
+    """Rendered depth range inside the projected range (plus slack) and the valid range."""
+    mm = (F.col("cz") + FRUSTUM) / (2 * FRUSTUM) * RANGE_MM + NEAR_MM
+    want = project(points, views).groupBy(sample, "view").agg(
+        F.min(mm).alias("expected_min"), F.max(mm).alias("expected_max")
+    )
+    got = pixels.filter(F.col("depth_mm") > 0).groupBy(sample, "view").agg(
+        F.min("depth_mm").alias("actual_min"),
+        F.max("depth_mm").alias("actual_max"),
+        F.avg("depth_mm").alias("actual_mean"),
+    )
+    lo, hi = F.col("expected_min") - slack, F.col("expected_max") + slack
+    ok = (
+        (F.col("actual_min") >= F.greatest(lo, F.lit(NEAR_MM)))
+        & (F.col("actual_max") <= F.least(hi, F.lit(NEAR_MM + RANGE_MM)))
+        & F.col("actual_mean").between(lo, hi)
+    )
+    return want.join(got, [sample, "view"]).withColumn("passed", ok)
+
+
+def cloud_coverage(
+    a: DataFrame, b: DataFrame, thr: float, by: Sequence[str] = ("sample_id",), cell: float = 0.25
+) -> DataFrame:
+    """Per class of ``a``: share with a point of ``b`` nearer than thr; distance spread."""
+    near = nearest_point(a, b, 1, by, ["point_id"], cell=cell)
+    j = near.join(a.select(*by, "point_id", "label"), [*by, "point_id"])
+    base = j.groupBy("label").agg(
+        F.avg((F.col("distance") < thr).cast("double")).alias("coverage"),
+        F.avg("distance").alias("mean"),
+        F.max("distance").alias("max"),
+    )
+    return base.join(exact_percentiles(j, ["label"], "distance", {"median": 0.5}), "label")
+
+
+def dbscan(
+    points: DataFrame,
+    eps: float | dict[int, float],
+    min_samples: int = 3,
+    by: Sequence[str] = ("sample_id", "label"),
+) -> DataFrame:
+    """(by.., point_id, cluster): the lowest core id of the cluster, -1 for noise.
+
+    ``eps`` may depend on ``label``. A border point joins the lowest-numbered cluster
+    with a core point in reach. Neighbours include the point itself.
+    """
+    by = list(by)
+    parts = [(eps, points)]
+    if isinstance(eps, dict):
+        parts = [(r, points.filter(F.col("label") == lab)) for lab, r in eps.items()]
+    near = None
+    for r, p in parts:
+        part = within_radius(p, p, r, None, by, ["point_id"])
+        near = part if near is None else near.unionByName(part)
+    near = cut_lineage(near.select(*by, "point_id", "near_id"))
+    core = (
+        near.groupBy(*by, "point_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") >= min_samples)
+        .select(*by, "point_id")
+    )
+    reach = near.join(core.withColumnRenamed("point_id", "near_id"), [*by, "near_id"])
+    links = reach.join(core, [*by, "point_id"]).filter(F.col("point_id") < F.col("near_id"))
+    comp = components(
+        core,
+        links.select(*by, F.col("point_id").alias("a"), F.col("near_id").alias("b")),
+        by,
+        "point_id",
+    )
+    owner = comp.select(*by, F.col("point_id").alias("near_id"), "component")
+    best = (
+        reach.join(owner, [*by, "near_id"])
+        .groupBy(*by, "point_id")
+        .agg(F.min("component").alias("_border"))
+    )
+    out = points.select(*by, "point_id").join(best, [*by, "point_id"], "left")
+    own = comp.withColumnRenamed("component", "_own")
+    out = out.join(own, [*by, "point_id"], "left")
+    return out.select(
+        *by, "point_id", F.coalesce("_own", "_border", F.lit(-1)).cast("bigint").alias("cluster")
+    )
+
+
+def statistical_outliers(
+    points: DataFrame, k: int, ratio: float, by: Sequence[str] = ("sample_id",), cell: float = 0.25
+) -> DataFrame:
+    """Points with their mean distance to k neighbours (itself included) and ``keep``:
+    below the cloud's mean + ratio * sample std."""
+    near = nearest_point(points, points, k, by, ["point_id"], cell=cell)
+    mean = near.groupBy(*by, "point_id").agg(F.avg("distance").alias("mean_distance"))
+    stats = mean.groupBy(*by).agg(
+        F.avg("mean_distance").alias("_m"), F.stddev_samp("mean_distance").alias("_s")
+    )
+    limit = F.col("_m") + ratio * F.coalesce(F.col("_s"), F.lit(0.0))
+    return mean.join(stats, list(by)).withColumn("keep", F.col("mean_distance") <= limit).drop(
+        "_m", "_s"
+    )
+
+
+def densify(
+    points: DataFrame, target: int, frac: float, seed: int, by: Sequence[str] = ("sample_id",)
+) -> DataFrame:
+    """Replicate points with spacing-scaled jitter until a cloud has ``target`` points."""
+    by = list(by)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    extent = sum(((F.max(a) - F.min(a)) for a in AXES[1:]), F.max(AXES[0]) - F.min(AXES[0])) / 3.0
+    size = points.groupBy(*by).agg(*aggs, extent.alias("_e"))
+    n = F.col("_n")
+    d = row_index(points, by, ["point_id"], "_i").join(size, by)
+    reps = F.greatest(F.ceil(F.lit(target) / n), F.lit(1)).cast("int")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), reps - 1)))
+    d = d.filter((F.col("copy") == 0) | (F.col("copy") * n + F.col("_i") < target))
+    std = frac * F.col("_e") / F.greatest(F.pow(n.cast("double"), F.lit(1.0 / 3.0)), F.lit(1.0))
+    moved = {
+        a: F.col(a)
+        + F.when(F.col("copy") > 0, std * normal(f"{seed}/{a}", *by, "point_id", "copy")).otherwise(0.0)
+        for a in AXES
+    }
+    return d.withColumns(moved).drop("_i", "_n", "_e")
+
+
+def augment_cloud(points: DataFrame, seed: int, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Per cloud a turn about Z and a scale in 0.8..1.2, per point a jitter of 0.01."""
+    theta = uniform(f"{seed}/turn", *by) * (2.0 * math.pi)
+    scale = 0.8 + 0.4 * uniform(f"{seed}/scale", *by)
+    x, y, z = (F.col(a) for a in AXES)
+    turned = {
+        "px": (F.cos(theta) * x - F.sin(theta) * y) * scale,
+        "py": (F.sin(theta) * x + F.cos(theta) * y) * scale,
+        "pz": z * scale,
+    }
+    return points.withColumns(
+        {a: v + 0.01 * normal(f"{seed}/{a}", *by, "point_id") for a, v in turned.items()}
+    )
+
+
+def distance_preservation(
+    points: DataFrame, pairs: int, seed: int, clip: str = "clip", frame: str = "frame"
+) -> DataFrame:
+    """Relative change of sampled pair distances against the first frame of each clip.
+
+    Pairs are drawn with replacement by hash; point ids have to be 0..n-1.
+    """
+    sizes = points.groupBy(clip).agg(
+        (F.max("point_id") + 1).alias("_n"), F.min(frame).alias("_f0")
+    )
+    draw = sizes.select(clip, "_n", "_f0", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("pair"))
+    draw = draw.select(
+        clip,
+        "_f0",
+        "pair",
+        F.floor(uniform(f"{seed}/i", clip, "pair") * F.col("_n")).cast("int").alias("i"),
+        F.floor(uniform(f"{seed}/j", clip, "pair") * F.col("_n")).cast("int").alias("j"),
+    )
+    p = points.select(clip, frame, "point_id", *AXES)
+    a = p.withColumnRenamed("point_id", "i")
+    b = p.select(clip, frame, F.col("point_id").alias("j"), *[F.col(x).alias(f"_b_{x}") for x in AXES])
+    d = draw.join(a, [clip, "i"]).join(b, [clip, frame, "j"]).withColumn("_d", F.sqrt(_dist2()))
+    first = d.filter(F.col(frame) == F.col("_f0")).select(clip, "pair", F.col("_d").alias("_d0"))
+    rel = F.abs(F.col("_d") - F.col("_d0")) / (F.col("_d0") + 1e-8)
+    per = d.join(first, [clip, "pair"]).groupBy(clip, frame).agg(F.avg(rel).alias("_r"))
+    return per.groupBy(clip).agg(
+        F.avg("_r").alias("mean_relative_change"), F.max("_r").alias("max_relative_change")
+    )

@@ -26,6 +26,11 @@ def _frame_ids(spark: SparkSession, sf: str, name: str = "frame_id") -> DataFram
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (frame, y, x); a frame per row of ``part``."""
+    return frame_pixels(_frame_ids(spark, sf))
+
+
+def frame_pixels(ids: DataFrame) -> DataFrame:
+    """Pixel rows of the frames in ``ids``; also works on a stream of ids."""
     p, y, x = F.col("frame_id"), F.col("y"), F.col("x")
 
     def axis_class(xx):
@@ -34,8 +39,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
         return F.when(con, 2).when(F.abs(xx - axis) <= p % 3, 1).otherwise(0)
 
     base = (
-        _frame_ids(spark, sf)
-        .select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))).alias("_i"))
+        ids.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))).alias("_i"))
         .select(
             "frame_id",
             F.floor(F.col("_i") / W).cast("int").alias("y"),

@@ -49,7 +49,7 @@ def matched_ab(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Per-frame decomposition of the difference between two models on one truth."""
-    flags = df.withColumns({"_g": gt, "_a": a, "_b": b})
+    flags = df.select(*by, frame, "y", "x", gt.alias("_g"), a.alias("_a"), b.alias("_b"))
     g, pa, pb = F.col("_g"), F.col("_a"), F.col("_b")
     d = mask_nearest(flags, g, math.ceil(mid), frame)
     dist = F.col("dist")
@@ -271,13 +271,16 @@ def failure_frames(
     halo_share.
     """
     c = colour.hsv()
-    d = df.withColumns(
-        {
-            "_g": gt,
-            "_p": pred,
-            "_l": colour.luma(),
-            "_c": colour.colour_bin(c["hue"], c["sat"], c["val"]),
-        }
+    # only what the rules look at travels through the window and distance passes
+    d = df.select(
+        *by,
+        frame,
+        "y",
+        "x",
+        gt.alias("_g"),
+        pred.alias("_p"),
+        colour.luma().alias("_l"),
+        colour.colour_bin(c["hue"], c["sat"], c["val"]).alias("_c"),
     )
     g, p = F.col("_g"), F.col("_p")
     d = wi.masked_contrast(d, F.col("_l"), g, win, size, min_bg, frame, "_contrast")
@@ -475,7 +478,8 @@ def domain_summary(
     df: DataFrame, mask: Column, by: str, frame: str = "frame_id", max_width: int = 40
 ) -> DataFrame:
     """Foreground share, width and colour of each dataset in ``by``."""
-    d = bl.ridge(df.withColumn("_m", mask), F.col("_m"), max_width, frame)
+    d = df.select(by, frame, "y", "x", *"bgr", mask.alias("_m"))
+    d = bl.ridge(d, F.col("_m"), max_width, frame)
     per = d.groupBy(by, frame).agg(
         (F.count_if("_m") / F.count(F.lit(1))).alias("fg"),
         F.median(F.when(F.col("ridge") == 1, 2.0 * F.col("inner"))).alias("width"),
@@ -518,14 +522,16 @@ def audit_frames(
     """One wide row per frame: coverage, object colours, widths, blob count and background
     brightness and colourfulness."""
     c = colour.hsv()
-    d = df.withColumns(
-        {
-            "_o": object_mask,
-            "_t": trained_mask,
-            "_n": noise,
-            "_c": colour.colour_bin(c["hue"], c["sat"], c["val"]),
-            "_l": colour.luma(),
-        }
+    d = df.select(
+        frame,
+        "y",
+        "x",
+        *"bgr",
+        object_mask.alias("_o"),
+        trained_mask.alias("_t"),
+        noise.alias("_n"),
+        colour.colour_bin(c["hue"], c["sat"], c["val"]).alias("_c"),
+        colour.luma().alias("_l"),
     )
     o, bg = F.col("_o"), ~F.col("_o")
     runs = bl.blob_runs(d, o, 8, frame)
@@ -579,7 +585,7 @@ def new_sharp_edges(
 ) -> DataFrame:
     """Per frame: pixels whose new gradient is among the strongest, narrow, and at least
     ``factor`` times the old one."""
-    d = df.withColumns({"_old": old, "_new": new, "_in": region})
+    d = df.select(frame, "y", "x", old.alias("_old"), new.alias("_new"), region.alias("_in"))
     d = wi.stencil(d, F.col("_old"), frame).drop("gx", "gy", "lap").withColumnRenamed("grad", "_go")
     d = wi.edge_width(d, F.col("_new"), 5, frame).withColumnsRenamed(
         {"grad": "_gn", "edge_width": "_wn"}
@@ -603,7 +609,8 @@ def strong_edge_widths(
     df: DataFrame, value: Column, region: Column, frame: str = "frame_id", top: float = 0.99
 ) -> DataFrame:
     """Edge widths at the strongest 1 % of gradients of a region, per frame."""
-    d = wi.edge_width(df.withColumns({"_v": value, "_in": region}), F.col("_v"), 5, frame)
+    d = df.select(frame, "y", "x", value.alias("_v"), region.alias("_in"))
+    d = wi.edge_width(d, F.col("_v"), 5, frame)
     m = F.col("_in") & (F.col("grad") > 0)
     thr = d.groupBy(frame).agg(F.percentile(F.when(m, F.col("grad")), F.lit(top)).alias("_thr"))
     return d.join(thr, frame).filter(m & (F.col("grad") >= F.col("_thr"))).select(frame, "edge_width")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,18 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh folder next to the checkpoints, which every executor can reach."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started."""
+    sc = spark.sparkContext
+    if any(p.startswith("pixelmill-") for p in sc._python_includes):
+        return
+    top = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        # Spark sends the file to all executors; the copy here is not read again
+        name = Path(folder) / f"pixelmill-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -68,10 +70,11 @@ def ship_package(spark: SparkSession) -> None:
     if any(p.startswith("pixelmill-") for p in sc._python_includes):
         return
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        # Spark sends the file to all executors; the copy here is not read again
-        name = Path(folder) / f"pixelmill-{uuid.uuid4().hex}.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(name))
+    # the driver serves this file to executors as they join, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = Path(folder) / f"pixelmill-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(name))

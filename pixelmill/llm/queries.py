@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import line_frequency, packing, sharding, token_counts, token_files
+from pixelmill.llm import jaccard, line_frequency, packing, sharding, token_counts, token_files
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -51,3 +51,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), limit=8 << 20)
+
+
+@query()
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import jaccard, line_frequency, packing, sharding, token_counts, token_files
+from pixelmill.llm import jaccard, line_frequency, packing, repeats, sharding, token_counts, token_files
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -56,3 +56,12 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
+@query()
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = repeats.recurring_passages(docs).withColumn("sha", F.sha2("kept_text", 256)).drop("kept_text")
+    rows = repeats.drop_repeats(found, docs.select("doc_id", "text"))
+    sha = F.when(F.col("_whole"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha"))
+    return rows.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))

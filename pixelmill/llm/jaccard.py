@@ -106,13 +106,23 @@ def _pack(buckets: int, words: int, chunk: int):
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 v, d = values[cuts[k] : cuts[k + 1]], doc[cuts[k] : cuts[k + 1]]
                 low, high = v.astype("<u4"), (v >> np.uint64(32)).astype("u1")
-                rows.append((k, part, low.tobytes(), high.tobytes(), d.astype("<u2").tobytes()))
+                rows.append((k, part, low.tobytes(), high.tobytes(), _steps(d)))
             yield _rows(_PACKED, rows)
             part += 1
 
     return run
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending small numbers as steps, which compress well: of a byte each if they fit."""
+    steps = np.diff(ascending.astype(np.int64), prepend=0)
+    return steps.astype("u1" if steps.max(initial=0) < 256 else "<u2").tobytes()
+
+
+def _from_steps(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, dtype="u1" if len(raw) == n else "<u2"), dtype=np.int64).astype("<u2")
+
+
 def _count(rows: pa.Table) -> pa.Table:
     """Of one bucket: the tokens that two documents or more have, with their frequency."""
     bucket = rows.column("bucket")[0].as_py()
@@ -122,7 +132,8 @@ def _count(rows: pa.Table) -> pa.Table:
         return _table(_SHARED, [(p, bucket, a, b, c, b"") for p, a, b, c in heads])
     low, row = _flat(rows.column("a"), "<u4")
     high, _ = _flat(rows.column("b"), "u1")
-    doc, _ = _flat(rows.column("c"), "<u2")
+    sizes = np.bincount(row, minlength=len(parts)).tolist()
+    doc = np.concatenate([_from_steps(c, n) for c, n in zip(rows.column("c").to_pylist(), sizes)])
     token = high.astype(np.uint64) << np.uint64(32) | low
     order = np.argsort(token, kind="stable")
     token = token[order]

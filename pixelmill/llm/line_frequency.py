@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.arrays import Words, is_space, lists, run_hash, signed, span_hashes, texts
@@ -81,7 +81,12 @@ class Lines:
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_ROW = "_row long, doc_id {kind}, host string, text_key long, line array<long>, line_words array<int>, " + _STATS
+_ROW = "_row long, row_key long, doc_id {kind}, host string, text_key long, line array<long>, line_words array<int>, " + _STATS
+
+
+def row_key(*columns: str) -> Column:
+    """Tells rows apart by what they hold; rows that are equal in ``columns`` have the same."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -106,6 +111,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column(2),
+                        own.column(4),
                         own.column(0),
                         own.column(3),
                         pa.array(signed(whole), pa.int64()),
@@ -122,6 +128,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.monotonically_increasing_id().alias("_row"),
         # null is a host of its own
         F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"),
+        row_key(doc_id, text, host).alias("row_key"),
     )
     return rows.mapInArrow(run, _ROW.format(kind=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -137,7 +144,7 @@ def line_frequency(
     text: str = "text",
     host: str = "source",
 ) -> DataFrame:
-    """(_row, doc_id, statistics, n_lines_removed, n_words_left, base_failed, kept) of every row.
+    """(_row, row_key, doc_id, statistics, n_lines_removed, n_words_left, base_failed, kept) of every row.
 
     A line goes if more than ``min_docs`` distinct documents of the host have it and they are
     more than ``max_share`` of the host's. Documents with the same text count once, so copies
@@ -147,7 +154,8 @@ def line_frequency(
     them is left.
 
     Null and empty texts have no words and fail. A null host is a host of its own. Repeated
-    rows are judged each. Other columns are not looked at. ``_row`` tells rows apart.
+    rows are judged each. Other columns are not looked at. ``_row`` tells rows apart; ``row_key``
+    finds the row again in ``docs``.
     """
     stats = cut_lineage(text_statistics(docs, doc_id, text, host))
     texts_ = stats.groupBy("host", "text_key").agg(F.min("doc_id").alias("first"), F.first("line").alias("line"))
@@ -178,6 +186,7 @@ def line_frequency(
     names = [c.split()[0] for c in _STATS.split(", ")]
     return stats.join(lost, "_row", "left").select(
         "_row",
+        "row_key",
         "doc_id",
         *names,
         F.coalesce("n_lines_removed", F.lit(0)).cast("long").alias("n_lines_removed"),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import jaccard, line_frequency, packing, repeats, sharding, token_counts, token_files
+from pixelmill.llm import containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, token_counts, token_files, transcripts
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -21,7 +21,7 @@ def _crc(ids: str = "ids"):
 
 @query()
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.line_frequency(documents(spark, sf_dir)).drop("_row")
+    return line_frequency.line_frequency(documents(spark, sf_dir)).drop("_row", "row_key")
 
 
 @query()
@@ -62,6 +62,36 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = repeats.recurring_passages(docs).withColumn("sha", F.sha2("kept_text", 256)).drop("kept_text")
-    rows = repeats.drop_repeats(found, docs.select("doc_id", "text"))
-    sha = F.when(F.col("_whole"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha"))
+    decided = repeats.decide(found, docs)
+    sha = F.when(F.col("whole"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha"))
+    rows = docs.select("doc_id", *repeats.keys()).join(decided, ["k1", "k2"])
     return rows.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
+
+
+@query()
+def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return containment.contained(documents(spark, sf_dir), items).drop("_row")
+
+
+def _held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = factorisation.train(docs.select("doc_id", "text"), labels.filter(~_held_out()))
+    scores = factorisation.score(docs, model)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scores.select("doc_id", _held_out().alias("held_out"), "score", predicted)
+
+
+@query()
+def op5_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    lines = transcripts.as_transcripts(turns)
+    model = transcripts.train(lines.filter(F.crc32(F.col("conv_id").cast("string")) % 4 != 2))
+    found = transcripts.recover_roles(lines.select("conv_id", "pos", "line"), model)
+    return transcripts.render_turns(found)

@@ -237,7 +237,7 @@ def recurring_passages(
     ``spans`` are the removed ranges of words, ``kept_text`` the other words joined by one
     space. A word goes if a window of ``window`` words covers it whose words also start
     anywhere else, in the same text too. That a whole text occurs in several rows is not
-    looked at here but in ``drop_repeats``. Memory: a part, which is ``part_bytes`` of texts
+    looked at here but in ``decide``. Memory: a part, which is ``part_bytes`` of texts
     or a single longer text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -257,18 +257,15 @@ def recurring_passages(
     return by_part.cogroup(known).applyInArrow(lambda t, k: _located(window, t, k), _OUT)
 
 
-def drop_repeats(passages: DataFrame, docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_removed and, of the passages' columns, all others but spans.
+def decide(passages: DataFrame, docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
+    """(k1, k2, n_words, n_removed, whole) and the passages' other columns, per distinct text.
 
-    Joins the result of ``recurring_passages`` to all rows. A text that several rows have is
-    removed whole from all of them, if it has a window at all. Null texts are empty. Repeated
-    rows and ids each stay; an empty table stays empty.
+    Adds to ``recurring_passages`` that a text which several rows of ``docs`` have is removed
+    whole from all of them, if it has a window at all. Rows find their text by ``keys``.
+    Null texts are empty. Repeated rows and ids each count; an empty table gives no rows.
     """
-    hashed = docs.withColumns(dict(zip(("_k1", "_k2"), keys(text))))
-    copies = hashed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies"))
-    at = [F.col("k1") == F.col("_k1"), F.col("k2") == F.col("_k2")]
-    cut = passages.join(copies, at).drop("k1", "k2")
-    whole = (F.col("_copies") > 1) & (F.col("n_words") >= window)
-    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["length"])
-    cut = cut.withColumn("n_removed", F.when(whole, F.col("n_words")).otherwise(removed.cast("long")))
-    return hashed.join(cut.withColumn("_whole", whole).drop("spans", "_copies"), ["_k1", "_k2"]).drop("_k1", "_k2")
+    copies = docs.select(*keys(text)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_copies"))
+    whole = ((F.col("_copies") > 1) & (F.col("n_words") >= window)).alias("whole")
+    cut = passages.join(copies, ["k1", "k2"]).select("*", whole)
+    spans = F.aggregate("spans", F.lit(0), lambda n, s: n + s["length"]).cast("long")
+    return cut.withColumn("n_removed", F.when(F.col("whole"), F.col("n_words")).otherwise(spans)).drop("_copies", "spans")

@@ -112,7 +112,7 @@ def pack(
     path: str,
     end_id: int = 1,
     window: int = 2048,
-    shard_tokens: int = 4_000_000,
+    shard_tokens: int = 2_000_000,
     terms: int = 32,
     most: int = 16,
     doc_id: str = "doc_id",
@@ -141,7 +141,7 @@ def pack(
             ids = [x for _, x, _, _ in some]
             lengths = np.array([len(x) + 1 for x in ids])
             slots = [s for _, _, s, _ in some]
-            docs_ = np.repeat(np.arange(len(ids)), [len(s) for s in slots])
+            docs_ = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in slots])
             index = Index(docs_, np.concatenate(slots), len(ids))
             windows = fill(lengths, index, window, terms, most)
             if windows and (n := sum(p[2] for p in windows[-1])) < window and n & (n - 1):
@@ -166,7 +166,8 @@ def pack(
                     if some and size + len(own) >= shard_tokens:
                         yield from shard()
                         some, size = [], 0
-                    some.append((key, own, e.slots[e.slot_range[i] : e.slot_range[i + 1]], kind))
+                    slots = e.slots[e.slot_range[i] : e.slot_range[i + 1]].astype(np.int32)
+                    some.append((key, own.copy(), slots, kind))
                     size += len(own) + 1
             known.trim()
         if some:

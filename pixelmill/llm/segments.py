@@ -78,7 +78,7 @@ class Kept:
     and the number of integers of each. ``trim`` starts anew beyond ``limit`` segments.
     """
 
-    def __init__(self, ask: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 3_000_000):
+    def __init__(self, ask: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 1_000_000):
         self.ask, self.dtype, self.limit = ask, dtype, limit
         self.clear()
 

@@ -230,7 +230,7 @@ def keys(text: str = "text") -> list:
 
 
 def recurring_passages(
-    docs: DataFrame, window: int = 35, part_bytes: int = 8 << 20, text: str = "text"
+    docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20, text: str = "text"
 ) -> DataFrame:
     """(k1, k2, n_words, spans, kept_text) per distinct text.
 

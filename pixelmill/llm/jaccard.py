@@ -190,7 +190,7 @@ def _collect(percent: int):
 
 
 def token_sets(
-    docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 2_000_000, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 1_000_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, node, shared, tokens, dfs) of every row.
 

@@ -201,6 +201,7 @@ def recover_roles(lines: DataFrame, model: Model, bucket_turns: int = 2000) -> D
         line.alias("line"),
         *[c.cast("int").alias(n) for n, c in line_features(line).items()],
     ).withColumn("chunk", F.floor(F.shiftright("pos", LINE_BITS) / CHUNK_TURNS).cast("long"))
+    rows = cut_lineage(rows)  # patterns are matched once
     top = rows.agg(F.max("chunk"), F.count(F.lit(1))).first()
     # chunks of many conversations share a group of bounded size
     groups = max(1, -(-(top[1] or 0) // (4 * bucket_turns)))
@@ -234,7 +235,7 @@ def recover_roles(lines: DataFrame, model: Model, bucket_turns: int = 2000) -> D
         firsts = rows.groupBy("conv_key").agg(F.min("chunk").alias("first"))
         level = rows.join(firsts, "conv_key").groupBy("bucket").applyInArrow(matrices, _LEVEL)
         known = rows.join(_chunk_ends(cut_lineage(level), firsts), ["conv_key", "chunk"])
-    states = known.groupBy("bucket").applyInArrow(paths, out)
+    states = cut_lineage(known.groupBy("bucket").applyInArrow(paths, out))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
     return states.select("conv_id", "pos", "line", role.alias("role"), (F.col("state") % 2 == 0).alias("opens"))
 

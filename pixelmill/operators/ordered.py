@@ -79,7 +79,10 @@ def running(
     local = sliced.withColumns(
         {f"_l_{name}": _AGG[kind](_as_column(c)).over(within) for name, (kind, c) in aggs.items()}
     )
-    joined = local.join(carried, [*keys, _SLICE], "left")
+    # a NULL group is a group like others
+    carried = carried.toDF(*[f"_k_{c}" if c in (*keys, _SLICE) else c for c in carried.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, _SLICE)]
+    joined = local.join(carried, same, "left").drop(*[f"_k_{k}" for k in (*keys, _SLICE)])
     for name, (kind, _) in aggs.items():
         here, there = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         if kind in ("sum", "count"):

@@ -267,30 +267,28 @@ def ring_contrast_gate(frames: DataFrame, full_range: float = 255.0, share: floa
 
 
 def ridge(
-    df: DataFrame, mask: Column, max_dist: int = 20, frame: str = "frame_id", tol: float = 1e-6
+    df: DataFrame, mask: Column, frame: str = "frame_id", tol: float = 1e-6
 ) -> DataFrame:
     """Add ``inner`` (distance to the nearest pixel outside the mask, 0 outside) and
     ``ridge`` (1 where it is a 3x3 maximum inside the mask)."""
-    d = mask_nearest(df, ~mask, max_dist, frame, "inner")
+    d = mask_nearest(df, ~mask, None, frame, "inner")
     d = wi.local_max(d, "inner", 3, frame, "_top")
     on = mask & (F.col("inner") > 0) & (F.col("inner") >= F.col("_top") - tol)
     return d.withColumn("ridge", F.coalesce(on, F.lit(False)).cast("int")).drop("_top")
 
 
-def local_width(
-    df: DataFrame, mask: Column, max_dist: int = 20, frame: str = "frame_id"
-) -> DataFrame:
+def local_width(df: DataFrame, mask: Column, frame: str = "frame_id") -> DataFrame:
     """Ridge pixels with ``width`` = 2 x inner distance."""
-    d = ridge(df, mask, max_dist, frame)
+    d = ridge(df, mask, frame)
     return d.filter(F.col("ridge") == 1).withColumn("width", 2.0 * F.col("inner"))
 
 
 def width_of_nearest_ridge(
-    df: DataFrame, mask: Column, max_dist: int = 20, frame: str = "frame_id", out: str = "width"
+    df: DataFrame, mask: Column, frame: str = "frame_id", out: str = "width"
 ) -> DataFrame:
     """Width at every mask pixel, taken from its nearest ridge pixel; NULL outside."""
-    d = ridge(df, mask, max_dist, frame, tol=1e-3)
-    d = value_of_nearest(d, F.col("ridge") == 1, ["inner"], max_dist, frame)
+    d = ridge(df, mask, frame, tol=1e-3)
+    d = value_of_nearest(d, F.col("ridge") == 1, ["inner"], None, frame)
     return d.withColumn(out, F.when(mask, 2.0 * F.col("inner_near"))).drop(
         "inner", "ridge", "inner_near", "dist"
     )
@@ -342,10 +340,10 @@ def wirelike_blobs(shape: DataFrame, min_elong: float = 3.0, max_width: float =
 
 
 def error_distance(
-    df: DataFrame, errors: Column, truth: Column, max_dist: int, frame: str = "frame_id"
+    df: DataFrame, errors: Column, truth: Column, frame: str = "frame_id"
 ) -> DataFrame:
-    """Error pixels with their distance to the nearest true pixel (NULL: further)."""
-    return mask_nearest(df, truth, max_dist, frame).filter(errors)
+    """Error pixels with their distance to the nearest true pixel (NULL: a frame without any)."""
+    return mask_nearest(df, truth, None, frame).filter(errors)
 
 
 def error_distance_buckets(
@@ -357,13 +355,15 @@ def error_distance_buckets(
     by: Sequence[str] = (),
     frame: str = "frame_id",
 ) -> DataFrame:
-    """Error pixels nearer than ``near``, up to ``mid`` inclusive, and beyond."""
-    d = error_distance(df, errors, truth, math.ceil(mid), frame)
+    """Error pixels nearer than ``near``, up to ``mid`` inclusive, beyond, and in frames without truth."""
+    d = error_distance(df, errors, truth, frame)
     dist = F.col("dist")
     return d.groupBy(*by).agg(
         F.count_if(dist < near).alias("near"),
         F.count_if((dist >= near) & (dist <= mid)).alias("mid"),
-        F.count_if(dist.isNull() | (dist > mid)).alias("far"),
+        F.count_if(dist > mid).alias("far"),
+        F.count_if(dist.isNull()).alias("no_truth"),
+        F.avg(dist).alias("mean_dist"),
     )
 
 
@@ -372,7 +372,7 @@ def halo_split(
     frame: str = "frame_id",
 ) -> DataFrame:
     """Error mass within ``px`` of truth against standalone mass."""
-    d = error_distance(df, errors, truth, px, frame)
+    d = error_distance(df, errors, truth, frame)
     halo = F.count_if(F.col("dist") <= px)
     return d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("fp"),

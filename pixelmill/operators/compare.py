@@ -51,7 +51,7 @@ def matched_ab(
     """Per-frame decomposition of the difference between two models on one truth."""
     flags = df.select(*by, frame, "y", "x", gt.alias("_g"), a.alias("_a"), b.alias("_b"))
     g, pa, pb = F.col("_g"), F.col("_a"), F.col("_b")
-    d = mask_nearest(flags, g, math.ceil(mid), frame)
+    d = mask_nearest(flags, g, None, frame)
     dist = F.col("dist")
     far = dist.isNull() | (dist > mid)
     removed, added = ~g & pa & ~pb, ~g & pb & ~pa
@@ -260,7 +260,6 @@ def failure_frames(
     size: tuple[int, int],
     win: int = 11,
     halo_px: int = 5,
-    max_width: int = 40,
     min_bg: int = 8,
     frame: str = "frame_id",
     by: Sequence[str] = (),
@@ -284,7 +283,7 @@ def failure_frames(
     )
     g, p = F.col("_g"), F.col("_p")
     d = wi.masked_contrast(d, F.col("_l"), g, win, size, min_bg, frame, "_contrast")
-    d = bl.width_of_nearest_ridge(d, g, max_width, frame, "_width")
+    d = bl.width_of_nearest_ridge(d, g, frame, "_width")
     d = mask_nearest(d, g, halo_px, frame, "_dist")
     fn, fp = g & ~p, ~g & p
     bins = []
@@ -475,11 +474,11 @@ def pick_threshold(
 
 
 def domain_summary(
-    df: DataFrame, mask: Column, by: str, frame: str = "frame_id", max_width: int = 40
+    df: DataFrame, mask: Column, by: str, frame: str = "frame_id"
 ) -> DataFrame:
     """Foreground share, width and colour of each dataset in ``by``."""
     d = df.select(by, frame, "y", "x", *"bgr", mask.alias("_m"))
-    d = bl.ridge(d, F.col("_m"), max_width, frame)
+    d = bl.ridge(d, F.col("_m"), frame)
     per = d.groupBy(by, frame).agg(
         (F.count_if("_m") / F.count(F.lit(1))).alias("fg"),
         F.median(F.when(F.col("ridge") == 1, 2.0 * F.col("inner"))).alias("width"),
@@ -517,7 +516,7 @@ THICK_NAMES = ["lt2", "2_4", "4_8", "8_16", "ge16"]
 
 def audit_frames(
     df: DataFrame, object_mask: Column, trained_mask: Column, noise: Column, min_blob: int = 20,
-    frame: str = "frame_id", max_width: int = 40,
+    frame: str = "frame_id",
 ) -> DataFrame:
     """One wide row per frame: coverage, object colours, widths, blob count and background
     brightness and colourfulness."""
@@ -537,7 +536,7 @@ def audit_frames(
     runs = bl.blob_runs(d, o, 8, frame)
     big = bl.blob_stats(runs, frame).filter(F.col("area") >= min_blob)
     big = big.groupBy(frame).agg(F.count(F.lit(1)).alias("n_components"))
-    d = bl.ridge(d, o, max_width, frame)
+    d = bl.ridge(d, o, frame)
     wd = F.when(F.col("ridge") == 1, 2.0 * F.col("inner"))
     px = F.count(F.lit(1))
     n_obj, n_ridge = F.greatest(F.count_if(o), F.lit(1)), F.greatest(F.count(wd), F.lit(1))

@@ -1,134 +1,203 @@
 """Exact Euclidean distance fields on pixel tables.
 
-Two passes per frame: along columns the nearest seed above and below, then along
-rows the best of the neighbouring columns. Distance and seed position are packed in
-one long, so a minimum decides everything and ties go to the smaller (y, x).
-
-Up to ``WINDOW_MAX`` pixels the row pass is a minimum of shifted longs in one window.
-Its cost per pixel grows with the radius (about 24 core-microseconds at 40 pixels), so
-larger radii run the same two passes as array arithmetic on one frame at a time, with
-the table's other columns passed through untouched as Arrow.
+A frame is one image, so its size is bounded. Spark brings frames together and sorts them;
+each task then works on as many whole frames as an Arrow batch holds, frames of one size in
+one array. Along columns the nearest seed above and below is known at once; along rows the
+lower envelope of the parabolas of all columns gives the nearest seed at any distance. The
+squared distance and the seed's rank in (y, x) are packed in one long, so ties go to the
+smaller (y, x). Columns that aren't used pass through untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_D = 1 << 40
-_Y = 1 << 20
-WINDOW_MAX = 6
-
-
-def _by_window(df: DataFrame, max_dist: int, frame: str) -> DataFrame:
-    down = Window.partitionBy(frame, "x").orderBy("y")
-    up = Window.partitionBy(frame, "x").orderBy(F.desc("y"))
-    row = Window.partitionBy(frame, "y").orderBy("x")
-    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
-    d = df.withColumn("_edt_s", F.when(F.col("_edt_seed"), y))
-    d = d.withColumn("_edt_a", F.last("_edt_s", ignorenulls=True).over(down))
-    d = d.withColumn("_edt_b", F.last("_edt_s", ignorenulls=True).over(up))
-
-    def packed(sy):
-        gap = y - sy
-        return F.when(F.abs(gap) <= max_dist, gap * gap * _D + sy * _Y + x)
-
-    d = d.withColumn("_edt_p", F.least(packed(F.col("_edt_a")), packed(F.col("_edt_b"))))
-    shifted = [F.col("_edt_p")]
-    for k in range(1, max_dist + 1):
-        for side in (F.lag, F.lead):
-            shifted.append(side("_edt_p", k).over(row) + k * k * _D)
-    d = d.withColumn("_edt_q", F.least(*shifted))
-    return d.drop("_edt_s", "_edt_a", "_edt_b", "_edt_p")
-
-
-def packed_field(seed: np.ndarray, max_dist: int) -> np.ndarray:
-    """Packed nearest seed for every cell of one frame; huge where there is none."""
-    none = np.int64(1) << 61
-    h, w = seed.shape
-    ys = np.arange(h, dtype=np.int64)[:, None]
-    above = np.maximum.accumulate(np.where(seed, ys, -(1 << 19)), axis=0)
-    below = np.minimum.accumulate(np.where(seed, ys, 1 << 19)[::-1], axis=0)[::-1]
+#: Longest side of a frame: the packed long holds squared distance times pixels below 2**61.
+MAX_SIDE = 1 << 15
+
+
+def nearest_seed(seed: np.ndarray) -> np.ndarray:
+    """Flat index (y * width + x) of the nearest seed for all cells of ``seed`` (frame, y, x).
+
+    -1 in frames without seeds.
+    """
+    n, h, w = seed.shape
+    if max(h, w) > MAX_SIDE:
+        raise ValueError(f"a frame of {h} x {w} pixels is larger than {MAX_SIDE} on a side")
+    unit = np.int64(h * w)
+    far = np.int64(1) << 62
+    ys = np.arange(h, dtype=np.int64)[None, :, None]
+    above = np.maximum.accumulate(np.where(seed, ys, -4 * MAX_SIDE), axis=1)
+    below = np.minimum.accumulate(np.where(seed, ys, 4 * MAX_SIDE)[:, ::-1], axis=1)[:, ::-1]
     sy = np.where(ys - above <= below - ys, above, below)
-    gap = np.abs(ys - sy)
-    col = np.where(gap <= max_dist, gap * gap * _D + sy * _Y + np.arange(w, dtype=np.int64), none)
-    best = col.copy()
-    for k in range(1, min(max_dist, w - 1) + 1):
-        add = np.int64(k * k * _D)
-        if int(best.max()) < add:
-            break
-        np.minimum(best[:, k:], col[:, :-k] + add, out=best[:, k:])
-        np.minimum(best[:, :-k], col[:, k:] + add, out=best[:, :-k])
-    return best
-
-
-def _by_frame(df: DataFrame, max_dist: int, frame: str) -> DataFrame:
+    seen = seed.any(axis=1)
+    cols = np.flatnonzero(seen.any(axis=0))
+    if not len(cols):
+        return np.full(seed.shape, -1, dtype=np.int64)
+    sy = np.ascontiguousarray(sy[:, :, cols].reshape(n * h, -1).T)
+    gap = np.tile(np.arange(h, dtype=np.int64), n)[None, :] - sy
+    start = gap * gap * unit + sy * w + cols[:, None]
+    start[np.repeat(~seen[:, cols], h, axis=0).T] = far
+
+    # one stack of columns per row: which column wins, and from which x on
+    lines = np.arange(n * h)
+    top = np.zeros(n * h, dtype=np.int64)
+    item = np.zeros(start.shape, dtype=np.int64)
+    since = np.zeros(start.shape, dtype=np.int64)
+    since[0] = np.iinfo(np.int64).min
+    for q in range(1, len(cols)):
+        live = lines[start[q] < far]
+        while len(live):
+            t = top[live]
+            at = item[t, live]
+            wide = cols[q] - cols[at]
+            rise = start[q, live] - start[at, live] + unit * (cols[q] ** 2 - cols[at] ** 2)
+            x = rise // (2 * unit * wide) + 1
+            stays = x > since[t, live]
+            put = stays & (x < w)
+            rows, level = live[put], t[put] + 1
+            top[rows] = level
+            item[level, rows] = q
+            since[level, rows] = x[put]
+            live = live[~stays]
+            top[live] -= 1
+    level = np.zeros((n * h, w), dtype=np.int64)
+    for k in range(1, int(top.max()) + 1):
+        rows = np.flatnonzero(top >= k)
+        level[rows, np.maximum(since[k, rows], 0)] = k
+    level = np.maximum.accumulate(level, axis=1)
+    won = item[level, lines[:, None]]
+    flat = sy[won, lines[:, None]] * w + cols[won]
+    flat = flat.reshape(n, h, w)
+    flat[~seen.any(axis=1)] = -1
+    return flat
+
+
+def _whole_frames(batches: Iterator, frame: str) -> Iterator:
+    """Tables of whole frames with the starts of the frames; rows come sorted by frame."""
     import pyarrow as pa
 
-    def one(rows: pa.Table) -> pa.Table:
-        y, x = rows.column("y").to_numpy(), rows.column("x").to_numpy()
-        seed = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=bool)
-        seed[y, x] = rows.column("_edt_seed").to_numpy()
-        q = packed_field(seed, max_dist)[y, x]
-        return rows.append_column("_edt_q", pa.array(q, pa.int64(), mask=q >= np.int64(1) << 61))
+    held, key = [], None
+
+    def cut(parts):
+        table = pa.concat_tables(parts).combine_chunks()
+        code = table.column(frame).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code.indices.to_numpy()
+        return table, np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held and table.column(frame)[0].as_py() != key:
+            yield cut(held)
+            held = []
+        whole, starts = cut([table])
+        last = int(starts[-1])
+        if last:
+            yield cut([*held, whole.slice(0, last)])
+            held, whole = [], whole.slice(last)
+        held.append(whole)
+        key = whole.column(frame)[0].as_py()
+    if held:
+        yield cut(held)
+
+
+def _with_nearest(df: DataFrame, seed: Column, frame: str, values: dict[str, str]) -> DataFrame:
+    """Add _edt_d2, _edt_y, _edt_x and ``values`` (column: new name) of the nearest seed pixel."""
+    import pyarrow as pa
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_edt_q", T.LongType())])
-    return df.groupBy(frame).applyInArrow(one, schema)
+    fixed = ("_edt_d2", "_edt_y", "_edt_x")
+
+    def run(batches):
+        for rows, starts in _whole_frames(batches, frame):
+            y, x = (rows.column(c).to_numpy().astype(np.int64) for c in "yx")
+            sown = rows.column("_edt_seed").to_numpy()
+            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(y)]))
+            y0, x0 = np.minimum.reduceat(y, starts), np.minimum.reduceat(x, starts)
+            size = np.stack([np.maximum.reduceat(y, starts) - y0, np.maximum.reduceat(x, starts) - x0]) + 1
+            found = np.full(len(y), -1, dtype=np.int64)
+            for h, w in np.unique(size, axis=1).T:
+                same = np.flatnonzero((size[0] == h) & (size[1] == w))
+                # a few million cells at a time, at least one frame
+                step = max(1, (1 << 22) // int(h * w))
+                for some in (same[i : i + step] for i in range(0, len(same), step)):
+                    place = np.full(len(starts), -1)
+                    place[some] = np.arange(len(some))
+                    at = np.flatnonzero(place[which] >= 0)
+                    f, yy, xx = place[which[at]], y[at] - y0[which[at]], x[at] - x0[which[at]]
+                    grid = np.full((len(some), h, w), -1, dtype=np.int64)
+                    s = sown[at]
+                    grid[f[s], yy[s], xx[s]] = at[s]
+                    near = nearest_seed(grid >= 0)[f, yy, xx]
+                    ok = near >= 0
+                    found[at[ok]] = grid[f[ok], near[ok] // w, near[ok] % w]
+            none = found < 0
+            src = np.where(none, 0, found)
+            d2 = (y - y[src]) ** 2 + (x - x[src]) ** 2
+            for name, v in zip(fixed, (d2, y[src], x[src])):
+                rows = rows.append_column(name, pa.array(v, pa.int64(), mask=none))
+            take = pa.array(src, pa.int64(), mask=none)
+            for old, new in values.items():
+                rows = rows.append_column(new, rows.column(old).take(take))
+            yield from rows.to_batches()
+
+    d = df.withColumn("_edt_seed", F.coalesce(seed, F.lit(False)))
+    new = [T.StructField(c, T.LongType()) for c in fixed]
+    new += [T.StructField(n, d.schema[c].dataType) for c, n in values.items()]
+    schema = T.StructType([*d.schema.fields, *new])
+    together = d.repartition(frame).sortWithinPartitions(frame)
+    return together.mapInArrow(run, schema).drop("_edt_seed")
 
 
 def mask_nearest(
     df: DataFrame,
     seed: Column,
-    max_dist: int = 40,
+    max_dist: float | None = None,
     frame: str = "frame_id",
     out: str = "dist",
     at: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add the distance to the nearest seed pixel, and optionally its position.
 
-    Exact up to ``max_dist``, NULL beyond it or without any seed. Frames have to be
-    complete.
+    Exact at any distance; NULL in frames without a seed, and beyond ``max_dist`` if one is
+    asked for. One row per pixel; missing pixels are no seeds.
     """
-    d = df.withColumn("_edt_seed", F.coalesce(seed, F.lit(False)))
-    field = _by_window if max_dist <= WINDOW_MAX else _by_frame
-    d = field(d, max_dist, frame)
-    d2 = F.shiftright("_edt_q", 40)
-    near = d2 <= max_dist * max_dist
-    cols = {out: F.when(near, F.sqrt(d2.cast("double")))}
+    d = _with_nearest(df, seed, frame, {})
+    near = F.lit(True) if max_dist is None else F.col("_edt_d2") <= max_dist * max_dist
+    cols = {out: F.when(near, F.sqrt(F.col("_edt_d2").cast("double")))}
     if at:
-        cols[at[0]] = F.when(near, F.shiftright("_edt_q", 20).bitwiseAND(_Y - 1)).cast("int")
-        cols[at[1]] = F.when(near, F.col("_edt_q").bitwiseAND(_Y - 1)).cast("int")
-    return d.withColumns(cols).drop("_edt_seed", "_edt_q")
+        cols[at[0]] = F.when(near, F.col("_edt_y")).cast("int")
+        cols[at[1]] = F.when(near, F.col("_edt_x")).cast("int")
+    return d.withColumns(cols).drop("_edt_d2", "_edt_y", "_edt_x")
 
 
 def value_of_nearest(
     df: DataFrame,
     seed: Column,
     values: Sequence[str],
-    max_dist: int = 40,
+    max_dist: float | None = None,
     frame: str = "frame_id",
     suffix: str = "_near",
 ) -> DataFrame:
-    """Values carried over from the nearest seed pixel, as ``<value><suffix>``."""
-    at = ("_edt_ny", "_edt_nx")
-    d = mask_nearest(df, seed, max_dist, frame, "dist", at)
-    src = df.filter(seed).select(
-        frame,
-        F.col("y").alias("_edt_ny"),
-        F.col("x").alias("_edt_nx"),
-        *[F.col(v).alias(f"{v}{suffix}") for v in values],
-    )
-    return d.join(src, [frame, *at], "left").drop(*at)
+    """Add ``dist`` and the values of the nearest seed pixel, as ``<value><suffix>``."""
+    d = _with_nearest(df, seed, frame, {v: f"{v}{suffix}" for v in values})
+    near = F.lit(True) if max_dist is None else F.col("_edt_d2") <= max_dist * max_dist
+    cols = {f"{v}{suffix}": F.when(near, F.col(f"{v}{suffix}")) for v in values}
+    cols["dist"] = F.when(near, F.sqrt(F.col("_edt_d2").cast("double")))
+    return d.withColumns(cols).drop("_edt_d2", "_edt_y", "_edt_x")
 
 
 def signed_distance(
-    df: DataFrame, mask: Column, max_dist: int = 8, frame: str = "frame_id", out: str = "signed"
+    df: DataFrame, mask: Column, max_dist: float | None = None, frame: str = "frame_id",
+    out: str = "signed",
 ) -> DataFrame:
-    """Positive outside the mask, negative inside; NULL further than ``max_dist``."""
+    """Positive outside the mask, negative inside; NULL without a border or beyond ``max_dist``."""
     d = mask_nearest(df, mask, max_dist, frame, "_edt_to_in")
     d = mask_nearest(d, ~mask, max_dist, frame, "_edt_to_out")
     return d.withColumn(out, F.col("_edt_to_in") - F.col("_edt_to_out")).drop("_edt_to_in", "_edt_to_out")

@@ -10,7 +10,7 @@ from pixelmill.operators import topk as tk
 from pixelmill.operators import windows as wi
 from pixelmill.operators.recode import depth_window_normalise
 from pixelmill.plans.digest import digest, digest_sql
-from pixelmill.plans.fixtures import PIX, pixels
+from pixelmill.plans.fixtures import PIX, WIDE, pixels, wide_pixels
 from pixelmill.plans.recode import DEPTHNORM
 from pixelmill.plans.registry import query, r6, r9
 from pixelmill.plans.windows import EL2, SQ1, _morph_sql, dist_sql
@@ -239,13 +239,34 @@ def local_width(spark, sf):
     SELECT q.frame_id, count(*) AS px, round(sum(2*s.d*(q.y*37 + q.x + 1)), 6) AS weighted FROM q JOIN rg s ON s.frame_id = q.frame_id AND s.y = ((q >> 20) & 1048575) AND s.x = (q & 1048575) GROUP BY q.frame_id""",
 )
 def width_of_nearest_ridge(spark, sf):
-    d = bl.width_of_nearest_ridge(pixels(spark, sf), F.col("gt") == 1, 40)
+    d = bl.width_of_nearest_ridge(pixels(spark, sf), F.col("gt") == 1)
     place = F.col("y") * 37 + F.col("x") + 1
     return d.filter(F.col("width").isNotNull()).groupBy("frame_id").agg(
         F.count(F.lit(1)).alias("px"), r6(F.sum(F.col("width") * place)).alias("weighted")
     )
 
 
+# the nearest pixel outside comes from the nearest one of each column: exact, by another way
+WIDE_RIDGE = f"""{WIDE}, wc AS (SELECT *, max(CASE WHEN v = 0 THEN y END) OVER (PARTITION BY frame_id, x ORDER BY y) AS up,
+      min(CASE WHEN v = 0 THEN y END) OVER (PARTITION BY frame_id, x ORDER BY y DESC) AS dn FROM wide),
+    wg AS (SELECT frame_id, y, x, v, least(y - up, dn - y) AS gap FROM wc),
+    wi AS (SELECT t.frame_id, t.y, t.x, sqrt(min(s.gap*s.gap + (t.x-s.x)*(t.x-s.x))) AS d FROM wg t JOIN wg s ON s.frame_id = t.frame_id AND s.y = t.y AND s.gap IS NOT NULL
+      WHERE t.v = 1 GROUP BY ALL),
+    wt AS (SELECT a.frame_id, a.y, a.x, a.d, max(b.d) AS top FROM wi a JOIN wi b ON b.frame_id = a.frame_id AND b.y BETWEEN a.y-1 AND a.y+1 AND b.x BETWEEN a.x-1 AND a.x+1 GROUP BY ALL)"""
+
+
+@query(
+    "B9",
+    f"""WITH {WIDE_RIDGE} SELECT frame_id, count(*) AS ridge_px, round(median(2*d), 9) AS median_width, round(max(2*d), 9) AS max_width FROM wt WHERE d >= top - 1e-6 GROUP BY frame_id""",
+)
+def local_width_of_wide_objects(spark, sf):
+    d = bl.local_width(wide_pixels(spark, sf), F.col("v") == 1)
+    w = F.col("width")
+    return d.groupBy("frame_id").agg(
+        F.count(F.lit(1)).alias("ridge_px"), r9(F.median(w)).alias("median_width"), r9(F.max(w)).alias("max_width")
+    )
+
+
 SHAPE = f"""m0 AS (SELECT frame_id, y, x, CAST(gt = 1 AS INTEGER) AS m FROM pix), {_morph_sql('er', 'm0', 'erode', EL1)},
     sh0 AS (SELECT frame_id, blob, count(*) AS area, var_samp(x::DOUBLE) AS xx, var_samp(y::DOUBLE) AS yy, covar_samp(x::DOUBLE, y::DOUBLE) AS xy, sum(er.m) AS surv FROM cpx JOIN er USING (frame_id, y, x) GROUP BY ALL),
     sh1 AS (SELECT *, (xx+yy)/2 AS h, sqrt(pow((xx-yy)/2, 2) + xy*xy) AS sp FROM sh0),
@@ -287,22 +308,23 @@ FPD = f"""{dist_sql('fd', 'gt = 2', FP)}, fe AS (SELECT pix.*, sqrt(d2) AS dist
 @query(
     "B12",
     f"""WITH {PIX}, {FPD} SELECT set_id, count(*) FILTER (dist < 3) AS near, count(*) FILTER (dist >= 3 AND dist <= 10) AS mid,
-      count(*) FILTER (dist > 10 OR dist IS NULL) AS far FROM fe GROUP BY set_id""",
+      count(*) FILTER (dist > 10) AS far, count(*) FILTER (dist IS NULL) AS no_truth, round(avg(dist), 9) AS mean_dist FROM fe GROUP BY set_id""",
 )
 def error_distance_buckets(spark, sf):
-    return bl.error_distance_buckets(pixels(spark, sf), _fp(), F.col("gt") == 2, 3, 10, ["set_id"])
+    out = bl.error_distance_buckets(pixels(spark, sf), _fp(), F.col("gt") == 2, 3, 10, ["set_id"])
+    return _round(out, r9, "mean_dist")
 
 
 @query(
     "B12",
-    f"""WITH {PIX}, {FPD}, e AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS bin, lo, hi FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (1.0, 2.0), (2.0, 3.0), (3.0, 5.0), (5.0, 8.0), (8.0, 12.0), (12.0, 20.0), (20.0, 40.0)) v(lo, hi))
-    SELECT bin, lo, hi, (SELECT count(*) FROM fe WHERE dist >= lo AND (dist < hi OR (hi = 40 AND dist = 40))) AS n FROM e""",
+    f"""WITH {PIX}, {FPD}, e AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS bin, lo, hi FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (1.0, 2.0), (2.0, 3.0), (3.0, 5.0), (5.0, 8.0), (8.0, 12.0), (12.0, 20.0), (20.0, 40.0), (40.0, 1e9)) v(lo, hi))
+    SELECT bin, lo, hi, (SELECT count(*) FROM fe WHERE dist >= lo AND dist < hi) AS n FROM e""",
 )
 def error_distance_histogram(spark, sf):
     from pixelmill.operators.stats import histogram
 
-    d = bl.error_distance(pixels(spark, sf), _fp(), F.col("gt") == 2, 40)
-    return histogram(d, "dist", [0, 1, 2, 3, 5, 8, 12, 20, 40])
+    d = bl.error_distance(pixels(spark, sf), _fp(), F.col("gt") == 2)
+    return histogram(d, "dist", [0, 1, 2, 3, 5, 8, 12, 20, 40, 1e9])
 
 
 @query(
@@ -319,17 +341,17 @@ def halo_split(spark, sf):
     "B14",
     f"""WITH RECURSIVE {PIX}, {FPD}, {cc_sql(FP)}, {STATS}, j AS (SELECT c.frame_id, c.blob, dist, 0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b AS luma,
       CASE WHEN greatest(b,g,r) = 0 THEN 0.0 ELSE 255.0::DOUBLE*(greatest(b,g,r) - least(b,g,r))/greatest(b,g,r) END AS sat FROM cpx c JOIN fe USING (frame_id, y, x)),
-    k AS (SELECT frame_id, blob, count(*) FILTER (dist <= 5)/count(*) AS hs, median(coalesce(dist, 41.0)) AS md, median(luma) AS ml, median(sat) AS ms FROM j GROUP BY ALL),
+    k AS (SELECT frame_id, blob, count(*) FILTER (dist <= 5)/count(*) AS hs, median(coalesce(dist, 1e9)) AS md, median(luma) AS ml, median(sat) AS ms FROM j GROUP BY ALL),
     t AS (SELECT area, CASE WHEN hs >= 0.5 OR md <= 5 THEN 'near_wire_halo' WHEN elong > 4 AND fill < 0.35 THEN 'structured_edge'
       WHEN ml > 150 AND ms < 60 THEN 'bright_pale_bg' ELSE 'busy_texture' END AS mode FROM k JOIN bs USING (frame_id, blob))
     SELECT mode, count(*) AS blobs, CAST(sum(area) AS BIGINT) AS mass FROM t GROUP BY mode""",
 )
 def classify_fp_modes(spark, sf):
-    px = bl.mask_nearest(pixels(spark, sf), F.col("gt") == 2, 40)
+    px = bl.mask_nearest(pixels(spark, sf), F.col("gt") == 2)
     c = colour.hsv()
     px = px.withColumns({"luma": colour.luma(), "sat": 255.0 * c["sat"]})
     labelled = bl.connected_components(px, _fp())
-    d = F.coalesce(F.col("dist"), F.lit(41.0))
+    d = F.coalesce(F.col("dist"), F.lit(1e9))  # no truth in the frame
     blobs = labelled.groupBy("frame_id", "blob").agg(
         F.count(F.lit(1)).alias("area"),
         (F.count_if(F.col("dist") <= 5) / F.count(F.lit(1))).alias("halo_share"),

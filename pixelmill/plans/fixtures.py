@@ -352,3 +352,37 @@ def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return labels.join(docs.select("doc_id", "source"), "doc_id").select(
         "source", F.col("quality").alias("gt"), F.col("toxic").alias("pred")
     )
+
+
+WIDE_H, WIDE_W = 128, 160
+
+#: CTE ``wide`` with the rows of :func:`wide_pixels`
+WIDE = f"""wr AS (SELECT p_partkey // 50 AS frame_id, (p_partkey * 37) % 120 AS y0, (p_partkey * 53) % 150 AS x0,
+      CASE WHEN p_size >= 49 THEN p_size + 15 ELSE p_size // 8 END AS h, CASE WHEN p_size >= 49 THEN p_size + 5 ELSE p_size // 5 END AS w FROM part),
+    wm AS (SELECT DISTINCT frame_id, y, x FROM (SELECT frame_id, y, unnest(range(x0, least(x0 + w, {WIDE_W}))) AS x
+      FROM (SELECT *, unnest(range(y0, least(y0 + h, {WIDE_H}))) AS y FROM wr))),
+    wide AS (SELECT g.frame_id, g.y, g.x, CAST(wm.x IS NOT NULL AS INTEGER) AS v FROM (SELECT frame_id, ys.y, xs.x
+      FROM (SELECT DISTINCT frame_id FROM wr), range(0, {WIDE_H}) ys(y), range(0, {WIDE_W}) xs(x)) g LEFT JOIN wm USING (frame_id, y, x))"""
+
+
+def wide_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of 128 x 160, one per 50 rows of ``part``: v = 1 inside any of their rectangles."""
+    big, size, key = F.col("p_size") >= 49, F.col("p_size"), F.col("p_partkey")
+    rects = table(spark, sf, "part").select(
+        F.floor(key / 50).alias("frame_id"),
+        (key * 37 % 120).alias("y0"),
+        (key * 53 % 150).alias("x0"),
+        F.when(big, size + 15).otherwise(F.floor(size / 8)).alias("h"),
+        F.when(big, size + 5).otherwise(F.floor(size / 5)).alias("w"),
+    )
+    # a frame collects its 50 rectangles, whatever the number of frames
+    frames = rects.groupBy("frame_id").agg(F.collect_list(F.struct("y0", "x0", "h", "w")).alias("r"))
+    cells = frames.repartition(parallelism(spark), "frame_id").select(
+        "frame_id", "r", F.explode(F.sequence(F.lit(0), F.lit(WIDE_H * WIDE_W - 1))).alias("_i")
+    )
+    y, x = F.floor(F.col("_i") / WIDE_W).cast("int"), F.col("_i") % WIDE_W
+    covered = F.exists(
+        "r",
+        lambda r: (y >= r["y0"]) & (y < r["y0"] + r["h"]) & (x >= r["x0"]) & (x < r["x0"] + r["w"]),
+    )
+    return cells.select("frame_id", y.alias("y"), x.alias("x"), covered.cast("int").alias("v"))

@@ -32,8 +32,8 @@ def test_box_reflects_at_the_border(frame):
             assert got[(y, x)] == a[y : y + 3, x : x + 3].sum()
 
 
-@pytest.mark.parametrize("radius", [4, 12])
-def test_distance_is_exact_on_both_paths(frame, radius):
+@pytest.mark.parametrize("radius", [None, 4, 12])
+def test_distance_is_exact_at_any_radius(frame, radius):
     rng = np.random.default_rng(1)
     grids = [["".join("1" if v < p else "0" for v in row) for row in rng.random((9, 11))] for p in (0.04, 0.2, 0.0)]
     df = frame(*grids)
@@ -42,12 +42,42 @@ def test_distance_is_exact_on_both_paths(frame, radius):
     for r in out:
         seeds = [(y, x) for y, line in enumerate(grids[r["frame_id"]]) for x, c in enumerate(line) if c == "1"]
         best = min((((y - r["y"]) ** 2 + (x - r["x"]) ** 2, y, x) for y, x in seeds), default=None)
-        if best is None or best[0] > radius * radius:
+        if best is None or (radius and best[0] > radius * radius):
             assert r["dist"] is None
         else:
             assert r["dist"] == pytest.approx(best[0] ** 0.5) and (r["ny"], r["nx"]) == best[1:]
 
 
+def test_width_of_a_large_square(spark):
+    n = spark.range(110 * 110).select(
+        F.lit(None).cast("bigint").alias("frame_id"), F.expr("int(id div 110)").alias("y"), F.expr("int(id % 110)").alias("x")
+    )
+    inside = F.col("y").between(10, 99) & F.col("x").between(10, 99)
+    out = blobs.local_width(n, inside).collect()
+    assert [(r["y"], r["x"], r["width"]) for r in sorted(out)] == [
+        (y, x, 90.0) for y in (54, 55) for x in (54, 55)
+    ]
+
+
+def test_frames_of_many_sizes_and_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for f, (h, w) in enumerate([(3, 4), (40, 30), (3, 4), (1, 1), (25, 50), (10, 10), (2, 200)] * 3):
+        rows += [(f"f{f}", y + 5, x - 2, float(rng.random()), int(rng.random() < 0.05)) for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "frame string, y int, x int, v double, s int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    out = distance.value_of_nearest(df, F.col("s") == 1, ["v"], frame="frame").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(rows)
+    seeds = {}
+    for f, y, x, v, s in rows:
+        if s:
+            seeds.setdefault(f, []).append((y, x, v))
+    for r in out:
+        best = min((((y - r["y"]) ** 2 + (x - r["x"]) ** 2, y, x, v) for y, x, v in seeds.get(r["frame"], [])), default=None)
+        assert (r["dist"], r["v_near"]) == ((None, None) if best is None else (best[0] ** 0.5, best[3]))
+
+
 def test_components_ids_do_not_depend_on_partitions(spark, frame):
     g = ["1010001", "1010101", "1111101", "0000000", "1100011"]
     df = frame(g)

@@ -218,11 +218,11 @@ def backproject_pinhole(
 def normalise_cloud(points: DataFrame, by: Sequence[str] = ("sample_id",), fill: float = 0.9):
     """Centre on the mean and scale the largest half extent to ``fill`` of the frustum."""
     mean = points.groupBy(*by).agg(*[F.avg(a).alias(f"_m{a}") for a in AXES])
-    d = points.join(mean, list(by))
+    d = points.join(mean.hint("merge"), list(by))
     d = d.withColumns({a: F.col(a) - F.col(f"_m{a}") for a in AXES}).drop(*[f"_m{a}" for a in AXES])
     half = d.groupBy(*by).agg(F.max(F.greatest(*[F.abs(a) for a in AXES])).alias("_h"))
     k = fill * FRUSTUM / F.greatest(F.col("_h"), F.lit(1e-9))
-    return d.join(half, list(by)).withColumns({a: F.col(a) * k for a in AXES}).drop("_h")
+    return d.join(half.hint("merge"), list(by)).withColumns({a: F.col(a) * k for a in AXES}).drop("_h")
 
 
 def local_frame(points: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -230,7 +230,7 @@ def local_frame(points: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFr
     aggs = []
     for a in AXES:
         aggs += [F.min(a).alias(f"_lo{a}"), F.max(a).alias(f"_hi{a}")]
-    d = points.join(points.groupBy(*by).agg(*aggs), list(by))
+    d = points.join(points.groupBy(*by).agg(*aggs).hint("merge"), list(by))
     extent = F.greatest(*[F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in AXES], F.lit(1e-9))
     zero = {
         a: F.col(f"_lo{a}") if a == "py" else (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2 for a in AXES
@@ -323,9 +323,9 @@ def nearest_point(
         last = size > stop
         # the side with fewer rows is entered in the 27 cells around it
         if n_left <= n_right:
-            pairs = _cells(left, size, 1).join(_right_cells(right, size, 0), [*by, *_KEYS])
+            pairs = _cells(left, size, 1).join(_right_cells(right, size, 0).hint("merge"), [*by, *_KEYS])
         else:
-            pairs = _cells(left, size, 0).join(_right_cells(right, size, 1), [*by, *_KEYS])
+            pairs = _cells(left, size, 0).join(_right_cells(right, size, 1).hint("merge"), [*by, *_KEYS])
         if exclude_self:
             pairs = pairs.filter(F.col(id_a[-1]) != F.col("_bid"))
         pairs = pairs.select(
@@ -372,7 +372,7 @@ def within_radius(
     """Points of ``b`` within r of each row of ``a``; with k the first k by id."""
     by, id_a = list(by), list(id_a)
     left = _cells(a.select(*by, *id_a, *AXES), r, 1)
-    pairs = left.join(_right_cells(_right(b, by, id_b, carry), r), [*by, *_KEYS])
+    pairs = left.join(_right_cells(_right(b, by, id_b, carry), r).hint("merge"), [*by, *_KEYS])
     pairs = pairs.withColumn("_d2", _dist2()).filter(F.col("_d2") <= r * r)
     out = pairs.select(
         *by, *id_a, F.col("_bid").alias("near_id"), F.sqrt("_d2").alias("distance"),
@@ -419,7 +419,7 @@ def bind_to_edge(
             lo = F.floor((F.least(f"_a{c}", f"_b{c}") - size) / size)
             hi = F.floor((F.greatest(f"_a{c}", f"_b{c}") + size) / size)
             grown = grown.withColumn(f"_k{i}", F.explode(F.sequence(lo, hi)))
-        j = _cells(left, size, 0).join(grown, [*by, *_KEYS])
+        j = _cells(left, size, 0).join(grown.hint("merge"), [*by, *_KEYS])
         ev = {c: F.col(f"_b{c}") - F.col(f"_a{c}") for c in xyz}
         pv = {c: F.col(f"p{c}") - F.col(f"_a{c}") for c in xyz}
         len2 = F.greatest(sum((ev[c] * ev[c] for c in xyz), F.lit(0.0)), F.lit(1e-12))
@@ -686,10 +686,10 @@ def distance_preservation(
     p = points.select(clip, frame, "point_id", *AXES)
     a = p.withColumnRenamed("point_id", "i")
     b = p.select(clip, frame, F.col("point_id").alias("j"), *[F.col(x).alias(f"_b_{x}") for x in AXES])
-    d = draw.join(a, [clip, "i"]).join(b, [clip, frame, "j"]).withColumn("_d", F.sqrt(_dist2()))
+    d = draw.join(a.hint("merge"), [clip, "i"]).join(b.hint("merge"), [clip, frame, "j"]).withColumn("_d", F.sqrt(_dist2()))
     first = d.filter(F.col(frame) == F.col("_f0")).select(clip, "pair", F.col("_d").alias("_d0"))
     rel = F.abs(F.col("_d") - F.col("_d0")) / (F.col("_d0") + 1e-8)
-    per = d.join(first, [clip, "pair"]).groupBy(clip, frame).agg(F.avg(rel).alias("_r"))
+    per = d.join(first.hint("merge"), [clip, "pair"]).groupBy(clip, frame).agg(F.avg(rel).alias("_r"))
     return per.groupBy(clip).agg(
         F.avg("_r").alias("mean_relative_change"), F.max("_r").alias("max_relative_change")
     )

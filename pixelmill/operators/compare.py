@@ -158,7 +158,7 @@ def resolution_ceiling(
         )
         m, up = F.col("_m") == 1, F.col("_up") == 1
         part = (
-            full.join(small, [frame, "_ty", "_tx"])
+            full.join(small.hint("merge"), [frame, "_ty", "_tx"])
             .groupBy(*by)
             .agg(
                 F.count_if(m & up).alias("tp"),

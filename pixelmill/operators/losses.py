@@ -56,7 +56,7 @@ def tta_merge(passes: Sequence[DataFrame], keys=("frame_id", "y", "x")) -> DataF
     out = passes[0].select(*keys, "logits")
     for p in passes[1:]:
         other = p.select(*keys, F.col("logits").alias("_l"))
-        out = out.join(other, list(keys)).select(
+        out = out.join(other.hint("merge"), list(keys)).select(
             *keys, _add(F.col("logits"), F.col("_l")).alias("logits")
         )
     return out.withColumn("pred", argmax("logits"))

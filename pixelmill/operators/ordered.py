@@ -109,15 +109,15 @@ def first_n(
     n: int,
     by: Sequence[str],
     order: Sequence[str | Column],
-    direct_limit: int = 10_000,
 ) -> DataFrame:
     """The first ``n`` rows per group (or overall).
 
-    For small ``n`` Spark keeps at most ``n`` rows per group in each map task, so
-    no group arrives whole anywhere. Larger ``n`` goes through ``row_index``.
+    Up to the session's group-limit threshold Spark keeps at most ``n`` rows per group in
+    each map task, so no group arrives whole anywhere. Larger ``n`` goes through
+    ``row_index``: the same rows by another plan.
     """
     cols = [_as_column(c) for c in order]
-    if n <= direct_limit:
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         if not by:
             return df.orderBy(*cols).limit(n)
         w = Window.partitionBy(*by).orderBy(*cols)
@@ -144,8 +144,9 @@ def exact_percentiles(
     """
     counts, keys = _keyed(value_counts(df, by, value), by)
     cum = running(counts, keys, ["value"], {"_cum": ("sum", "n")})
-    total = cum.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    ranked = cum.join(total, keys)
+    total = cum.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("n").alias("_total"))
+    # a NULL group is a group like others
+    ranked = cum.join(total, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     v = F.col("value").cast("double")
     picks = []
     for name, q in qs.items():

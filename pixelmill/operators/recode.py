@@ -106,7 +106,7 @@ def depth_window_normalise(
     share = (d - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     value = F.when(F.col("_ok") & rendered, F.rint(clipped * 255.0)).otherwise(0).cast("int")
-    return df.join(win, frame).withColumn(out, value).drop("_lo", "_hi", "_ok")
+    return df.join(win.hint("merge"), frame).withColumn(out, value).drop("_lo", "_hi", "_ok")
 
 
 def filter_sets(df: DataFrame, sets: Iterable[int], col: str = "set_id") -> DataFrame:

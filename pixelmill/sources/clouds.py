@@ -78,7 +78,7 @@ def labelled_points(clouds: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
     )
     fine = (F.col("_np") == F.col("_nq")) & (F.col("_p0") == 0) & (F.col("_q0") == 0)
     good = sizes.filter(fine).select(*keys)
-    points = p.join(q, [*keys, "point_id"]).join(good, keys, "left_semi")
+    points = p.join(q.hint("merge"), [*keys, "point_id"]).join(good, keys, "left_semi")
     return points, sizes.agg(F.count_if(~fine).alias("skipped"))
 
 

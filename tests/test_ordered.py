@@ -36,5 +36,20 @@ def test_exact_percentiles_match_numpy(spark):
 def test_first_n_both_ways_agree(spark):
     df = spark.range(200).select((F.col("id") % 7).alias("g"), (F.col("id") * 37 % 101).alias("v"), "id")
     a = o.first_n(df, 5, ["g"], ["v", "id"])
-    b = o.first_n(df, 5, ["g"], ["v", "id"], direct_limit=0)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "4")
+    b = o.first_n(df, 5, ["g"], ["v", "id"])
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert "WindowGroupLimit" in a._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("g"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = o.row_index(df, ["g"], ["id"]).collect()
+        pct = {r["g"]: (r["n"], r["p50"]) for r in o.exact_percentiles(df, ["g"], "id", {"p50": 0.5}).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(r["row_index"] == r["id"] // 2 for r in got) and len(got) == 4000
+    assert pct == {"a": (2000, 1999.0), None: (2000, 2000.0)}

@@ -292,8 +292,9 @@ def blob_shape(spark, sf):
 
 @query(
     "B15",
-    f"""WITH RECURSIVE {PIX}, {cc_sql('gt = 1')}, {SHAPE}, k AS (SELECT frame_id, area, CASE WHEN greatest(4*major, 1)/greatest(4*minor, 1) >= 3 AND area/greatest(4*major, 1) <= 10 THEN 'wirelike' ELSE 'blob' END AS kind FROM sh)
-    SELECT frame_id, kind, count(*) AS blobs, CAST(sum(area) AS BIGINT) AS px FROM k GROUP BY ALL""",
+    f"""WITH RECURSIVE {PIX}, {cc_sql('gt = 1')}, {SHAPE}, k AS (SELECT frame_id, area, CAST(greatest(4*major, 1)/greatest(4*minor, 1) >= 3 AND area/greatest(4*major, 1) <= 10 AS INTEGER) AS wire FROM sh),
+    g AS (SELECT frame_id, wire, count(*) AS blobs, CAST(sum(area) AS BIGINT) AS px FROM k GROUP BY frame_id, wire)
+    SELECT frame_id, n.kind, blobs, px FROM g JOIN (VALUES (0, 'blob'), (1, 'wirelike')) n(wire, kind) USING (wire)""",
 )
 def wirelike_blobs(spark, sf):
     out = bl.wirelike_blobs(_shape(spark, sf))

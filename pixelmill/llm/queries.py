@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, token_counts, token_files, transcripts
+from pixelmill.llm import containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -19,7 +19,7 @@ def _crc(ids: str = "ids"):
     return F.crc32(ids).alias("ids_crc32")
 
 
-@query()
+@query(sql.LINE_FREQUENCY)
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(documents(spark, sf_dir)).drop("_row", "row_key")
 
@@ -53,12 +53,12 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), limit=8 << 20)
 
 
-@query()
+@query(sql.JACCARD_JOIN)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
-@query()
+@query(sql.REPEATED_PASSAGES)
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = repeats.recurring_passages(docs).withColumn("sha", F.sha2("kept_text", 256)).drop("kept_text")
@@ -68,7 +68,7 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
 
 
-@query()
+@query(sql.CONTAINMENT)
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return containment.contained(documents(spark, sf_dir), items).drop("_row")

@@ -293,8 +293,9 @@ def blob_shape(spark, sf):
 @query(
     "B15",
     f"""WITH RECURSIVE {PIX}, {cc_sql('gt = 1')}, {SHAPE}, k AS (SELECT frame_id, area, CAST(greatest(4*major, 1)/greatest(4*minor, 1) >= 3 AND area/greatest(4*major, 1) <= 10 AS INTEGER) AS wire FROM sh),
-    g AS (SELECT frame_id, wire, count(*) AS blobs, CAST(sum(area) AS BIGINT) AS px FROM k GROUP BY frame_id, wire)
-    SELECT frame_id, n.kind, blobs, px FROM g JOIN (VALUES (0, 'blob'), (1, 'wirelike')) n(wire, kind) USING (wire)""",
+    g AS MATERIALIZED (SELECT frame_id, CAST(sum(wire) AS BIGINT) AS w, count(*) AS a, CAST(sum(area*wire) AS BIGINT) AS wpx, CAST(sum(area) AS BIGINT) AS apx FROM k GROUP BY frame_id)
+    SELECT frame_id, 'wirelike' AS kind, w AS blobs, wpx AS px FROM g WHERE w > 0
+    UNION ALL SELECT frame_id, 'blob', a - w, apx - wpx FROM g WHERE a > w""",
 )
 def wirelike_blobs(spark, sf):
     out = bl.wirelike_blobs(_shape(spark, sf))

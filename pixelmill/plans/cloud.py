@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pixelmill.operators import cloud as cl
 from pixelmill.operators import skeleton as sk
+from pixelmill.operators import windows as wi
 from pixelmill.plans.digest import digest, digest_sql
-from pixelmill.plans.fixtures import PIX, PTS, SKEL, pixels, points, skeleton
+from pixelmill.plans.fixtures import CLOUD_SKEL, PIX, PTS, SKEL, pixels, points, skeleton
 from pixelmill.plans.registry import query, r6, r9
 from pixelmill.plans.windows import motion
 
@@ -61,22 +64,22 @@ def z_buffer(spark, sf):
 
 @query(
     "G3",
-    f"""WITH {PTS}, {ZBUF}, fr AS (SELECT sample_id, view, y, x, depth_mm, label6 FROM zb WHERE view = 'front'),
-    cell AS (SELECT a.range AS y, b.range AS x FROM range(24) a, range(32) b),
-    dl AS (SELECT DISTINCT f.sample_id, f.y + a.range AS y, f.x + b.range AS x FROM fr f, range(-1, 2) a, range(-1, 2) b WHERE f.y + a.range BETWEEN 0 AND 23 AND f.x + b.range BETWEEN 0 AND 31),
-    nb0 AS MATERIALIZED (SELECT d.sample_id, d.y, d.x, d.y + a.range AS sy, d.x + b.range AS sx FROM dl d, range(-1, 2) a, range(-1, 2) b WHERE d.y + a.range BETWEEN 0 AND 23 AND d.x + b.range BETWEEN 0 AND 31),
-    cls AS (SELECT n.sample_id, n.y, n.x FROM nb0 n LEFT JOIN dl ON dl.sample_id = n.sample_id AND dl.y = n.sy AND dl.x = n.sx GROUP BY ALL HAVING count(dl.y) = count(*)),
-    gap AS (SELECT * FROM cls ANTI JOIN fr USING (sample_id, y, x)),
-    nn AS (SELECT g.sample_id, g.y, g.x, arg_min(struct_pack(d := f.depth_mm, l := f.label6), ((g.y-f.y)*(g.y-f.y) + (g.x-f.x)*(g.x-f.x))*1000000 + f.y*1000 + f.x) AS s FROM gap g JOIN fr f USING (sample_id) GROUP BY ALL),
-    al AS (SELECT sample_id, y, x, depth_mm, label6, CAST(0 AS INTEGER) AS filled FROM fr UNION ALL SELECT sample_id, y, x, s.d, s.l, 1 FROM nn)
-    SELECT sample_id, count(*) AS n, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(depth_mm*(y*37+x+1)) AS BIGINT) AS depth, CAST(sum(label6*(y*37+x+1)) AS BIGINT) AS label FROM al GROUP BY sample_id""",
+    f"""WITH {PTS}, {ZBUF}, fr AS MATERIALIZED (SELECT sample_id, view, y, x, depth_mm, label6 FROM zb),
+    dl AS MATERIALIZED (SELECT DISTINCT f.sample_id, f.view, f.y + a.range AS y, f.x + b.range AS x FROM fr f, range(-1, 2) a, range(-1, 2) b WHERE f.y + a.range BETWEEN 0 AND 23 AND f.x + b.range BETWEEN 0 AND 31),
+    nb0 AS (SELECT d.sample_id, d.view, d.y, d.x, d.y + a.range AS sy, d.x + b.range AS sx FROM dl d, range(-1, 2) a, range(-1, 2) b WHERE d.y + a.range BETWEEN 0 AND 23 AND d.x + b.range BETWEEN 0 AND 31),
+    cls AS (SELECT n.sample_id, n.view, n.y, n.x FROM nb0 n LEFT JOIN dl ON dl.sample_id = n.sample_id AND dl.view = n.view AND dl.y = n.sy AND dl.x = n.sx GROUP BY ALL HAVING count(dl.y) = count(*)),
+    gap AS (SELECT * FROM cls ANTI JOIN fr USING (sample_id, view, y, x)),
+    nn AS (SELECT g.sample_id, g.view, g.y, g.x, arg_min(struct_pack(d := f.depth_mm, l := f.label6), ((g.y-f.y)*(g.y-f.y) + (g.x-f.x)*(g.x-f.x))*1000000 + f.y*1000 + f.x) AS s FROM gap g JOIN fr f USING (sample_id, view) GROUP BY ALL),
+    al AS (SELECT sample_id, view, y, x, depth_mm, label6, CAST(0 AS INTEGER) AS filled FROM fr UNION ALL SELECT sample_id, view, y, x, s.d, s.l, 1 FROM nn)
+    SELECT sample_id, view, count(*) AS n, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(depth_mm*(y*37+x+1)) AS BIGINT) AS depth, CAST(sum(label6*(y*37+x+1)) AS BIGINT) AS label FROM al GROUP BY sample_id, view""",
 )
 def fill_gaps(spark, sf):
-    z = _zbuf(spark, sf).filter("view = 'front'")
-    full = cl.dense(z, SIZE, ["sample_id"], ["depth_mm", "label6"])
-    out = cl.fill_gaps(full, "sample_id").filter(F.col("depth_mm") > 0)
+    frame = F.concat_ws("/", "sample_id", "view").alias("frame")
+    z = _zbuf(spark, sf).select("*", frame)
+    full = cl.dense(z, SIZE, ["frame", "sample_id", "view"], ["depth_mm", "label6"])
+    out = cl.fill_gaps(full, "frame").filter(F.col("depth_mm") > 0)
     place = F.col("y") * 37 + F.col("x") + 1
-    return out.groupBy("sample_id").agg(
+    return out.groupBy("sample_id", "view").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("filled").alias("filled"),
         F.sum(F.col("depth_mm") * place).alias("depth"),
@@ -171,7 +174,7 @@ def within_radius(spark, sf):
     return _round(cl.within_radius(p, p, 0.5, 4), r9, "distance")
 
 
-BIND = """sp AS (SELECT sample_id, point_id, px*100 AS px, py*100 AS py, pz*100 AS pz FROM pts WHERE sample_id IN (SELECT s_suppkey FROM supplier)),
+BIND = """sp AS (SELECT sample_id, point_id, px*100 AS px, py*100 AS py, pz*100 AS pz FROM pts),
     se AS (SELECT e.*, x.nx AS ax, x.ny AS ay, x.nz AS az, z.nx - x.nx AS ex, z.ny - x.ny AS ey, z.nz - x.nz AS ez FROM skel_edges e JOIN skel_nodes x ON x.sample_id = e.sample_id AND x.node_id = e.a
       JOIN skel_nodes z ON z.sample_id = e.sample_id AND z.node_id = e.b),
     bt AS (SELECT p.sample_id, p.point_id, a, b, px-ax AS vx, py-ay AS vy, pz-az AS vz, ex, ey, ez, greatest(0.0, least(1.0, ((px-ax)*ex + (py-ay)*ey + (pz-az)*ez)/greatest(ex*ex + ey*ey + ez*ez, 1e-12))) AS t
@@ -181,16 +184,14 @@ BIND = """sp AS (SELECT sample_id, point_id, px*100 AS px, py*100 AS py, pz*100
 
 
 def bound(spark, sf):
-    nodes, edges = skeleton(spark, sf)
-    ids = nodes.select("sample_id").distinct()
-    p = points(spark, sf).join(ids, "sample_id", "left_semi")
-    p = p.withColumns({a: F.col(a) * 100 for a in cl.AXES})
+    nodes, edges = skeleton(spark, sf, "part", "p_partkey")
+    p = points(spark, sf).withColumns({a: F.col(a) * 100 for a in cl.AXES})
     return p, nodes, edges, cl.bind_to_edge(p, nodes, edges, cell=20.0)
 
 
 @query(
     "J11",
-    f"""WITH {PTS}, {SKEL}, {BIND} SELECT sample_id, point_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(t, 9) AS t, round(1-t, 9) AS weight_a, round(sqrt(d2), 9) AS distance FROM bind""",
+    f"""WITH {PTS}, {CLOUD_SKEL}, {BIND} SELECT sample_id, point_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(t, 9) AS t, round(1-t, 9) AS weight_a, round(sqrt(d2), 9) AS distance FROM bind""",
 )
 def bind_to_edge(spark, sf):
     out = bound(spark, sf)[3]
@@ -299,7 +300,30 @@ def statistical_outliers(spark, sf):
     return _round(out, r9, "mean_distance")
 
 
-@query("G17")
+def _draw(tag: str, *keys: str) -> str:
+    """SQL of ``seeded.uniform``."""
+    key = " || ".join(f"'|' || {k}" for k in keys)
+    return f"(CAST(('0x' || substr(md5('{tag}' || {key}), 1, 8)) AS BIGINT)/4294967296.0::DOUBLE)"
+
+
+def _normal(tag: str, *keys: str) -> str:
+    """SQL of ``seeded.normal``."""
+    u, v = _draw(f"{tag}/u", *keys), _draw(f"{tag}/v", *keys)
+    return f"(sqrt(-2.0::DOUBLE*ln(1.0::DOUBLE - {u}))*cos(6.283185307179586::DOUBLE*{v}))"
+
+
+def _spread(axis: str) -> str:
+    z = _normal(f"3/{axis}", "sample_id", "point_id", "copy")
+    return f"round(avg({axis} + CASE WHEN copy > 0 THEN std*{z} ELSE 0 END), 6) AS {axis}"
+
+
+@query(
+    "G17",
+    f"""WITH {PTS}, e AS (SELECT sample_id, count(*) AS k, (max(px)-min(px) + max(py)-min(py) + max(pz)-min(pz))/3.0 AS ext FROM pts GROUP BY sample_id),
+    d AS (SELECT pts.*, k, row_number() OVER (PARTITION BY sample_id ORDER BY point_id) - 1 AS i, 0.2::DOUBLE*ext/greatest(pow(k, 1.0::DOUBLE/3.0), 1.0) AS std,
+      unnest(range(greatest(CAST(ceil(150/k) AS BIGINT), 1))) AS copy FROM pts JOIN e USING (sample_id))
+    SELECT sample_id, count(*) AS n, {', '.join(_spread(a) for a in cl.AXES)} FROM d WHERE copy = 0 OR copy*k + i < 150 GROUP BY sample_id""",
+)
 def densify(spark, sf):
     out = cl.densify(points(spark, sf), 150, 0.2, 3)
     return out.groupBy("sample_id").agg(
@@ -307,7 +331,13 @@ def densify(spark, sf):
     )
 
 
-@query("G18")
+@query(
+    "G18",
+    f"""WITH {PTS}, s AS (SELECT *, {_draw('5/turn', 'sample_id')}*{2 * math.pi!r}::DOUBLE AS th, 0.8::DOUBLE + 0.4::DOUBLE*{_draw('5/scale', 'sample_id')} AS k FROM pts),
+    o AS (SELECT sample_id, point_id, (cos(th)*px - sin(th)*py)*k + 0.01::DOUBLE*{_normal('5/px', 'sample_id', 'point_id')} AS px,
+      (sin(th)*px + cos(th)*py)*k + 0.01::DOUBLE*{_normal('5/py', 'sample_id', 'point_id')} AS py, pz*k + 0.01::DOUBLE*{_normal('5/pz', 'sample_id', 'point_id')} AS pz FROM s)
+    SELECT sample_id, {_AXSUM} FROM o GROUP BY sample_id""",
+)
 def augment_cloud(spark, sf):
     return _axes_sum(cl.augment_cloud(points(spark, sf), 5))
 
@@ -387,3 +417,17 @@ def bfs_parents(spark, sf):
 )
 def pick_joints(spark, sf):
     return sk.pick_joints(sk.segments(skeleton(spark, sf)[1]), 3)
+
+
+@query(
+    "W13",
+    f"""WITH RECURSIVE {SKEL}, {WALK}, c AS (SELECT sg.*, nx, ny FROM sg JOIN skel_nodes n ON n.sample_id = sg.sample_id AND n.node_id = node),
+    l AS (SELECT *, coalesce(sqrt(pow(nx - lag(nx) OVER w, 2) + pow(ny - lag(ny) OVER w, 2)), 0.0) AS st FROM c WINDOW w AS (PARTITION BY sample_id, s0, s1 ORDER BY pos))
+    SELECT sample_id, CAST(s0 AS INTEGER) AS seg_start, CAST(s1 AS INTEGER) AS seg_next, CAST(node AS INTEGER) AS node_id,
+      round(sum(st) OVER (PARTITION BY sample_id, s0, s1 ORDER BY pos), 9) AS arc FROM l""",
+)
+def arc_length(spark, sf):
+    nodes, edges = skeleton(spark, sf)
+    chain = sk.segments(edges).join(nodes, ["sample_id", "node_id"])
+    out = wi.arc_length(chain, ["sample_id", "seg_start", "seg_next"], "pos")
+    return _round(out.select("sample_id", "seg_start", "seg_next", "node_id", "arc"), r9, "arc")

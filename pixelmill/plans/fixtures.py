@@ -198,9 +198,11 @@ SKEL_EDGES = (
 )
 
 
-def skeleton(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): a 30-node tree per row of ``supplier``."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
+def skeleton(
+    spark: SparkSession, sf: str, source: str = "supplier", key: str = "s_suppkey"
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a 30-node tree per row of ``source``."""
+    s = table(spark, sf, source).select(F.col(key).alias("sample_id"))
     s = s.repartition(parallelism(spark), "sample_id")
     k = F.col("node_id").cast("bigint")
     nodes = s.select(
@@ -217,11 +219,17 @@ def skeleton(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-SKEL = f"""skel_nodes AS (SELECT s_suppkey AS sample_id, CAST(r.k AS INTEGER) AS node_id,
-  CAST(r.k*10 AS DOUBLE) AS nx, CAST((s_suppkey*3 + r.k*r.k) % 50 AS DOUBLE) AS ny, 0.0::DOUBLE AS nz
-  FROM supplier, (SELECT range AS k FROM range(30)) r),
-skel_edges AS (SELECT s_suppkey AS sample_id, e.a AS a, e.b AS b
-  FROM supplier, (VALUES {', '.join(str(e) for e in SKEL_EDGES)}) e(a, b))"""
+def skel_sql(source: str = "supplier", key: str = "s_suppkey") -> str:
+    return f"""skel_nodes AS (SELECT {key} AS sample_id, CAST(r.k AS INTEGER) AS node_id,
+  CAST(r.k*10 AS DOUBLE) AS nx, CAST(({key}*3 + r.k*r.k) % 50 AS DOUBLE) AS ny, 0.0::DOUBLE AS nz
+  FROM {source}, (SELECT range AS k FROM range(30)) r),
+skel_edges AS (SELECT {key} AS sample_id, e.a AS a, e.b AS b
+  FROM {source}, (VALUES {', '.join(str(e) for e in SKEL_EDGES)}) e(a, b))"""
+
+
+SKEL = skel_sql()
+#: A tree for every cloud of ``points``.
+CLOUD_SKEL = skel_sql("part", "p_partkey")
 
 
 def eval_log(spark: SparkSession, sf: str) -> DataFrame:

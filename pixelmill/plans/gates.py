@@ -13,11 +13,11 @@ from pixelmill.operators import windows as wi
 from pixelmill.operators.phash import phash_bits as phash
 from pixelmill.plans.cloud import BIND, bound
 from pixelmill.plans.fixtures import (
+    CLOUD_SKEL,
     HASHES,
     MAN,
     PIX,
     PTS,
-    SKEL,
     TIM,
     H,
     W,
@@ -225,7 +225,7 @@ def gate_protected_pixels(spark, sf):
 
 @query(
     "V18",
-    f"""WITH {PTS}, {SKEL}, {BIND}, p AS (SELECT quantile_cont(sqrt(d2), 0.95) AS p, count(DISTINCT (sample_id, a, b)) AS u FROM bind)
+    f"""WITH {PTS}, {CLOUD_SKEL}, {BIND}, p AS (SELECT quantile_cont(sqrt(d2), 0.95) AS p, count(DISTINCT (sample_id, a, b)) AS u FROM bind)
     SELECT {_row('bind_weights', '0', '1e-6', '0', 'TRUE')} UNION ALL SELECT {_row('bind_rebuilt', '0', '1e-9', '0', 'TRUE')}
     UNION ALL SELECT {_row('bind_offset_p95', 'round(p, 6)', '100', '0', 'p < 100')} FROM p WHERE p < 100
     UNION ALL SELECT {_row('bind_offset_p95', 'round(p, 6)', '100', '1', 'p < 100')} FROM p WHERE p >= 100

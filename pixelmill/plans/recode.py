@@ -235,7 +235,22 @@ def colour_bin(spark, sf):
     return out.groupBy("set_id", "colour_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P23")
+def _shift(tag: str) -> str:
+    return f"({_uniform_sql('11/' + tag, 'frame_id')}*2.0::DOUBLE - 1.0::DOUBLE)"
+
+
+def _channel_sql(n: int) -> str:
+    k = f"(({n}.0::DOUBLE + h/60.0::DOUBLE) % 6.0::DOUBLE)"
+    return f"CAST(round_even((v - v*s*greatest(0.0::DOUBLE, least({k}, 4.0::DOUBLE - {k}, 1.0::DOUBLE)))*255.0::DOUBLE, 0) AS INTEGER)"
+
+
+@query(
+    "P23",
+    f"""WITH {PIX}, {HSV}, sh AS (SELECT frame_id, y, x, (hue + {_shift('hue')}*25.0::DOUBLE + 360.0::DOUBLE) % 360.0::DOUBLE AS h,
+      least(1.0::DOUBLE, sat*(1.0::DOUBLE + {_shift('sat')}*0.25::DOUBLE)) AS s, least(1.0::DOUBLE, val*(1.0::DOUBLE + {_shift('val')}*0.2::DOUBLE)) AS v FROM hsv),
+    j AS (SELECT frame_id, y, x, {_channel_sql(1)} AS b, {_channel_sql(3)} AS g, {_channel_sql(5)} AS r FROM sh) """
+    + digest_sql("j", "frame_id", ["b", "g", "r"]),
+)
 def hsv_jitter(spark, sf):
     out = rc.hsv_jitter(pixels(spark, sf), ["frame_id"], 11)
     return digest(out, ["frame_id"], ["b", "g", "r"])

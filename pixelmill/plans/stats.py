@@ -44,7 +44,7 @@ BIN_CASE = "CASE " + " ".join(
     f"WHEN pr >= {a} AND pr < {b} THEN {i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:]))
 ) + " END"
 HIST = f"""pr AS (SELECT set_id, pred_a, prob_pm/1000.0::DOUBLE AS pr FROM pix),
-    hb AS (SELECT set_id, {BIN_CASE} AS bin, count(*) AS c FROM pr WHERE pred_a < 2 GROUP BY ALL),
+    hb AS (SELECT set_id, {BIN_CASE} AS bin, count(*) AS c FROM pr GROUP BY ALL),
     hist AS (SELECT s.set_id, CAST(e.bin AS INTEGER) AS bin, e.lo, e.hi, coalesce(c, 0) AS n
       FROM (SELECT DISTINCT set_id FROM pr) s, (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(zip(EDGES, EDGES[1:])))}) e(bin, lo, hi)
       LEFT JOIN hb ON hb.set_id = s.set_id AND hb.bin = e.bin)"""
@@ -52,7 +52,7 @@ HIST = f"""pr AS (SELECT set_id, pred_a, prob_pm/1000.0::DOUBLE AS pr FROM pix),
 
 @query("A13", f"WITH {PIX}, {HIST} SELECT * FROM hist")
 def histogram(spark, sf):
-    px = pixels(spark, sf).filter(F.col("pred_a") < 2)
+    px = pixels(spark, sf)
     return st.histogram(px, prob(), EDGES, ["set_id"])
 
 
@@ -74,7 +74,7 @@ def weighted_histogram_peak(spark, sf):
     SELECT set_id, min(mid) FILTER (cum >= 0.5*t) AS median, min(mid) FILTER (cum >= 0.9*t) AS p90 FROM c GROUP BY set_id""",
 )
 def histogram_percentile(spark, sf):
-    px = pixels(spark, sf).filter(F.col("pred_a") < 2)
+    px = pixels(spark, sf)
     h = st.histogram(px, prob(), EDGES, ["set_id"])
     return st.histogram_percentile(h, {"median": 0.5, "p90": 0.9}, ["set_id"])
 

@@ -13,13 +13,11 @@ from pixelmill.plans.fixtures import (
     EVALS,
     PIX,
     PTS,
-    SKEL,
     H,
     W,
     eval_log,
     pixels,
     points,
-    skeleton,
 )
 from pixelmill.plans.registry import query, r6, r9
 from pixelmill.sources.logs import eval_rows, loss_rows
@@ -68,7 +66,7 @@ def peak_and_final(spark, sf):
 
 @query(
     "W3",
-    f"""WITH {EVALS}, l2 AS (SELECT arm, epoch, loss FROM losses WHERE epoch % 3 = 0),
+    f"""WITH {EVALS}, l2 AS (SELECT arm, epoch // 3 AS epoch, loss FROM losses),
     e AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY epoch) - 1 AS j, count(*) OVER (PARTITION BY arm) AS ne FROM
       (SELECT arm, epoch, avg(loss) AS train_loss FROM l2 GROUP BY ALL)),
     v AS (SELECT *, count(*) OVER (PARTITION BY arm) AS n FROM evals)
@@ -77,8 +75,8 @@ def peak_and_final(spark, sf):
 )
 def align_loss_to_eval(spark, sf):
     log = eval_log(spark, sf)
-    # losses are logged less often than evaluations here, so several share an epoch
-    losses = loss_rows(log).filter(F.col("epoch") % 3 == 0)
+    # an epoch is three steps here, so there are fewer epochs than evaluations
+    losses = loss_rows(log).withColumn("epoch", F.floor(F.col("epoch") / 3))
     out = ev.align_loss_to_eval(_evals(spark, sf), losses)
     return _round(out.select("arm", "idx", "con", "train_loss"), r9, "train_loss")
 
@@ -297,20 +295,6 @@ def morph(spark, sf):
     return digest(px.select("frame_id", "y", "x", F.inline(rows)), ["frame_id", "op"], ["m"])
 
 
-@query(
-    "W13",
-    f"""WITH {SKEL}, s AS (SELECT sample_id, node_id, nx, ny FROM skel_nodes WHERE node_id < 20),
-    l AS (SELECT *, coalesce(sqrt(pow(nx - lag(nx) OVER w, 2) + pow(ny - lag(ny) OVER w, 2)), 0.0) AS st FROM s WINDOW w AS (PARTITION BY sample_id ORDER BY node_id))
-    SELECT sample_id, node_id, round(sum(st) OVER (PARTITION BY sample_id ORDER BY node_id), 9) AS arc FROM l""",
-)
-def arc_length(spark, sf):
-    nodes, _ = skeleton(spark, sf)
-    trunk = nodes.filter(F.col("node_id") < 20)
-    return _round(wi.arc_length(trunk, ["sample_id"], "node_id"), r9, "arc").select(
-        "sample_id", "node_id", "arc"
-    )
-
-
 MOTION = """mo AS (SELECT sample_id - sample_id % 5 AS clip, sample_id % 5 AS frame, point_id, px, py, pz FROM pts),
     md AS (SELECT *, sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2) + pow(pz - lag(pz) OVER w, 2)) AS d FROM mo
       WINDOW w AS (PARTITION BY clip, point_id ORDER BY frame)),

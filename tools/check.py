@@ -85,7 +85,7 @@ def main():
     import duckdb
 
     from pixelmill.plans import REGISTRY
-    from pixelmill.session import local_session
+    from pixelmill.session import local_session, ship_package
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.001")
@@ -95,6 +95,7 @@ def main():
     args = ap.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = local_session(8)
+    ship_package(spark)
     con = duckdb.connect()
     con.execute("SET memory_limit='8GB'")
     for t in TABLES:

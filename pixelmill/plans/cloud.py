@@ -239,7 +239,8 @@ PAIRS = [("front", "back"), ("right", "left"), ("top", "bottom")]
     "G11",
     f"""WITH {PTS}, {ZBUF}, {WORLD}, pr(a, b) AS (VALUES ('front', 'back'), ('right', 'left'), ('top', 'bottom')),
     d AS (SELECT f.sample_id, pr.a || '-' || pr.b AS pair, f.y, f.x, sqrt(min((f.wx-s.wx)*(f.wx-s.wx) + (f.wy-s.wy)*(f.wy-s.wy) + (f.wz-s.wz)*(f.wz-s.wz))) AS d
-      FROM wd f JOIN pr ON pr.a = f.view JOIN wd s ON s.sample_id = f.sample_id AND s.view = pr.b GROUP BY ALL)
+      FROM wd f JOIN pr ON pr.a = f.view JOIN wd s ON s.sample_id = f.sample_id AND s.view = pr.b
+      AND abs(f.wx-s.wx) <= 0.1 AND abs(f.wy-s.wy) <= 0.1 AND abs(f.wz-s.wz) <= 0.1 GROUP BY ALL)
     SELECT sample_id, pair, count(*) AS matches, round(avg(d), 9) AS mean_error FROM d WHERE d < 0.1 GROUP BY ALL""",
 )
 def cross_view_error(spark, sf):

@@ -1,4 +1,4 @@
-"""Check SQL (DuckDB) of the operators that SQL can express; exact, without hashes or candidates."""
+"""Check SQL (DuckDB) of the operators that SQL can express: no candidate search, and no hash shorter than md5."""
 
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 

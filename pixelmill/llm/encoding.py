@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from pixelmill.llm.arrays import texts
+from pixelmill.llm.arrays import span_hashes, texts
 from pixelmill.llm.segments import Kept, segments
 
 
@@ -50,9 +50,9 @@ class Encoded(NamedTuple):
     ids: np.ndarray
     #: each text's range in ids
     range: np.ndarray
-    #: the segments' places in ``kept``, a stand-in for words
-    slots: np.ndarray
-    slot_range: np.ndarray
+    #: the segments' hashes, a stand-in for words; the same in every batch, task and process
+    terms: np.ndarray
+    term_range: np.ndarray
 
 
 def encoded(batch: pa.RecordBatch, path: str, column: str = "text") -> Iterator[Encoded]:
@@ -60,8 +60,8 @@ def encoded(batch: pa.RecordBatch, path: str, column: str = "text") -> Iterator[
     known, special = kept(path), special_strings(path)
     for lo, hi, data, offsets in texts(batch, column):
         starts, first = segments(data, offsets)
-        slots = known.slots(data, starts)
-        ids, counts = known.gather(slots)
+        terms = span_hashes(data, starts[:-1], starts[1:])
+        ids, counts = known.gather(known.slots(data, starts, terms))
         bounds = np.concatenate([[0], np.cumsum(counts)])[first]
         raw = data.tobytes()
         if any(s in raw for s in special):
@@ -71,4 +71,4 @@ def encoded(batch: pa.RecordBatch, path: str, column: str = "text") -> Iterator[
                 if any(s in one for s in special):
                     parts[i] = encode(path, [one.decode()])[0]
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        yield Encoded(lo, ids, bounds, slots, first)
+        yield Encoded(lo, ids, bounds, terms, first)

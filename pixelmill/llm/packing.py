@@ -3,7 +3,8 @@
 Documents are dealt into shards of bounded size. Each shard has a BM25 inverted index of its
 own. A seed document opens a window; the index returns its unused neighbours, best first,
 and they are put behind it until the window is full. What does not fit any more opens the
-next window as its seed. A term is a segment of the text (``segments.py``).
+next window as its seed. A term is the 64-bit hash of a segment of the text
+(``segments.py``).
 """
 
 from __future__ import annotations
@@ -107,6 +108,29 @@ def cut(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int
         yield out
 
 
+def shards(
+    batches: Iterator[pa.RecordBatch], path: str, shard_tokens: int
+) -> Iterator[list[tuple[object, np.ndarray, np.ndarray, pa.DataType]]]:
+    """Documents of one shard after the other: id, token ids, terms and the id's type."""
+    known = kept(path)
+    some, size = [], 0
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for e in encoded(batch, path):
+            keys = batch.column(0).slice(e.first, len(e.range) - 1).to_pylist()
+            for i, key in enumerate(keys):
+                own = e.ids[e.range[i] : e.range[i + 1]]
+                if some and size + len(own) >= shard_tokens:
+                    yield some
+                    some, size = [], 0
+                terms = e.terms[e.term_range[i] : e.term_range[i + 1]]
+                some.append((key, own.copy(), terms.copy(), kind))
+                size += len(own) + 1
+        known.trim()
+    if some:
+        yield some
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -134,15 +158,12 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count(TaskContext.get().partitionId() << 36)
-        known = kept(path)
-        some, size = [], 0
-
-        def shard() -> Iterator[pa.RecordBatch]:
+        for some in shards(batches, path, shard_tokens):
             ids = [x for _, x, _, _ in some]
             lengths = np.array([len(x) + 1 for x in ids])
-            slots = [s for _, _, s, _ in some]
-            docs_ = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in slots])
-            index = Index(docs_, np.concatenate(slots), len(ids))
+            words = [t for _, _, t, _ in some]
+            docs_ = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in words])
+            index = Index(docs_, np.concatenate(words), len(ids))
             windows = fill(lengths, index, window, terms, most)
             if windows and (n := sum(p[2] for p in windows[-1])) < window and n & (n - 1):
                 windows[-1:] = cut(windows[-1])
@@ -157,22 +178,6 @@ def pack(
                     ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for e in encoded(batch, path):
-                keys = batch.column(0).slice(e.first, len(e.range) - 1).to_pylist()
-                for i, key in enumerate(keys):
-                    own = e.ids[e.range[i] : e.range[i + 1]]
-                    if some and size + len(own) >= shard_tokens:
-                        yield from shard()
-                        some, size = [], 0
-                    slots = e.slots[e.slot_range[i] : e.slot_range[i + 1]].astype(np.int32)
-                    some.append((key, own.copy(), slots, kind))
-                    size += len(own) + 1
-            known.trim()
-        if some:
-            yield from shard()
-
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

@@ -94,10 +94,11 @@ class Kept:
         if len(self.hash) > self.limit:
             self.clear()
 
-    def slots(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each segment the place of its result."""
-        h = span_hashes(data, starts[:-1], starts[1:])
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+    def slots(self, data: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """For each segment the place of its result, good until the next ``trim``."""
+        if hashes is None:
+            hashes = span_hashes(data, starts[:-1], starts[1:])
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hash, distinct)
         known = np.zeros(len(distinct), dtype=bool)
         inside = at < len(self.hash)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from pixelmill.llm import (
     token_files,
     transcripts,
 )
-from pixelmill.llm.encoding import tokenizer
+from pixelmill.llm.encoding import encoded, kept, tokenizer
 from pixelmill.session import scratch_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +90,18 @@ def test_packing(docs, empty, rows):
     assert packing.pack(empty, BYTE).count() == 0
 
 
+def test_terms_outlive_kept_segments(monkeypatch):
+    # kept segments start anew between two batches, as on a worker that has seen many
+    known = kept(BYTE)
+    monkeypatch.setattr(known, "limit", 0)
+    seen = []
+    for t in ("alpha beta", "gamma delta alpha beta"):
+        seen.append(next(encoded(pa.RecordBatch.from_pydict({"text": [t]}), BYTE))[3].tolist())
+        known.trim()
+    (a, b), (c, d, e, f) = seen[0], seen[1]
+    assert len({a, b, c, d, e}) == 5 and f == b
+
+
 def test_jaccard(docs, empty, rows):
     sets = []
     for _, t, _ in rows:

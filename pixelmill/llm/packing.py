@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from pixelmill.llm.arrays import ranges
 from pixelmill.llm.encoding import encoded, kept
 
+#: A term in more than one of so many documents has a row of weights, which is added as it is.
+DENSE = 4
+
 
 class Index:
     """BM25 inverted index of one shard: for each term the documents and their weights."""
@@ -36,27 +39,51 @@ class Index:
         norm = k1 * (1 - b + b * length / max(length.mean(), 1))
         idf = np.log1p((n_docs - self.df + 0.5) / (self.df + 0.5))
         self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
-        # the other way: each document's terms that others have too, rarest first
+        # the other way: each document's terms that others have too
         own = np.flatnonzero(self.df[term] > 1)
-        own = own[np.lexsort((self.df[term[own]], self.doc[own]))]
+        own = own[np.argsort(self.doc[own], kind="stable")]
         self.terms = term[own]
         self.of = np.searchsorted(self.doc[own], np.arange(n_docs + 1))
-
-    def neighbours(self, seed: int, used: np.ndarray, terms: int, most: int) -> list[int]:
-        """Unused documents by falling score against the seed's rarest terms; ties by place."""
-        query = self.terms[self.of[seed] : min(self.of[seed] + terms, self.of[seed + 1])]
-        if not len(query):
-            return []
-        at = ranges(self.start[query], self.df[query])
-        score = np.bincount(self.doc[at], self.weight[at], self.n_docs)
-        score[used] = 0
-        best = np.flatnonzero(score)
-        if len(best) > most:
-            best = best[np.argpartition(-score[best], most)[:most]]
-        return best[np.lexsort((best, -score[best]))].tolist()
-
-
-def fill(lengths: np.ndarray, index: Index, window: int, terms: int, most: int) -> list[list[tuple[int, int, int]]]:
+        # terms of many documents as rows, at most DENSE numbers for each posting
+        many = np.flatnonzero(self.df * DENSE > n_docs)
+        self.row = np.full(len(self.df), -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), n_docs))
+        dense = np.flatnonzero(self.row[term] >= 0)
+        self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
+
+    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """All documents that share a term with the seed, and their scores against all its terms."""
+        query = self.terms[self.of[seed] : self.of[seed + 1]]
+        row = self.row[query]
+        few = query[row < 0]
+        at = ranges(self.start[few], self.df[few])
+        if (row >= 0).any():
+            score = self.rows[row[row >= 0]].sum(axis=0)
+            score += np.bincount(self.doc[at], self.weight[at], self.n_docs)
+            docs = np.flatnonzero(score)
+            return docs, score[docs]
+        # nothing as long as the shard, for shards of very many short documents
+        docs, place = np.unique(self.doc[at], return_inverse=True)
+        return docs, np.bincount(place, self.weight[at], len(docs))
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term, by falling score; ties by place."""
+        docs, score = self.scores(seed)
+        free = ~used[docs]
+        docs, score = docs[free], score[free]
+        page = 64
+        while len(docs):
+            best = np.arange(len(docs))
+            if len(docs) > page:
+                # all documents of the page's lowest score are on it
+                best = np.flatnonzero(score >= -np.partition(-score, page - 1)[page - 1])
+            yield from docs[best[np.lexsort((docs[best], -score[best]))]].tolist()
+            docs, score = np.delete(docs, best), np.delete(score, best)
+            page *= 8
+
+
+def fill(lengths: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) pieces; only the last may be shorter."""
     used = np.zeros(len(lengths), dtype=bool)
     windows: list[list[tuple[int, int, int]]] = []
@@ -71,9 +98,9 @@ def fill(lengths: np.ndarray, index: Index, window: int, terms: int, most: int)
             else:
                 doc = next((d for d in near if not used[d]), -1)
                 if doc < 0 and pieces and asked != pieces[-1][0]:
-                    # the seed's neighbours, and if they run out those of the last document
+                    # all neighbours of the seed, and when they run out those of the last document
                     asked = pieces[-1][0] if asked >= 0 else pieces[0][0]
-                    near = iter(index.neighbours(asked, used, terms, most))
+                    near = index.neighbours(asked, used)
                     continue
                 if doc < 0:
                     while ahead < len(lengths) and used[ahead]:
@@ -137,8 +164,6 @@ def pack(
     end_id: int = 1,
     window: int = 2048,
     shard_tokens: int = 2_000_000,
-    terms: int = 32,
-    most: int = 16,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -150,8 +175,9 @@ def pack(
     reads, up to ``shard_tokens`` ids, or one document if that has more: no shuffle is
     needed, and memory does not grow with the table. Neighbours come from the same shard.
 
-    ``terms`` rarest words of the asking document make up a query, which returns ``most``
-    documents and is asked again when they are used up. Null and empty texts are documents of
+    A query is all words that the asking document shares with others; the answer is every
+    unused document with one of them, best first, and only when it is used up another
+    document is asked. Null and empty texts are documents of
     one id. Repeated rows and ids, null ids too, are packed each on their own; pieces are
     matched by sequence and offset, not by id. An empty table gives no pieces.
     """
@@ -164,7 +190,7 @@ def pack(
             words = [t for _, _, t, _ in some]
             docs_ = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in words])
             index = Index(docs_, np.concatenate(words), len(ids))
-            windows = fill(lengths, index, window, terms, most)
+            windows = fill(lengths, index, window)
             if windows and (n := sum(p[2] for p in windows[-1])) < window and n & (n - 1):
                 windows[-1:] = cut(windows[-1])
             rows = [(d, s, n, q, o) for p in windows for q in [next(number)] for (d, s, n), o in zip(p, _offsets(p))]

@@ -102,6 +102,35 @@ def test_terms_outlive_kept_segments(monkeypatch):
     assert len({a, b, c, d, e}) == 5 and f == b
 
 
+def test_packing_pages_through_all_neighbours(spark):
+    # 40 documents share one rare word each with the seed and nothing with each other; 200 share nothing
+    seed = "".join(f" rare{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(40))
+    near = [(1000 + i, f" {w}") for i, w in enumerate(seed.split())]
+    far = [(i, f"{i}") for i in range(1, 201)]
+    docs = spark.createDataFrame([(0, seed), *far, *near], "doc_id long, text string").coalesce(1)
+    pieces = sorted((p["sequence_id"], p["offset"], p["doc_id"]) for p in packing.pack(docs, BYTE).collect())
+    assert {d for _, _, d in pieces[1:41]} == {d for d, _ in near}
+
+
+def test_packing_scores_are_bm25_of_all_terms():
+    rng = np.random.default_rng(5)
+    texts = [rng.zipf(1.3, 80) % 300 for _ in range(90)]
+    index = packing.Index(np.repeat(np.arange(90), 80), np.concatenate(texts).astype(np.uint64), 90)
+    df = Counter(t for x in texts for t in set(x.tolist()))
+    for seed in range(90):
+        want = {}
+        for d, x in enumerate(texts):
+            tf = Counter(x.tolist())
+            common = set(tf) & set(texts[seed].tolist())
+            s = sum(np.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2) for t in common if df[t] > 1)
+            want |= {d: s} if s else {}
+        found, score = index.scores(seed)
+        assert dict(zip(found.tolist(), score)) == pytest.approx(want)
+        order = list(index.neighbours(seed, np.arange(90) == seed))
+        assert sorted(order) == sorted(set(want) - {seed})
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(order, order[1:]))
+
+
 def test_jaccard(docs, empty, rows):
     sets = []
     for _, t, _ in rows:

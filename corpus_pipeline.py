@@ -27,9 +27,24 @@ def _without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the text statistics and keep most of their words without frequent lines."""
-    judged = line_frequency.line_frequency(docs)
-    return _without(docs, row_key("doc_id", "text", "source"), judged.filter(~F.col("kept")).select("row_key"))
+    """Documents that pass the text statistics and keep most of their words, without frequent lines.
+
+    A text that loses lines has the others as they were, and a new n_chars; texts without a
+    frequent line stay as they are, to the byte.
+    """
+    judged = line_frequency.line_frequency(docs).filter(~F.col("kept") | (F.size("removed") > 0))
+    # rows of one key are equal and judged alike
+    judged = judged.groupBy("row_key").agg(F.first("kept"), F.first("removed"))
+    name, kept, removed = (_fresh(docs, n) for n in ("_key", "_kept", "_removed"))
+    out = docs.withColumn(name, row_key("doc_id", "text", "source")).join(judged.toDF(name, kept, removed), name, "left")
+    out = out.filter(F.coalesce(kept, F.lit(True)))
+    new = line_frequency.without_lines(F.col("text"), F.col(removed))
+    size = F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.char_length(new))
+    values = {
+        "text": F.when(F.col(removed).isNull(), F.col("text")).otherwise(new),
+        "n_chars": size.cast(docs.schema["n_chars"].dataType),
+    }
+    return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

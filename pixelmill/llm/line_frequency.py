@@ -49,7 +49,7 @@ def repeated_words(w: Words, n: int = 3) -> np.ndarray:
 
 
 class Lines:
-    """Lines with a word: raw hash, hash of the lower-case words, number of words, text."""
+    """Lines with a word: raw hash, hash of the lower-case words, number of words, text, place among the text's lines."""
 
     def __init__(self, w: Words):
         data, offsets = w.data, w.offsets
@@ -70,6 +70,7 @@ class Lines:
         self.words = last - first
         self.range = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.range))
+        self.number = np.searchsorted(breaks, self.starts) - np.searchsorted(breaks, offsets[self.doc])
 
     def repeated(self) -> np.ndarray:
         """Per text: lines equal to an earlier line."""
@@ -81,7 +82,7 @@ class Lines:
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_ROW = "_row long, row_key long, doc_id {kind}, host string, text_key long, line array<long>, line_words array<int>, " + _STATS
+_ROW = "_row long, row_key long, doc_id {kind}, host string, text_key long, line array<long>, line_words array<int>, line_number array<int>, " + _STATS
 
 
 def row_key(*columns: str) -> Column:
@@ -90,7 +91,7 @@ def row_key(*columns: str) -> Column:
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Statistics of every row, with its lines' hashes and numbers of words."""
+    """Statistics of every row, with its lines' hashes, numbers of words and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,6 +118,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         pa.array(signed(whole), pa.int64()),
                         lists(signed(lines.key), lines.range, pa.int64()),
                         lists(lines.words, lines.range, pa.int32()),
+                        lists(lines.number, lines.range, pa.int32()),
                         *(pa.array(v, pa.int64()) for v in longs),
                     ],
                     [c.split()[0] for c in _ROW.split(", ")],
@@ -144,7 +146,7 @@ def line_frequency(
     text: str = "text",
     host: str = "source",
 ) -> DataFrame:
-    """(_row, row_key, doc_id, statistics, n_lines_removed, n_words_left, base_failed, kept) of every row.
+    """(_row, row_key, doc_id, statistics, n_lines_removed, n_words_left, base_failed, kept, removed) of every row.
 
     A line goes if more than ``min_docs`` distinct documents of the host have it and they are
     more than ``max_share`` of the host's. Documents with the same text count once, so copies
@@ -155,7 +157,8 @@ def line_frequency(
 
     Null and empty texts have no words and fail. A null host is a host of its own. Repeated
     rows are judged each. Other columns are not looked at. ``_row`` tells rows apart; ``row_key``
-    finds the row again in ``docs``.
+    finds the row again in ``docs``. ``removed`` are the places of the lines that go, from 0, for
+    ``without_lines``.
     """
     stats = cut_lineage(text_statistics(docs, doc_id, text, host))
     texts_ = stats.groupBy("host", "text_key").agg(F.min("doc_id").alias("first"), F.first("line").alias("line"))
@@ -172,14 +175,18 @@ def line_frequency(
         .filter(F.col("n") > max_share * F.col("of"))
         .select("host", "line", "first", salt)
     )
-    both = F.inline(F.arrays_zip("line", "line_words")).alias("line", "words")
+    both = F.inline(F.arrays_zip("line", "line_words", "line_number")).alias("line", "words", "number")
     lost = (
         stats.select("_row", "doc_id", "host", both)
         .withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         .join(frequent, ["host", "line", "salt"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("_row")
-        .agg(F.sum("words").alias("lost"), F.count(F.lit(1)).alias("n_lines_removed"))
+        .agg(
+            F.sum("words").alias("lost"),
+            F.count(F.lit(1)).alias("n_lines_removed"),
+            F.array_sort(F.collect_list("number")).alias("removed"),
+        )
     )
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
@@ -193,4 +200,11 @@ def line_frequency(
         left.cast("long").alias("n_words_left"),
         failed.alias("base_failed"),
         (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """``text`` without the lines at these places; the others as they are, to the byte."""
+    lines = F.split(text, "\n", -1)
+    return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n")

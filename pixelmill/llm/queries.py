@@ -21,7 +21,7 @@ def _crc(ids: str = "ids"):
 
 @query(sql.LINE_FREQUENCY)
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.line_frequency(documents(spark, sf_dir)).drop("_row", "row_key")
+    return line_frequency.line_frequency(documents(spark, sf_dir)).drop("_row", "row_key", "removed")
 
 
 @query()

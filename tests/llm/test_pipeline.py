@@ -41,3 +41,20 @@ def test_stages(spark, tmp_path):
     for r in outs[4]:
         tokens[r["doc_id"]] += r["length"]
     assert set(tokens) == {r["doc_id"] for r in ins[4]} and all(r["doc_tokens"] == tokens[r["doc_id"]] for r in outs[4])
+
+
+def test_quality_rules_take_frequent_lines_out(spark):
+    import corpus_pipeline as p
+
+    body = [" ".join(f"d{i}w{j}é" for j in range(60)) for i in range(30)]
+    texts = [f"Site MENU here\n{b}\n\n  site menu  here" if i % 2 else f"{b}\r\n\nsite menu here\n \n" for i, b in enumerate(body[:20])]
+    texts += [f"\n{b}\n\nown\n" for b in body[20:]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[5], rows[25]], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted(map(tuple, p.quality_rules(spark, docs, "").collect()))
+    want = []
+    for i, t, *rest, n in [*rows, rows[5], rows[25]]:
+        if 0 < i < 20:  # the first document keeps the line
+            t = "\n".join(x for x in t.split("\n") if words(x.lower()) != ["site", "menu", "here"])
+        want.append((i, t, *rest, len(t)))
+    assert got == sorted(want) and p.quality_rules(spark, docs, "").schema == docs.schema

@@ -31,8 +31,10 @@ def mix(sources: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
 def oversample(
     df: DataFrame, mult: int, stride: int, cap: int = 4, split: str | None = "split"
 ) -> DataFrame:
-    """``mult`` train copies (at most ``cap``) at distinct set-id blocks; other splits once."""
-    mult = max(1, min(mult, cap))
+    """``mult`` train copies at distinct set-id blocks; other splits once. Above ``cap`` is an error."""
+    if mult > cap:
+        raise ValueError(f"{mult} copies asked for, the cap is {cap}")
+    mult = max(1, mult)
     copies = F.sequence(F.lit(0), F.lit(mult - 1))
     if split is not None:
         copies = F.when(F.col(split) == "train", copies).otherwise(F.array(F.lit(0)))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import cloud, gates, joins, recode, skeleton, splits
+from pixelmill.operators import cloud, gates, joins, mix, recode, skeleton, splits
 
 
 def test_banded_hamming_equals_brute_force(spark):
@@ -88,3 +88,9 @@ def test_licence_filter(spark):
     names = ["CC0", "cc by-nc 4.0", "CC BY 4.0", "cc-by-nd", None, "Public Domain", "CC BY-SA 3.0"]
     df = spark.createDataFrame([(n,) for n in names], "licence string")
     assert [r[0] for r in recode.licence_filter(df).collect()] == ["CC0", "CC BY 4.0", "Public Domain", "CC BY-SA 3.0"]
+
+
+def test_oversample_never_gives_fewer_copies_than_asked(spark):
+    man = spark.createDataFrame([(1, "1_a", 0, "train"), (2, "2_a", 1, "val")], "set_id int, base string, line_no int, split string")
+    with pytest.raises(ValueError):
+        mix.oversample(man, 5, 100)

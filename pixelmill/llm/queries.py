@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
+from pixelmill.llm import collocations, containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -95,3 +95,8 @@ def op5_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = transcripts.train(lines.filter(F.crc32(F.col("conv_id").cast("string")) % 4 != 2))
     found = transcripts.recover_roles(lines.select("conv_id", "pos", "line"), model)
     return transcripts.render_turns(found)
+
+
+@query(sql.COLLOCATIONS)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))

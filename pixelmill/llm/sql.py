@@ -124,3 +124,33 @@ pair AS (
 SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n::BIGINT AS n_item, n_shared::DOUBLE / n AS containment
 FROM pair JOIN size ON size.rid = item_row WHERE 100 * n_shared >= 75 * n
 """
+
+#: Every phrase counted as it is, and every candidate compared with every longer one.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS k)
+  ) GROUP BY lang, phrase, k HAVING count(*) >= 100
+), c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, n, x.f AS l, y.f AS r, j, (1000 * c.a * n) // (x.f * y.f) AS score
+  FROM c JOIN total USING (lang), (SELECT unnest(range(1, 5)) AS j), g x, g y
+  WHERE j < c.k AND x.lang = c.lang AND x.phrase = array_to_string(ws[1:j], ' ')
+    AND y.lang = c.lang AND y.phrase = array_to_string(ws[j + 1:c.k], ' ')
+), low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+apart AS (
+  SELECT * FROM low WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = low.lang AND len(c.phrase) > len(low.phrase) AND 100 * c.a >= 100 * low.a
+      AND contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM apart QUALIFY rank <= 2000
+"""

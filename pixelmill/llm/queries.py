@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import collocations, containment, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
+from pixelmill.llm import collocations, containment, cross_parsing, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -100,3 +100,12 @@ def op5_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.COLLOCATIONS)
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
+
+
+@query()
+def op12_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = cross_parsing.train(docs.filter(~held_out))
+    found = cross_parsing.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import collocations, containment, cross_parsing, factorisation, jaccard, line_frequency, packing, repeats, sharding, sql, token_counts, token_files, transcripts
+from pixelmill.llm import collocations, containment, cross_parsing, factorisation, jaccard, line_frequency, packing, prefix_trie, repeats, sharding, sql, token_counts, token_files, transcripts
 from pixelmill.llm.registry import QUERIES, SQL, query  # noqa: F401
 from pixelmill.session import scratch_dir
 
@@ -109,3 +109,9 @@ def op12_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = cross_parsing.train(docs.filter(~held_out))
     found = cross_parsing.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(sql.PREFIX_TRIE)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns))

@@ -154,3 +154,42 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM apart QUALIFY rank <= 2000
 """
+
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))"""
+
+#: Every prefix of every rebuilt conversation, and every node compared with all nodes below it.
+PREFIX_TRIE = f"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id AS c, role, text, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), size AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+conv AS MATERIALIZED (
+  SELECT size.c, size.c - size.c % 5 AS root, h, least(h, coalesce(base.n, 0)) AS shared
+  FROM (SELECT c, n, xor({_CRC}, 4294967295::UBIGINT)::BIGINT % 9 AS h FROM size) size
+  LEFT JOIN size base ON base.c = size.c - size.c % 5
+), r AS (
+  SELECT conv.c, t.p, role, text FROM conv JOIN t ON t.c = conv.root WHERE t.p <= h
+  UNION ALL
+  SELECT t.c, t.p - h + shared, role, text FROM conv JOIN t ON t.c = conv.c WHERE t.p > h
+), seq AS (
+  SELECT c, list(sha256(strlen(role)::VARCHAR || ':' || role || text) ORDER BY p) AS s, list(strlen(text) ORDER BY p) AS b FROM r GROUP BY c
+), whole AS (SELECT conv.c, coalesce(s, []) AS s, coalesce(b, []) AS b FROM conv LEFT JOIN seq USING (c)),
+path AS (
+  SELECT c, d, len(s) = d AS is_end, array_to_string(s[1:d], '') AS k, array_to_string(s[1:d - 1], '') AS above, coalesce(b[d], 0) AS bytes
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM whole)
+), node AS MATERIALIZED (
+  SELECT k, d, min(above) AS above, min(c) AS c, count(*) AS n, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '')) AS ends
+  FROM path GROUP BY k, d
+), kids AS (SELECT above AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (k, d)),
+below AS (
+  SELECT v.k, v.d, sum((u.n - 1) * u.bytes) AS saved, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM full_node v JOIN full_node u ON u.d >= v.d AND u.k[1:64 * v.d] = v.k GROUP BY v.k, v.d
+)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, up.c AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM full_node x JOIN below USING (k, d) LEFT JOIN node up ON x.d > 0 AND up.k = x.above AND up.d = x.d - 1
+"""

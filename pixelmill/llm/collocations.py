@@ -1,7 +1,7 @@
 """Collocation mining with count streams in prefix and suffix order.
 
-Three passes over the texts count words, pairs of frequent words, and longer phrases of
-frequent pairs. The counts are then laid out twice, as streams sorted by a phrase's words
+Three passes over the texts count words, short keys of pairs of frequent words, and phrases
+all of whose pairs have a frequent key. The counts are then laid out twice, as streams sorted by a phrase's words
 and by its words from the last to the first. In prefix order all beginnings of a phrase
 stand before it and its right extensions after it; in suffix order the same holds for its
 endings and left extensions. One walk in step with each stream therefore finds left, right
@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.arrays import mix, span_hashes
 from pixelmill.operators.ordered import row_index
-from pixelmill.session import cut_lineage
+from pixelmill.session import cut_lineage, parallelism
 
 #: Bytes of text counted at once.
 BLOCK = 8 << 20
 #: Bits of the filters that texts are read through; their 8 MB don't depend on the phrases.
 FILTER_BITS = 26
+#: Bits of a pair's key in the second pass; equal keys of different pairs only cost time.
+KEY_BITS = 40
+#: Words per bucket of pair keys.
+BUCKET = 4 << 20
 
 _U = np.uint64
 _PAIR = _U(0x9E3779B97F4A7C15)
@@ -118,11 +122,6 @@ def single_hash(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return mix(word + lang * _PAIR)
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """From the first word's ``single_hash`` and the second word's own hash."""
-    return mix(first * _PAIR + second)
-
-
 def passes(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     at = h & _U((1 << FILTER_BITS) - 1)
     return (bitmap[at >> _U(6)] >> (at & _U(63))) & _U(1) == 1
@@ -151,26 +150,90 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(b.names, some, pa.array([""] * len(some)), n)
 
 
-def count_pairs(frequent):
-    """Pairs of words that pass the filter of frequent words."""
+def pair_keys(b: Block, at: np.ndarray, words: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """The top bits of a hash of each pair of words."""
+    return mix(single[at] * _PAIR + words[at + 1]) >> _U(64 - KEY_BITS)
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of integers, all first bytes together and so on, as they compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+_KEY_BYTES, _COUNT_BYTES = KEY_BITS // 8, 4
+
+
+def count_pair_keys(frequent, buckets: int):
+    """(bucket, keys, counts): keys of pairs of frequent words, as differences of sorted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, buckets, dtype=np.uint64) * _U((1 << KEY_BITS) // buckets)
         for batch in batches:
             for b in blocks(batch):
-                single = single_hash(b.word_hashes()[b.code], b.lang_hashes())
+                words = b.word_hashes()[b.code]
+                single = single_hash(words, b.lang_hashes())
                 ok = passes(single, frequent.value)
                 at = np.flatnonzero(b.follows & ok[:-1] & ok[1:])
-                if len(at):
-                    keys = b.singles()[at] * b.base + b.code[at + 1]
-                    _, first, n = np.unique(keys, return_index=True, return_counts=True)
-                    at = at[first]
-                    yield _rows(b.names, b.lang[at], _joined(b, at, 2), n)
+                if not len(at):
+                    continue
+                keys, n = np.unique(pair_keys(b, at, words, single), return_counts=True)
+                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                rows = []
+                for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                    if lo < hi:
+                        steps = np.diff(keys[lo:hi], prepend=_U(0))
+                        rows.append((k, _planes(steps, _KEY_BYTES), _planes(n[lo:hi].astype(np.uint64), _COUNT_BYTES)))
+                kinds = (pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "counts"])
+
+    return run
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(n, first)
+
+
+def frequent_keys(min_count: int, most: int = 8_000_000):
+    """Filter bits of keys that reach ``min_count``; a partition's buckets come one after the other."""
+
+    def bits(keys: list, counts: list) -> pa.RecordBatch:
+        k, n = _summed(keys, counts)
+        return _bits(k[n >= min_count])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, size = None, [], [], 0
+        for batch in batches:
+            for bucket, k, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if bucket != now and keys:
+                    yield bits(keys, counts)
+                    keys, counts, size = [], [], 0
+                now = bucket
+                keys.append(np.cumsum(_from_planes(k, _KEY_BYTES), dtype=np.uint64))
+                counts.append(_from_planes(n, _COUNT_BYTES).astype(np.int64))
+                size += len(keys[-1])
+                if size > most:
+                    # what is the same so far becomes one
+                    some = _summed(keys, counts)
+                    keys, counts, size = [some[0]], [some[1]], 0
+        if keys:
+            yield bits(keys, counts)
 
     return run
 
 
-def count_longer(frequent, longest: int):
-    """Phrases of 3 to ``longest`` words, all pairs of which pass the filter of frequent pairs."""
+def count_phrases(frequent, longest: int):
+    """Phrases of 2 to ``longest`` words, all pairs of which pass the filter of frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,46 +241,41 @@ def count_longer(frequent, longest: int):
                 words = b.word_hashes()[b.code]
                 single = single_hash(words, b.lang_hashes())
                 pair = b.follows.copy()
-                pair[pair] = passes(pair_hash(single[:-1][pair], words[1:][pair]), frequent.value)
+                pair[pair] = passes(pair_keys(b, np.flatnonzero(pair), words, single), frequent.value)
                 at = np.flatnonzero(pair)
-                ids = b.singles()[at] * b.base + b.code[at + 1]
-                for n in range(3, longest + 1):
-                    # the phrases that go on, and their number with one more word
-                    on = np.zeros(len(at), dtype=bool)
-                    inside = at + n - 2 < len(pair)
-                    on[inside] = pair[at[inside] + n - 2]
-                    _, ids = np.unique(ids, return_inverse=True)
-                    at, ids = at[on], ids[on] * b.base + b.code[at[on] + n - 1]
+                ids = b.singles()[at]
+                for n in range(2, longest + 1):
+                    if n > 2:
+                        # the phrases that go on with one more word
+                        on = at + n - 2 < len(pair)
+                        on[on] = pair[at[on] + n - 2]
+                        at, ids = at[on], ids[on]
                     if not len(at):
                         break
-                    _, first, times = np.unique(ids, return_index=True, return_counts=True)
+                    ids = ids * b.base + b.code[at + n - 1]
+                    _, first, ids, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
                     yield _rows(b.names, b.lang[at[first]], _joined(b, at[first], n), times)
 
     return run
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(keys: np.ndarray) -> pa.RecordBatch:
+    at = keys & _U((1 << FILTER_BITS) - 1)
+    bit = (_U(1) << (at & _U(63))).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int32)), pa.array(bit)], ["w", "b"])
+
+
+def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lang, parts = text_hashes(batch.column(0)), pc.split_pattern(batch.column(1), " ")
-        size = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-        words = text_hashes(pc.list_flatten(parts))
-        first = np.cumsum(size) - size
-        h = single_hash(words[first], lang)
-        if len(size) and size[0] == 2:
-            h = pair_hash(h, words[first + 1])
-        at = h & _U((1 << FILTER_BITS) - 1)
-        bit = (_U(1) << (at & _U(63))).view(np.int64)
-        place = (at >> _U(6)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(bit)], ["w", "b"])
-
-
-def _filter(counts: DataFrame):
-    """A broadcast bitmap of phrases of one or two words, of fixed size."""
-    bits = counts.filter("phrase <> ''").select("lang", "phrase").mapInArrow(_filter_bits, "w int, b long")
+        yield _bits(single_hash(text_hashes(batch.column(1)), text_hashes(batch.column(0))))
+
+
+def _filter(bits: DataFrame):
+    """A broadcast bitmap from (w, b), of fixed size."""
     table = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     out[table["w"].to_numpy()] = table["b"].to_numpy()
-    return counts.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+    return bits.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
 def phrase_counts(docs: DataFrame, min_count: int, longest: int, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -233,13 +291,17 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int, text: str = "te
         total = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         return cut_lineage(total.filter((F.col("f") >= min_count) | (F.col("phrase") == "")))
 
-    out = words = counted(count_words)
-    if longest >= 2:
-        pairs = counted(count_pairs(_filter(words)))
-        out = out.unionByName(pairs)
-        if longest >= 3:
-            out = out.unionByName(counted(count_longer(_filter(pairs), longest)))
-    return out
+    words = counted(count_words)
+    if longest < 2:
+        return words
+    frequent = words.filter("phrase <> ''").select("lang", "phrase").mapInArrow(_word_bits, "w int, b long")
+    total = words.filter("phrase = ''").agg(F.sum("f")).first()[0] or 0
+    # a bucket is some millions of pairs, whatever the table's size
+    buckets = 1 << min(16, max(parallelism(docs.sparkSession), total // BUCKET).bit_length())
+    keys = rows.mapInArrow(count_pair_keys(_filter(frequent), buckets), "bucket int, keys binary, counts binary")
+    keys = keys.repartition("bucket").sortWithinPartitions("bucket")
+    pairs = _filter(keys.mapInArrow(frequent_keys(min_count), "w int, b long"))
+    return words.unionByName(counted(count_phrases(pairs, longest)))
 
 
 class Chain:

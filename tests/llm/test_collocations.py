@@ -107,3 +107,25 @@ def test_smallest_tables(spark):
     name = "op11_phrase_collocations"
     note, ok = compare(name, QUERIES[name](spark, SF), con, SQL[name])
     assert ok, note
+
+
+@pytest.mark.parametrize("most", [1, 30, 10**6])
+def test_pair_keys_are_summed_over_blocks(most):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows, all_keys = [], Counter()
+    for k in (3, 3, 3, 7):
+        keys = np.unique(rng.integers(k << 36, (k << 36) + 40, 25).astype(np.uint64))
+        n = rng.integers(1, 9, len(keys)).astype(np.uint64)
+        all_keys.update(dict(zip(keys.tolist(), n.tolist())))
+        steps = np.diff(keys, prepend=np.uint64(0))
+        rows.append((k, collocations._planes(steps, 5), collocations._planes(n, 4)))
+        assert (np.cumsum(collocations._from_planes(rows[-1][1], 5)) == keys).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "keys", "counts"])
+    bits = np.zeros(1 << 20, dtype=np.int64)
+    for out in collocations.frequent_keys(10, most)(iter([batch])):
+        np.bitwise_or.at(bits, out.column(0).to_numpy(), out.column(1).to_numpy())
+    some = np.array(sorted(all_keys), dtype=np.uint64)
+    assert collocations.passes(some, bits.view(np.uint64)).tolist() == [all_keys[k] >= 10 for k in some.tolist()]

@@ -117,7 +117,7 @@ def test_pair_keys_are_summed_over_blocks(most):
     rng = np.random.default_rng(1)
     rows, all_keys = [], Counter()
     for k in (3, 3, 3, 7):
-        keys = np.unique(rng.integers(k << 36, (k << 36) + 40, 25).astype(np.uint64))
+        keys = np.unique(rng.integers((k << 36) + 100 * k, (k << 36) + 100 * k + 40, 25).astype(np.uint64))
         n = rng.integers(1, 9, len(keys)).astype(np.uint64)
         all_keys.update(dict(zip(keys.tolist(), n.tolist())))
         steps = np.diff(keys, prepend=np.uint64(0))

@@ -1,7 +1,7 @@
 """Collocation mining with count streams in prefix and suffix order.
 
-Three passes over the texts count words, short keys of pairs of frequent words, and phrases
-all of whose pairs have a frequent key. The counts are then laid out twice, as streams sorted by a phrase's words
+Words are counted first, then short keys of pairs of frequent words, keys of longer phrases
+of frequent pairs, and at last the phrases themselves that have a frequent key. The counts are then laid out twice, as streams sorted by a phrase's words
 and by its words from the last to the first. In prefix order all beginnings of a phrase
 stand before it and its right extensions after it; in suffix order the same holds for its
 endings and left extensions. One walk in step with each stream therefore finds left, right
@@ -27,9 +27,9 @@ from pixelmill.session import cut_lineage, parallelism
 BLOCK = 8 << 20
 #: Bits of the filters that texts are read through; their 8 MB don't depend on the phrases.
 FILTER_BITS = 26
-#: Bits of a pair's key in the second pass; equal keys of different pairs only cost time.
+#: Bits of a phrase's key; equal keys of different phrases only cost time.
 KEY_BITS = 40
-#: Words per bucket of pair keys.
+#: Words per bucket of keys.
 BUCKET = 4 << 20
 
 _U = np.uint64
@@ -150,9 +150,23 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(b.names, some, pa.array([""] * len(some)), n)
 
 
-def pair_keys(b: Block, at: np.ndarray, words: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """The top bits of a hash of each pair of words."""
-    return mix(single[at] * _PAIR + words[at + 1]) >> _U(64 - KEY_BITS)
+def extended(h: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word, which stands at ``at``."""
+    return mix(h * _PAIR + words[at])
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    return h >> _U(64 - KEY_BITS)
+
+
+def pairs_of(b: Block, words: np.ndarray, single: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a frequent pair begins at a word, places of those that do, their hashes)."""
+    pair = b.follows.copy()
+    at = np.flatnonzero(pair)
+    h = extended(single[at], words, at + 1)
+    ok = passes(keys_of(h), frequent)
+    pair[at] = ok
+    return pair, at[ok], h[ok]
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -170,28 +184,53 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
 _KEY_BYTES, _COUNT_BYTES = KEY_BITS // 8, 4
 
 
+def _key_rows(keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, keys, counts): distinct keys as differences of sorted ones."""
+    keys, n = np.unique(keys, return_counts=True)
+    edges = np.arange(1, buckets, dtype=np.uint64) * _U((1 << KEY_BITS) // buckets)
+    bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    rows = []
+    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        if lo < hi:
+            steps = np.diff(keys[lo:hi], prepend=_U(0))
+            rows.append((k, _planes(steps, _KEY_BYTES), _planes(n[lo:hi].astype(np.uint64), _COUNT_BYTES)))
+    cols = list(zip(*rows)) or [[], [], []]
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "keys", "counts"])
+
+
 def count_pair_keys(frequent, buckets: int):
-    """(bucket, keys, counts): keys of pairs of frequent words, as differences of sorted ones."""
+    """Keys of pairs of words that pass the filter of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, buckets, dtype=np.uint64) * _U((1 << KEY_BITS) // buckets)
         for batch in batches:
             for b in blocks(batch):
                 words = b.word_hashes()[b.code]
                 single = single_hash(words, b.lang_hashes())
                 ok = passes(single, frequent.value)
                 at = np.flatnonzero(b.follows & ok[:-1] & ok[1:])
-                if not len(at):
-                    continue
-                keys, n = np.unique(pair_keys(b, at, words, single), return_counts=True)
-                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                rows = []
-                for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-                    if lo < hi:
-                        steps = np.diff(keys[lo:hi], prepend=_U(0))
-                        rows.append((k, _planes(steps, _KEY_BYTES), _planes(n[lo:hi].astype(np.uint64), _COUNT_BYTES)))
-                kinds = (pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "counts"])
+                yield _key_rows(keys_of(extended(single[at], words, at + 1)), buckets)
+
+    return run
+
+
+def count_longer_keys(frequent, buckets: int, longest: int):
+    """Keys of phrases of 3 to ``longest`` words, all pairs of which pass the filter of frequent pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch):
+                words = b.word_hashes()[b.code]
+                single = single_hash(words, b.lang_hashes())
+                pair, at, h = pairs_of(b, words, single, frequent.value)
+                found = []
+                for n in range(3, longest + 1):
+                    on = at + n - 2 < len(pair)
+                    on[on] = pair[at[on] + n - 2]
+                    at = at[on]
+                    h = extended(h[on], words, at + n - 1)
+                    found.append(keys_of(h))
+                yield _key_rows(np.concatenate(found), buckets)
 
     return run
 
@@ -232,24 +271,24 @@ def frequent_keys(min_count: int, most: int = 8_000_000):
     return run
 
 
-def count_phrases(frequent, longest: int):
-    """Phrases of 2 to ``longest`` words, all pairs of which pass the filter of frequent pairs."""
+def count_phrases(pairs, longer, longest: int):
+    """Phrases of 2 to ``longest`` words whose own key, and that of all their beginnings, is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch):
                 words = b.word_hashes()[b.code]
                 single = single_hash(words, b.lang_hashes())
-                pair = b.follows.copy()
-                pair[pair] = passes(pair_keys(b, np.flatnonzero(pair), words, single), frequent.value)
-                at = np.flatnonzero(pair)
+                pair, at, h = pairs_of(b, words, single, pairs.value)
                 ids = b.singles()[at]
                 for n in range(2, longest + 1):
                     if n > 2:
-                        # the phrases that go on with one more word
                         on = at + n - 2 < len(pair)
                         on[on] = pair[at[on] + n - 2]
                         at, ids = at[on], ids[on]
+                        h = extended(h[on], words, at + n - 1)
+                        on = passes(keys_of(h), longer.value)
+                        at, ids, h = at[on], ids[on], h[on]
                     if not len(at):
                         break
                     ids = ids * b.base + b.code[at + n - 1]
@@ -298,10 +337,15 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int, text: str = "te
     total = words.filter("phrase = ''").agg(F.sum("f")).first()[0] or 0
     # a bucket is some millions of pairs, whatever the table's size
     buckets = 1 << min(16, max(parallelism(docs.sparkSession), total // BUCKET).bit_length())
-    keys = rows.mapInArrow(count_pair_keys(_filter(frequent), buckets), "bucket int, keys binary, counts binary")
-    keys = keys.repartition("bucket").sortWithinPartitions("bucket")
-    pairs = _filter(keys.mapInArrow(frequent_keys(min_count), "w int, b long"))
-    return words.unionByName(counted(count_phrases(pairs, longest)))
+
+    def frequent_filter(run):
+        keys = rows.mapInArrow(run, "bucket int, keys binary, counts binary")
+        keys = keys.repartition("bucket").sortWithinPartitions("bucket")
+        return _filter(keys.mapInArrow(frequent_keys(min_count), "w int, b long"))
+
+    pairs = frequent_filter(count_pair_keys(_filter(frequent), buckets))
+    longer = frequent_filter(count_longer_keys(pairs, buckets, longest)) if longest > 2 else None
+    return words.unionByName(counted(count_phrases(pairs, longer, longest)))
 
 
 class Chain:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions.seeded import normal, uniform
+from pixelmill.operators import celltree
 from pixelmill.operators.components import components
 from pixelmill.operators.distance import value_of_nearest
 from pixelmill.operators.ordered import exact_percentiles, row_index
@@ -300,63 +301,26 @@ def nearest_point(
     by: Sequence[str] = ("sample_id",),
     id_a: Sequence[str] = ("point_id",),
     id_b: str = "point_id",
-    cell: float = 0.25,
     carry: Sequence[str] = (),
     exclude_self: bool = False,
 ) -> DataFrame:
     """The k nearest points of ``b`` for each row of ``a``: (by.., id_a.., rank, near_id,
     distance, near_<carry>..). Ties go to the lower id.
 
-    Points meet through a cell grid. A row is settled at cell size s when its k-th
-    neighbour lies within s, because the 27 cells around it cover that radius; the
-    others go on with cells twice as large. The smaller side is the one expanded.
+    Points meet through a tree of boxes (``celltree``), so neither a crowd in one place nor
+    an outlier matters. A row of ``a`` without finite coordinates comes back once, with NULL;
+    points of ``b`` without are no neighbours. A row whose cloud has no point in ``b`` has no
+    row; one with fewer than k has as many as there are. ``id_a`` tells rows of a cloud apart.
     """
     by, id_a = list(by), list(id_a)
-    right = _right(b, by, id_b, carry)
-    left = cut_lineage(a.select(*by, *id_a, *AXES))
-    facts = [F.count(F.lit(1))] + [F.max(F.abs(x)) for x in AXES]
-    n_left, *far_a = left.agg(*facts).first()
-    n_right, *far_b = b.agg(*facts).first()
-    stop = 4.0 * (sum(v for v in (*far_a, *far_b) if v is not None) + cell)
-    done, size = None, cell
-    while True:
-        last = size > stop
-        # the side with fewer rows is entered in the 27 cells around it
-        if n_left <= n_right:
-            pairs = _cells(left, size, 1).join(_right_cells(right, size, 0).hint("merge"), [*by, *_KEYS])
-        else:
-            pairs = _cells(left, size, 0).join(_right_cells(right, size, 1).hint("merge"), [*by, *_KEYS])
-        if exclude_self:
-            pairs = pairs.filter(F.col(id_a[-1]) != F.col("_bid"))
-        pairs = pairs.select(
-            *by, *id_a, _dist2().alias("_d2"), "_bid", *[f"near_{c}" for c in carry]
-        )
-        if k == 1:
-            best = F.min(F.struct("_d2", "_bid", *[f"near_{c}" for c in carry]))
-            top = pairs.groupBy(*by, *id_a).agg(best.alias("_t"))
-            top = top.select(*by, *id_a, F.lit(1).alias("rank"), "_t.*")
-        else:
-            w = Window.partitionBy(*by, *id_a).orderBy("_d2", "_bid")
-            top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        if not last:
-            settled = (
-                top.filter((F.col("rank") == k) & (F.col("_d2") <= size * size))
-                .select(*by, *id_a)
-            )
-            top = top.join(settled, [*by, *id_a], "left_semi")
-        top = cut_lineage(top)
-        done = top if done is None else done.unionByName(top)
-        if last:
-            break
-        left = cut_lineage(left.join(top.select(*by, *id_a).distinct(), [*by, *id_a], "left_anti"))
-        n_left = left.count()
-        if not n_left:
-            break
-        size *= 2.0
-    return done.select(
-        *by, *id_a, "rank", F.col("_bid").alias("near_id"), F.sqrt("_d2").alias("distance"),
-        *[f"near_{c}" for c in carry],
+    ok = celltree.finite(AXES)
+    found = celltree.nearest(a.filter(ok), b, k, by, id_a, id_b, carry, exclude_self)
+    out = found.select(
+        *by, *id_a, "rank", F.col("e.id").alias("near_id"), F.sqrt("d2").alias("distance"),
+        *[F.col(f"e.{c}").alias(f"near_{c}") for c in carry],
     )
+    lost = a.filter(~ok).select(*by, *id_a, F.lit(1).alias("rank"))
+    return out.unionByName(lost, allowMissingColumns=True)
 
 
 def within_radius(
@@ -453,12 +417,11 @@ def bind_to_edge(
 
 
 def roundtrip_error(
-    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), cell: float = 0.05,
-    sample: str = "sample_id",
+    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), sample: str = "sample_id",
 ) -> DataFrame:
     """Unproject every pixel, find its nearest original point: mean, p95, max per view."""
     world = unproject(pixels, views, size)
-    near = nearest_point(world, points, 1, [sample], ["view", "y", "x"], cell=cell)
+    near = nearest_point(world, points, 1, [sample], ["view", "y", "x"])
     pct = exact_percentiles(near, [sample, "view"], "distance", {"p95": 0.95})
     base = near.groupBy(sample, "view").agg(
         F.avg("distance").alias("mean"), F.max("distance").alias("max")
@@ -482,13 +445,12 @@ def view_coverage(points: DataFrame, views, size=(IMG_H, IMG_W), sample: str = "
 
 
 def label_consistency(
-    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), cell: float = 0.05,
-    sample: str = "sample_id",
+    points: DataFrame, pixels: DataFrame, views, size=(IMG_H, IMG_W), sample: str = "sample_id",
 ) -> DataFrame:
     """(label6, n, agree, share): does a pixel carry the label of its nearest point."""
     world = unproject(pixels, views, size)
     near = nearest_point(
-        world, points, 1, [sample], ["view", "y", "x"], cell=cell, carry=["label"]
+        world, points, 1, [sample], ["view", "y", "x"], carry=["label"]
     )
     j = near.join(pixels.select(sample, "view", "y", "x", "label6"), [sample, "view", "y", "x"])
     own = F.col("near_label") + 1 == F.col("label6")
@@ -551,10 +513,10 @@ def depth_envelope(
 
 
 def cloud_coverage(
-    a: DataFrame, b: DataFrame, thr: float, by: Sequence[str] = ("sample_id",), cell: float = 0.25
+    a: DataFrame, b: DataFrame, thr: float, by: Sequence[str] = ("sample_id",)
 ) -> DataFrame:
     """Per class of ``a``: share with a point of ``b`` nearer than thr; distance spread."""
-    near = nearest_point(a, b, 1, by, ["point_id"], cell=cell)
+    near = nearest_point(a, b, 1, by, ["point_id"])
     j = near.join(a.select(*by, "point_id", "label"), [*by, "point_id"])
     base = j.groupBy("label").agg(
         F.avg((F.col("distance") < thr).cast("double")).alias("coverage"),
@@ -613,11 +575,11 @@ def dbscan(
 
 
 def statistical_outliers(
-    points: DataFrame, k: int, ratio: float, by: Sequence[str] = ("sample_id",), cell: float = 0.25
+    points: DataFrame, k: int, ratio: float, by: Sequence[str] = ("sample_id",)
 ) -> DataFrame:
     """Points with their mean distance to k neighbours (itself included) and ``keep``:
     below the cloud's mean + ratio * sample std."""
-    near = nearest_point(points, points, k, by, ["point_id"], cell=cell)
+    near = nearest_point(points, points, k, by, ["point_id"])
     mean = near.groupBy(*by, "point_id").agg(F.avg("distance").alias("mean_distance"))
     stats = mean.groupBy(*by).agg(
         F.avg("mean_distance").alias("_m"), F.stddev_samp("mean_distance").alias("_s")

@@ -12,7 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.operators.joins import nearest_hamming
+from pixelmill.operators.hamming import nearest_hamming
+from pixelmill.operators.ordered import exact_percentiles
 from pixelmill.operators.ordered import exact_percentiles
 from pixelmill.operators.windows import morph
 
@@ -154,15 +155,15 @@ def leak_verdicts(
 ) -> DataFrame:
     """Verdict per candidate, first that applies: unreadable (no hash), exact, near, keep.
 
-    Both sides are (id, sha, hash). Adds min_distance (0 for an exact copy, NULL above
-    the threshold), nearest_id and verdict.
+    Both sides are (id, sha, hash). Adds min_distance (0 for an exact copy; NULL only without
+    a hash or if no forbidden row has one), nearest_id and verdict.
     """
     same = forbidden.filter(F.col(sha).isNotNull()).groupBy(sha).agg(F.min("id").alias("_exact"))
-    near = nearest_hamming(cand, forbidden.filter(F.col("hash").isNotNull()), thresh)
-    j = near.join(same, sha, "left")
-    exact = F.col("_exact").isNotNull()
+    j = nearest_hamming(cand, forbidden).join(same, sha, "left")
+    readable = F.col("hash").isNotNull()
+    exact = readable & F.col("_exact").isNotNull()
     verdict = (
-        F.when(F.col("hash").isNull(), "REJECT_UNREADABLE")
+        F.when(~readable, "REJECT_UNREADABLE")
         .when(exact, "REJECT_EXACTDUP")
         .when(F.col("min_distance") <= thresh, "REJECT_PHASH")
         .otherwise("KEEP")
@@ -181,10 +182,47 @@ def gate_leak(verdicts: DataFrame) -> DataFrame:
     return _bad_count(verdicts, "leak", F.col("verdict") != "KEEP", None)
 
 
+#: What the summary reports, in this order.
+_VERDICTS = {
+    "n_reject_exactdup": "REJECT_EXACTDUP",
+    "n_reject_phash": "REJECT_PHASH",
+    "n_reject_unreadable": "REJECT_UNREADABLE",
+    "n_kept": "KEEP",
+}
+_HISTOGRAM = 20
+
+
+def leak_summary(verdicts: DataFrame, forbidden: DataFrame, thresh: int) -> DataFrame:
+    """(metric, value): counts of verdicts, and how far away the nearest forbidden hashes are.
+
+    The distribution (min, p1, p5, median, mean, max) and the counts at 0 to 20 bits are over
+    readable candidates that are no exact copies; the distribution is NULL without any.
+    """
+    counts = verdicts.agg(
+        F.count(F.lit(1)).cast("double").alias("n_candidates"),
+        *[F.count_if(F.col("verdict") == v).cast("double").alias(k) for k, v in _VERDICTS.items()],
+    )
+    readable = forbidden.agg(F.count("hash").cast("double").alias("n_forbidden"), F.lit(float(thresh)).alias("phash_thresh"))
+    near = verdicts.filter(F.col("verdict").isin("REJECT_PHASH", "KEEP") & F.col("min_distance").isNotNull())
+    d = F.col("min_distance").cast("double")
+    qs = {"min": 0.0, "p1": 0.01, "p5": 0.05, "median": 0.5, "max": 1.0}
+    spread = exact_percentiles(near.select(d.alias("d")), [], "d", qs).agg(*[F.max(q).alias(q) for q in qs])
+    hist = near.agg(
+        F.avg(d).alias("mean"),
+        *[F.count_if(F.col("min_distance") == k).cast("double").alias(f"at_{k:02d}") for k in range(_HISTOGRAM + 1)],
+    )
+    out = None
+    for wide in (counts, readable, spread, hist):
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in wide.columns])
+        rows = wide.select(F.inline(cells))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def gate_min_hamming(a: DataFrame, b: DataFrame, limit: int = 10) -> DataFrame:
     """The closest pair between two hash sets is further apart than ``limit``."""
-    near = nearest_hamming(a, b, limit)
-    agg = near.agg(F.min("min_distance").alias("_m"), F.count("min_distance").alias("_n"))
+    near = nearest_hamming(a, b)
+    agg = near.agg(F.min("min_distance").alias("_m"), F.count_if(F.col("min_distance") <= limit).alias("_n"))
     return gate_rows(agg, "min_hamming", F.col("_m"), limit, F.col("_n"), F.col("_n") == 0)
 
 

@@ -159,7 +159,7 @@ D2 = "(a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz
 )
 def nearest_point(spark, sf):
     p = points(spark, sf)
-    out = cl.nearest_point(p.filter("label < 3"), p.filter("label >= 3"), 2, cell=0.5)
+    out = cl.nearest_point(p.filter("label < 3"), p.filter("label >= 3"), 2)
     return _round(out, r9, "distance")
 
 
@@ -209,7 +209,7 @@ WNEAR = """wn AS (SELECT w.sample_id, view, y, x, label6, min((wx-px)*(wx-px) +
       round(quantile_cont(sqrt(d2), 0.95), 9) AS p95 FROM wn GROUP BY ALL""",
 )
 def roundtrip_error(spark, sf):
-    out = cl.roundtrip_error(points(spark, sf), _zbuf(spark, sf), VIEWS, SIZE, cell=0.2)
+    out = cl.roundtrip_error(points(spark, sf), _zbuf(spark, sf), VIEWS, SIZE)
     return _round(out, r9, "mean", "p95", "max")
 
 
@@ -228,7 +228,7 @@ def view_coverage(spark, sf):
     f"""WITH {PTS}, {ZBUF}, {WORLD}, {WNEAR} SELECT CAST(label6 AS INTEGER) AS label6, count(*) AS n, count(*) FILTER (nl + 1 = label6) AS agree, round(count(*) FILTER (nl + 1 = label6)/count(*), 9) AS share FROM wn GROUP BY label6""",
 )
 def label_consistency(spark, sf):
-    out = cl.label_consistency(points(spark, sf), _zbuf(spark, sf), VIEWS, SIZE, cell=0.2)
+    out = cl.label_consistency(points(spark, sf), _zbuf(spark, sf), VIEWS, SIZE)
     return _round(out, r9, "share")
 
 
@@ -267,7 +267,7 @@ def depth_envelope(spark, sf):
 )
 def cloud_coverage(spark, sf):
     p = points(spark, sf)
-    out = cl.cloud_coverage(p, p.filter(F.col("point_id") % 2 == 1), 0.4, cell=0.4)
+    out = cl.cloud_coverage(p, p.filter(F.col("point_id") % 2 == 1), 0.4)
     return _round(out, r9, "coverage", "mean", "max", "median")
 
 
@@ -297,7 +297,7 @@ def dbscan(spark, sf):
     SELECT sample_id, point_id, round(md, 9) AS mean_distance, md <= mu + 1.0*sd AS keep FROM m JOIN s USING (sample_id)""",
 )
 def statistical_outliers(spark, sf):
-    out = cl.statistical_outliers(points(spark, sf), 6, 1.0, cell=0.5)
+    out = cl.statistical_outliers(points(spark, sf), 6, 1.0)
     return _round(out, r9, "mean_distance")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import colour
 from pixelmill.operators import gates as gt
+from pixelmill.operators import hamming as hm
 from pixelmill.operators import joins as jo
 from pixelmill.operators import recode as rc
 from pixelmill.operators import splits as sp
@@ -123,12 +124,12 @@ def gate_first_line(spark, sf):
 
 VERD = f"""{HASHES}, ids AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents), b AS (SELECT h.id, protected, CASE WHEN h.id % 53 = 5 AND NOT protected THEN NULL ELSE hash END AS hash, i.sha FROM hashes h JOIN ids i ON i.id = h.id % (SELECT count(*) FROM documents)),
     ex AS (SELECT sha, min(id) AS eid FROM b WHERE protected GROUP BY sha), {NEAR},
-    v AS (SELECT b.id, CASE WHEN hash IS NULL THEN 'REJECT_UNREADABLE' WHEN eid IS NOT NULL THEN 'REJECT_EXACTDUP' WHEN nh.id IS NOT NULL THEN 'REJECT_PHASH' ELSE 'KEEP' END AS verdict,
-      CAST(CASE WHEN eid IS NOT NULL THEN 0 WHEN hash IS NULL THEN NULL ELSE min_distance END AS INTEGER) AS min_distance, CASE WHEN eid IS NOT NULL THEN eid WHEN hash IS NULL THEN NULL ELSE nearest_id END AS nearest_id
+    v AS (SELECT b.id, CASE WHEN hash IS NULL THEN 'REJECT_UNREADABLE' WHEN eid IS NOT NULL THEN 'REJECT_EXACTDUP' WHEN min_distance <= 8 THEN 'REJECT_PHASH' ELSE 'KEEP' END AS verdict,
+      CAST(CASE WHEN hash IS NULL THEN NULL WHEN eid IS NOT NULL THEN 0 ELSE min_distance END AS INTEGER) AS min_distance, CASE WHEN hash IS NULL THEN NULL WHEN eid IS NOT NULL THEN eid ELSE nearest_id END AS nearest_id
       FROM b LEFT JOIN ex USING (sha) LEFT JOIN nh ON nh.id = b.id WHERE NOT protected)"""
 
 
-def _verdicts(spark, sf):
+def _sides(spark, sf):
     docs = table(spark, sf, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     shas = docs.select(F.col("doc_id").alias("_k"), F.sha2("text", 256).alias("sha"))
@@ -136,9 +137,11 @@ def _verdicts(spark, sf):
     h = h.withColumn("_k", F.col("id") % n).join(shas, "_k").drop("_k")
     unread = (F.col("id") % 53 == 5) & ~F.col("protected")
     h = h.withColumn("hash", F.when(~unread, F.col("hash")))
-    cand, bad = h.filter(~F.col("protected")), h.filter("protected")
-    cols = ("id", "sha", "hash")
-    return gt.leak_verdicts(cand.select(*cols), bad.select(*cols), 8)
+    return [h.filter(c).select("id", "sha", "hash") for c in (~F.col("protected"), F.col("protected"))]
+
+
+def _verdicts(spark, sf):
+    return gt.leak_verdicts(*_sides(spark, sf), 8)
 
 
 @query("V9", f"WITH {VERD} SELECT id, verdict, min_distance, nearest_id FROM v")
@@ -151,9 +154,43 @@ def gate_leak(spark, sf):
     return gt.gate_leak(_verdicts(spark, sf))
 
 
+_SPREAD = {"min": "min(d)", "p1": "quantile_cont(d, 0.01)", "p5": "quantile_cont(d, 0.05)", "median": "median(d)", "mean": "avg(d)", "max": "max(d)"}
+_COUNTS = {
+    "n_candidates": "count(*)",
+    "n_reject_exactdup": "count(*) FILTER (verdict = 'REJECT_EXACTDUP')",
+    "n_reject_phash": "count(*) FILTER (verdict = 'REJECT_PHASH')",
+    "n_reject_unreadable": "count(*) FILTER (verdict = 'REJECT_UNREADABLE')",
+    "n_kept": "count(*) FILTER (verdict = 'KEEP')",
+    "n_forbidden": "min((SELECT count(hash) FROM b WHERE protected))",
+    "phash_thresh": "min(8)",
+}
+_CELLS = [f"SELECT '{k}' AS metric, CAST({e} AS DOUBLE) AS value FROM v" for k, e in _COUNTS.items()]
+_CELLS += [f"SELECT '{k}', round(CAST({e} AS DOUBLE), 6) FROM d" for k, e in _SPREAD.items()]
+_CELLS += [f"SELECT 'at_{k:02d}', CAST(count(*) FILTER (d = {k}) AS DOUBLE) FROM d" for k in range(21)]
+
+
+@query(
+    "V9",
+    f"WITH {VERD}, d AS (SELECT min_distance AS d FROM v WHERE verdict IN ('REJECT_PHASH', 'KEEP')) " + " UNION ALL ".join(_CELLS),
+)
+def gate_leak_summary(spark, sf):
+    cand, bad = _sides(spark, sf)
+    out = gt.leak_summary(gt.leak_verdicts(cand, bad, 8), bad, 8)
+    return out.withColumn("value", r6(F.col("value")))
+
+
+@query(
+    "V10",
+    f"""WITH {HASHES}, {NEAR} SELECT min_distance, id, nearest_id FROM nh ORDER BY min_distance, id, nearest_id LIMIT 1""",
+)
+def closest_pair(spark, sf):
+    h = sign_hashes(spark, sf)
+    return hm.closest_pair(h.filter(~F.col("protected")), h.filter("protected"))
+
+
 @query(
     "V10",
-    f"""WITH {HASHES}, {NEAR} SELECT {_row('min_hamming', 'min(min_distance)', '8', 'count(*)', 'count(*) = 0')} FROM nh""",
+    f"""WITH {HASHES}, {NEAR} SELECT {_row('min_hamming', 'min(min_distance)', '8', 'count(*) FILTER (min_distance <= 8)', 'count(*) FILTER (min_distance <= 8) = 0')} FROM nh""",
 )
 def gate_min_hamming(spark, sf):
     h = sign_hashes(spark, sf)

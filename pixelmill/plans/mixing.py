@@ -454,7 +454,7 @@ def exclude_exact(spark, sf):
 
 
 NEAR = """hd AS (SELECT a.id, bit_count(xor(a.hash, b.hash)) AS d, b.id AS bid FROM hashes a JOIN hashes b ON NOT a.protected AND b.protected),
-    nh AS (SELECT id, CAST(min(d) AS INTEGER) AS min_distance, CAST(min(d*1000000000::BIGINT + bid) % 1000000000 AS BIGINT) AS nearest_id FROM hd WHERE d <= 8 GROUP BY id)"""
+    nh AS (SELECT id, CAST(min(d) AS INTEGER) AS min_distance, CAST(min(d*1000000000::BIGINT + bid) % 1000000000 AS BIGINT) AS nearest_id FROM hd GROUP BY id)"""
 
 
 @query(
@@ -463,7 +463,7 @@ NEAR = """hd AS (SELECT a.id, bit_count(xor(a.hash, b.hash)) AS d, b.id AS bid F
 )
 def nearest_hamming(spark, sf):
     h = sign_hashes(spark, sf)
-    out = jo.nearest_hamming(h.filter(~F.col("protected")), h.filter("protected"), 8)
+    out = jo.nearest_hamming(h.filter(~F.col("protected")), h.filter("protected"))
     return out.select("id", "min_distance", "nearest_id")
 
 

@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import cloud, gates, joins, mix, recode, skeleton, splits
+from pixelmill.operators import celltree, cloud, gates, hamming, joins, mix, recode, skeleton, splits
 
 
 def test_banded_hamming_equals_brute_force(spark):
@@ -23,6 +24,53 @@ def test_banded_hamming_equals_brute_force(spark):
         assert got[i] == (best if best[0] <= 10 else (None, None))
 
 
+@pytest.mark.parametrize("crowd", [1024, 3])
+@pytest.mark.parametrize("limit", [None, 20])
+def test_nearest_hash_at_any_distance(spark, crowd, limit, monkeypatch):
+    monkeypatch.setattr(hamming, "CROWD", crowd)
+    monkeypatch.setattr(hamming, "BLOCK", 70)
+    rng = random.Random(6)
+    bad = [rng.getrandbits(64) for _ in range(90)] + [0, (1 << 64) - 1]
+    # many near-equal hashes share bands; some candidates are near, most are far, some are unreadable
+    bad += [0xABCD ^ (1 << i) for i in range(64)] + bad[:5]
+    cand = [rng.getrandbits(64) for _ in range(150)] + bad[:10] + [b ^ 0b1011 << 7 for b in bad[60:80]] + [0xABCD] * 30
+
+    def signed(v):
+        return None if v is None else v - (1 << 64) if v >= 1 << 63 else v
+
+    a = spark.createDataFrame([(i, signed(v)) for i, v in enumerate([*cand, None])], "id bigint, hash bigint")
+    b = spark.createDataFrame([(i, signed(v)) for i, v in enumerate([*bad, None])], "id bigint, hash bigint")
+    got = {r["id"]: (r["min_distance"], r["nearest_id"]) for r in hamming.nearest_hamming(a, b, limit).collect()}
+    assert len(got) == len(cand) + 1 and got[len(cand)] == (None, None)
+    best = [min(((v ^ w).bit_count(), j) for j, w in enumerate(bad)) for v in cand]
+    for i, x in enumerate(best):
+        assert got[i] == (x if limit is None or x[0] <= limit else (None, None))
+    if limit is None:
+        pair = hamming.closest_pair(a.filter("id < 150"), b).first()
+        assert tuple(pair) == min((x[0], i, x[1]) for i, x in enumerate(best[:150]))
+        assert hamming.closest_pair(a, b.filter("hash is null")).first()[0] is None
+        assert gates.gate_min_hamming(a.limit(0), b).first()["passed"]
+
+
+def test_leak_summary(spark):
+    rows = [(0, "x", 0), (1, "a", 1), (2, None, 3), (3, "d", (1 << 13) - 1), (4, "e", None), (5, "x", None)]
+    cand = spark.createDataFrame(rows, "id bigint, sha string, hash bigint")
+    bad = spark.createDataFrame([(7, "x", 0), (8, "q", None)], "id bigint, sha string, hash bigint")
+    v = gates.leak_verdicts(cand, bad, 2)
+    got = {r["id"]: (r["verdict"], r["min_distance"], r["nearest_id"]) for r in v.collect()}
+    assert got == {
+        0: ("REJECT_EXACTDUP", 0, 7), 1: ("REJECT_PHASH", 1, 7), 2: ("REJECT_PHASH", 2, 7), 3: ("KEEP", 13, 7),
+        4: ("REJECT_UNREADABLE", None, None), 5: ("REJECT_UNREADABLE", None, None),
+    }
+    s = {r["metric"]: r["value"] for r in gates.leak_summary(v, bad, 2).collect()}
+    want = {"n_candidates": 6, "n_forbidden": 1, "n_reject_exactdup": 1, "n_reject_phash": 2, "n_reject_unreadable": 2, "n_kept": 1}
+    assert {k: s[k] for k in want} == want
+    assert [s[k] for k in ("min", "median", "max", "p5")] == [1, 2, 13, 1.1] and abs(s["mean"] - 16 / 3) < 1e-12
+    assert s["at_01"] == s["at_02"] == s["at_13"] == 1 and sum(s[f"at_{k:02d}"] for k in range(21)) == 3
+    none = {r["metric"]: r["value"] for r in gates.leak_summary(v.limit(0), bad, 2).collect()}
+    assert none["min"] is None and none["n_kept"] == 0
+
+
 def test_neighbours_equal_brute_force_with_a_hot_cell(spark):
     rng = np.random.default_rng(4)
     tight = rng.normal(0, 0.001, (60, 3))
@@ -32,13 +80,53 @@ def test_neighbours_equal_brute_force_with_a_hot_cell(spark):
         [(0, i, *map(float, p)) for i, p in enumerate(pts)],
         "sample_id bigint, point_id int, px double, py double, pz double",
     )
-    out = cloud.nearest_point(df, df, 3, cell=0.05, exclude_self=True).collect()
+    out = cloud.nearest_point(df, df, 3, exclude_self=True).collect()
     got = {(r["point_id"], r["rank"]): r["near_id"] for r in out}
     for i, p in enumerate(pts):
         d = [(((p - q) ** 2).sum(), j) for j, q in enumerate(pts) if j != i]
         assert [got[(i, k)] for k in (1, 2, 3)] == [j for _, j in sorted(d)[:3]]
 
 
+@pytest.mark.parametrize("k", [1, 4])
+@pytest.mark.parametrize("exclude", [False, True])
+def test_nearest_points_in_a_deep_tree(spark, k, exclude, monkeypatch):
+    monkeypatch.setattr(celltree, "LEAF", 5)
+    monkeypatch.setattr(celltree, "FAN", 3)
+    rng = np.random.default_rng(8)
+    tight = rng.normal(5, 1e-6, (150, 3))
+    wide = rng.uniform(-3, 3, (120, 3))
+    same = np.tile([[1.0, 2.0, 3.0]], (20, 1))
+    grid = rng.integers(0, 3, (60, 3)).astype(float)
+    pts = np.concatenate([tight, wide, same, grid, [[1e9, 0, 0]], [[0, -1e9, 5]]])
+    rows = [(s, i, *map(float, p)) for s in (0, 1) for i, p in enumerate(pts) if s == 0 or i % 40 == 0]
+    odd = [(0, 900, float("nan"), 0.0, 0.0), (0, 901, None, 1.0, 1.0), (1, 902, float("-inf"), 0.0, 0.0), (7, 903, 0.0, float("nan"), 0.0)]
+    df = spark.createDataFrame(rows + odd, "sample_id bigint, point_id int, px double, py double, pz double").repartition(3)
+    b = df.filter("point_id % 3 > 0").withColumn("label", F.col("point_id") % 7)
+    got = {}
+    for r in cloud.nearest_point(df, b, k, carry=["label"], exclude_self=exclude).collect():
+        got.setdefault((r["sample_id"], r["point_id"]), []).append((r["rank"], r["distance"], r["near_id"], r["near_label"]))
+    for s, i, *p in odd:
+        assert got.pop((s, i)) == [(1, None, None, None)]
+    for s, i, *p in rows:
+        d = [(float(((np.array(p) - q[2:]) ** 2).sum()), q[1]) for q in rows if q[0] == s and q[1] % 3 and not (exclude and q[1] == i)]
+        want = [(n + 1, j, j % 7) for n, (_, j) in enumerate(sorted(d)[:k])]
+        some = sorted(got[(s, i)])
+        assert [(x[0], x[2], x[3]) for x in some] == want
+        assert np.allclose([x[1] for x in some], [x**0.5 for x, _ in sorted(d)[:k]])
+
+
+def test_a_crowd_and_an_outlier_take_few_rounds(spark):
+    """A million points in one small place and one at 1e9; each finds its copy."""
+    n = 1_000_000
+    u = [F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1 << 30)) / float(1 << 30) for j in range(3)]
+    far = F.when(F.col("id") == 0, 1e9).otherwise(0.0)
+    b = spark.range(n).select(F.lit(0).alias("sample_id"), F.col("id").alias("point_id"), (u[0] * 1e-3 + far).alias("px"), (u[1] * 1e-3).alias("py"), (u[2] * 1e-3).alias("pz"))
+    a = b.filter("point_id % 50 = 0 or point_id = 7").withColumn("px", F.when(F.col("point_id") == 7, float("nan")).otherwise(F.col("px")))
+    t = time.time()
+    r = cloud.nearest_point(a, b).agg(F.count_if(F.col("near_id") == F.col("point_id")).alias("same"), F.count_if(F.col("near_id").isNull()).alias("none")).first()
+    assert (r["same"], r["none"]) == (n // 50, 1) and time.time() - t < 240
+
+
 def test_segments_and_bfs_of_a_small_tree(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 2, 4), (1, 4, 5)], "sample_id bigint, a int, b int")
     rows = skeleton.segments(edges).orderBy("seg_start", "seg_next", "pos").collect()

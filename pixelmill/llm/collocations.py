@@ -271,8 +271,15 @@ def frequent_keys(min_count: int, most: int = 8_000_000):
     return run
 
 
-def count_phrases(pairs, longer, longest: int):
-    """Phrases of 2 to ``longest`` words whose own key, and that of all their beginnings, is frequent."""
+_RUNS = "bucket int, lang string, phrases array<string>, counts array<long>"
+
+
+def count_phrases(pairs, longer, buckets: int, longest: int):
+    """Phrases of 2 to ``longest`` words whose own key, and that of all their beginnings, is frequent.
+
+    A block gives one row per bucket and language, with its phrases and their counts.
+    """
+    width = _U((1 << KEY_BITS) // buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +288,7 @@ def count_phrases(pairs, longer, longest: int):
                 single = single_hash(words, b.lang_hashes())
                 pair, at, h = pairs_of(b, words, single, pairs.value)
                 ids = b.singles()[at]
+                found = []
                 for n in range(2, longest + 1):
                     if n > 2:
                         on = at + n - 2 < len(pair)
@@ -293,7 +301,57 @@ def count_phrases(pairs, longer, longest: int):
                         break
                     ids = ids * b.base + b.code[at + n - 1]
                     _, first, ids, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-                    yield _rows(b.names, b.lang[at[first]], _joined(b, at[first], n), times)
+                    bucket = (keys_of(h[first]) // width).astype(np.int64)
+                    found.append((b.lang[at[first]], bucket, _joined(b, at[first], n), times))
+                if not found:
+                    continue
+                lang, bucket, phrases, counts = zip(*found)
+                lang, bucket = np.concatenate(lang), np.concatenate(bucket)
+                order = np.lexsort((bucket, lang))
+                lang, bucket = lang[order], bucket[order]
+                first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])]))
+                bounds = pa.array(np.append(first, len(order)).astype(np.int32))
+                phrases = pa.chunked_array(phrases).take(pa.array(order)).combine_chunks().cast(pa.string())
+                cols = [
+                    pa.array(bucket[first], pa.int32()),
+                    b.names.take(pa.array(lang[first])),
+                    pa.ListArray.from_arrays(bounds, phrases),
+                    pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(counts)[order], pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "phrases", "counts"])
+
+    return run
+
+
+def merge_runs(min_count: int, most: int = 2_000_000):
+    """(lang, phrase, f) of frequent phrases from rows of ``count_phrases`` sorted by bucket and language."""
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+        return table.rename_columns(["phrase", "n"])
+
+    def frequent(lang: str, parts: list[pa.Table]) -> pa.RecordBatch:
+        table = summed(parts)
+        table = table.filter(pc.greater_equal(table["n"], min_count)).combine_chunks()
+        names = pa.array([lang] * len(table), pa.string())
+        cols = [names, *(pa.array(c.to_pylist(), t) for c, t in zip(table.columns, (pa.string(), pa.int64())))]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size = None, [], 0
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for row, key in enumerate(keys):
+                if key != now and parts:
+                    yield frequent(now[1], parts)
+                    parts, size = [], 0
+                now = key
+                parts.append(pa.table([batch.column(c)[row].values for c in (2, 3)], names=["phrase", "n"]))
+                size += len(parts[-1])
+                if size > most:
+                    parts, size = [summed(parts)], 0
+        if parts:
+            yield frequent(now[1], parts)
 
     return run
 
@@ -325,12 +383,9 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int, text: str = "te
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
-    def counted(run) -> DataFrame:
-        found = rows.mapInArrow(run, "lang string, phrase string, n long")
-        total = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        return cut_lineage(total.filter((F.col("f") >= min_count) | (F.col("phrase") == "")))
-
-    words = counted(count_words)
+    words = rows.mapInArrow(count_words, "lang string, phrase string, n long")
+    words = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    words = cut_lineage(words.filter((F.col("f") >= min_count) | (F.col("phrase") == "")))
     if longest < 2:
         return words
     frequent = words.filter("phrase <> ''").select("lang", "phrase").mapInArrow(_word_bits, "w int, b long")
@@ -345,7 +400,10 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int, text: str = "te
 
     pairs = frequent_filter(count_pair_keys(_filter(frequent), buckets))
     longer = frequent_filter(count_longer_keys(pairs, buckets, longest)) if longest > 2 else None
-    return words.unionByName(counted(count_phrases(pairs, longer, longest)))
+    runs = rows.mapInArrow(count_phrases(pairs, longer, buckets, longest), _RUNS)
+    runs = runs.repartition("bucket").sortWithinPartitions("bucket", "lang")
+    phrases = cut_lineage(runs.mapInArrow(merge_runs(min_count), "lang string, phrase string, f long"))
+    return words.unionByName(phrases)
 
 
 class Chain:

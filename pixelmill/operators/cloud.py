@@ -353,37 +353,30 @@ def bind_to_edge(
     nodes: DataFrame,
     edges: DataFrame,
     by: Sequence[str] = ("sample_id",),
-    cell: float = 0.25,
 ) -> DataFrame:
     """Nearest skeleton segment per point: (by.., point_id, a, b, t, weight_a, weight_b,
     ox, oy, oz, distance). Ties go to the lower (a, b).
 
-    A segment is entered in every cell its box touches after growing it by the cell size
-    s, so each segment within s of a point shares the point's cell. Points whose best
-    segment is further away go on with cells twice as large.
+    Segments lie in a tree of boxes by their middle: the best one of the leaf where a point
+    would lie tells how far to look. A point without finite coordinates comes back with NULL,
+    and a segment with such an end is none. Points whose cloud has no segment have no row.
     """
     by = list(by)
     e = edges.select(*by, "a", "b")
     for end in ("a", "b"):
         n = nodes.select(
-            *by, F.col("node_id").alias(end), *[F.col(c).alias(f"_{end}{c[1]}") for c in ("nx", "ny", "nz")]
+            *by, F.col("node_id").alias(end), *[F.col(c).cast("double").alias(f"_{end}{c[1]}") for c in ("nx", "ny", "nz")]
         )
         e = e.join(n, [*by, end])
     xyz = ("x", "y", "z")
-    left = points.select(*by, "point_id", *AXES)
-    span = e.agg(*[F.max(F.abs(F.col(f"_a{c}"))).alias(c) for c in xyz],
-                 *[F.max(F.abs(F.col(f"_b{c}"))).alias(f"b{c}") for c in xyz]).first()
-    away = left.agg(*[F.max(F.abs(F.col(a))) for a in AXES]).first()
-    stop = 4.0 * sum(v for v in (*span, *away) if v is not None) + cell
-    done, size = None, cell
-    while True:
-        last = size > stop
-        grown = e
-        for i, c in enumerate(xyz):
-            lo = F.floor((F.least(f"_a{c}", f"_b{c}") - size) / size)
-            hi = F.floor((F.greatest(f"_a{c}", f"_b{c}") + size) / size)
-            grown = grown.withColumn(f"_k{i}", F.explode(F.sequence(lo, hi)))
-        j = _cells(left, size, 0).join(grown.hint("merge"), [*by, *_KEYS])
+    e = e.filter(celltree.finite([f"_{end}{c}" for end in "ab" for c in xyz]))
+    for c in xyz:
+        lo, hi = F.least(f"_a{c}", f"_b{c}"), F.greatest(f"_a{c}", f"_b{c}")
+        e = e.withColumns({f"p{c}": lo / 2 + hi / 2, f"lo_p{c}": lo, f"hi_p{c}": hi})
+    tree = celltree.Tree(e, by)
+    segments = tree.items.select(*by, "leaf", "a", "b", *[f"_{end}{c}" for end in "ab" for c in xyz])
+
+    def nearer(j: DataFrame) -> DataFrame:
         ev = {c: F.col(f"_b{c}") - F.col(f"_a{c}") for c in xyz}
         pv = {c: F.col(f"p{c}") - F.col(f"_a{c}") for c in xyz}
         len2 = F.greatest(sum((ev[c] * ev[c] for c in xyz), F.lit(0.0)), F.lit(1e-12))
@@ -396,21 +389,23 @@ def bind_to_edge(
             "_d2", sum((F.col(f"o{c}") * F.col(f"o{c}") for c in xyz), F.lit(0.0))
         )
         best = F.min(F.struct("_d2", "a", "b", "t", "ox", "oy", "oz"))
-        top = j.groupBy(*by, "point_id").agg(best.alias("_t")).select(*by, "point_id", "_t.*")
-        if not last:
-            top = top.filter(F.col("_d2") <= size * size)
-        top = cut_lineage(top)
-        done = top if done is None else done.unionByName(top)
-        if last:
-            break
-        left = cut_lineage(left.join(top.select(*by, "point_id"), [*by, "point_id"], "left_anti"))
-        if left.isEmpty():
-            break
-        size *= 2.0
-    return done.select(
+        return j.groupBy(*by, "point_id").agg(best.alias("_t")).select(*by, "point_id", "_t.*")
+
+    ok = celltree.finite(AXES)
+    left = points.filter(ok).select(*by, "point_id", *[F.col(a).cast("double").alias(a) for a in AXES])
+    left = cut_lineage(tree.home(left))
+    reach = nearer(left.join(segments.hint("merge"), [*by, "leaf"])).select(*by, "point_id", "_d2")
+    # rounding must not shut out the segment that the reach comes from
+    size = F.abs("px") + F.abs("py") + F.abs("pz") + 1
+    left = left.drop("leaf").join(reach, [*by, "point_id"])
+    left = cut_lineage(left.withColumn("_reach", F.pow(F.sqrt("_d2") * (1 + 1e-9) + size * 1e-12, F.lit(2.0))).drop("_d2"))
+    found = tree.leaves(left, ["point_id", *AXES, "_reach"], "_reach")
+    done = nearer(found.join(segments.hint("merge"), [*by, "leaf"]))
+    done = done.select(
         *by, "point_id", "a", "b", "t", (1.0 - F.col("t")).alias("weight_a"),
         F.col("t").alias("weight_b"), "ox", "oy", "oz", F.sqrt("_d2").alias("distance"),
     )
+    return done.unionByName(points.filter(~ok).select(*by, "point_id"), allowMissingColumns=True)
 
 
 # ---- checks built on neighbours
@@ -526,6 +521,16 @@ def cloud_coverage(
     return base.join(exact_percentiles(j, ["label"], "distance", {"median": 0.5}), "label")
 
 
+def _box_gap2(far: bool) -> Column:
+    """Squared distance between two boxes, at the nearest or at the farthest places."""
+    total = F.lit(0.0)
+    for x in AXES:
+        up, down = F.col(f"_b_hi_{x}") - F.col(f"lo_{x}"), F.col(f"hi_{x}") - F.col(f"_b_lo_{x}")
+        d = F.greatest(F.abs(up), F.abs(down)) if far else F.greatest(-up, -down, F.lit(0.0))
+        total = total + d * d
+    return total
+
+
 def dbscan(
     points: DataFrame,
     eps: float | dict[int, float],
@@ -535,40 +540,72 @@ def dbscan(
     """(by.., point_id, cluster): the lowest core id of the cluster, -1 for noise.
 
     ``eps`` may depend on ``label``. A border point joins the lowest-numbered cluster
-    with a core point in reach. Neighbours include the point itself.
+    with a core point in reach. Neighbours include the point itself. Points without finite
+    coordinates, and labels without an eps, are noise.
+
+    Points share cells whose diagonal is eps, so a cell's core points are one cluster and a
+    cell with ``min_samples`` points has nothing but core points. The graph has cells for
+    vertices; two cells are linked if their nearest core points are within eps. No list of
+    neighbours is made, however many points lie within one eps.
     """
     by = list(by)
-    parts = [(eps, points)]
     if isinstance(eps, dict):
-        parts = [(r, points.filter(F.col("label") == lab)) for lab, r in eps.items()]
-    near = None
-    for r, p in parts:
-        part = within_radius(p, p, r, None, by, ["point_id"])
-        near = part if near is None else near.unionByName(part)
-    near = cut_lineage(near.select(*by, "point_id", "near_id"))
-    core = (
-        near.groupBy(*by, "point_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_samples)
-        .select(*by, "point_id")
-    )
-    reach = near.join(core.withColumnRenamed("point_id", "near_id"), [*by, "near_id"])
-    links = reach.join(core, [*by, "point_id"]).filter(F.col("point_id") < F.col("near_id"))
-    comp = components(
-        core,
-        links.select(*by, F.col("point_id").alias("a"), F.col("near_id").alias("b")),
-        by,
-        "point_id",
-    )
-    owner = comp.select(*by, F.col("point_id").alias("near_id"), "component")
-    best = (
-        reach.join(owner, [*by, "near_id"])
-        .groupBy(*by, "point_id")
-        .agg(F.min("component").alias("_border"))
-    )
-    out = points.select(*by, "point_id").join(best, [*by, "point_id"], "left")
-    own = comp.withColumnRenamed("component", "_own")
-    out = out.join(own, [*by, "point_id"], "left")
+        pairs = [F.lit(v) for label, r in eps.items() for v in (label, float(r))]
+        radius = F.create_map(*pairs)[F.col("label")]
+    else:
+        radius = F.lit(float(eps))
+    cell = [f"_c{i}" for i in range(3)]
+    side = F.col("_r") / math.sqrt(3.0) * (1 - 1e-9)
+    p = points.withColumn("_r", radius).filter(celltree.finite(AXES) & F.col("_r").isNotNull())
+    p = p.select(*by, "point_id", "_r", *[F.col(x).cast("double").alias(x) for x in AXES])
+    p = cut_lineage(p.withColumns({c: F.floor(F.col(x) / side) for c, x in zip(cell, AXES)}))
+
+    # core points: all of a full cell, and others whose min_samples-th neighbour is in reach
+    full = p.groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("_n"))
+    p = cut_lineage(p.join(full.withColumn("_full", F.col("_n") >= min_samples), [*by, *cell]).drop("_n"))
+    farthest = max(eps.values()) if isinstance(eps, dict) else float(eps)
+    near = celltree.nearest(p.filter("not _full"), p, min_samples, by, ["point_id"], "point_id", farthest=farthest)
+    near = near.filter(F.col("rank") == min_samples).select(*by, "point_id", F.col("d2").alias("_k2"))
+    p = p.join(near, [*by, "point_id"], "left")
+    p = cut_lineage(p.withColumn("core", F.col("_full") | F.coalesce(F.col("_k2") <= F.col("_r") * F.col("_r"), F.lit(False))))
+
+    core = p.filter("core")
+    edges = [f(F.col(x)).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in AXES]
+    cells = core.groupBy(*by, *cell).agg(F.min("point_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("_r").alias("_r"), *edges)
+    cells = cut_lineage(cells)
+    around = [F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)).alias(c) for c in cell]
+
+    def neighbours(df: DataFrame) -> DataFrame:
+        for c, e in zip(cell, around):
+            df = df.withColumn(c, e)
+        return df
+
+    other = cells.select(*by, *cell, F.col("node").alias("other"), F.col("n").alias("m"), *[F.col(f"{n}_{x}").alias(f"_b_{n}_{x}") for n in ("lo", "hi") for x in AXES])
+    # the cell with fewer points asks
+    asks = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))
+    meet = neighbours(cells).join(other.hint("merge"), [*by, *cell]).filter(asks)
+    r2 = F.col("_r") * F.col("_r")
+    meet = cut_lineage(meet.filter(_box_gap2(False) <= r2).select(*by, "node", "other", (_box_gap2(True) <= r2).alias("sure")))
+    targets = cut_lineage(core.join(cells.select(*by, *cell, "node"), [*by, *cell]).select(*by, "node", "point_id", "_r", *AXES))
+    queries = targets.join(meet.filter("not sure").select(*by, "node", "other"), [*by, "node"])
+
+    def in_reach(asking: DataFrame) -> DataFrame:
+        """(by.., other, point_id, _r) of points that have a core point of cell ``other`` within eps."""
+        near = celltree.nearest(
+            asking, targets.withColumnRenamed("node", "other"), 1, [*by, "other"], ["point_id", "_r", "node"], "point_id", farthest=farthest
+        )
+        return near.filter(F.col("d2") <= F.col("_r") * F.col("_r"))
+
+    links = in_reach(queries).select(*by, F.col("node").alias("a"), F.col("other").alias("b"))
+    links = links.unionByName(meet.filter("sure").select(*by, F.col("node").alias("a"), F.col("other").alias("b"))).distinct()
+    comp = cut_lineage(components(cells.select(*by, "node"), links, by, "node"))
+
+    own = targets.select(*by, "point_id", "node").join(comp, [*by, "node"]).select(*by, "point_id", F.col("component").alias("_own"))
+    border = neighbours(p.filter("not core").select(*by, *cell, "point_id", "_r", *AXES))
+    border = border.join(other.select(*by, *cell, "other").hint("merge"), [*by, *cell]).withColumn("node", F.lit(0))
+    reached = in_reach(border).select(*by, "point_id", F.col("other").alias("node")).join(comp, [*by, "node"])
+    reached = reached.groupBy(*by, "point_id").agg(F.min("component").alias("_border"))
+    out = points.select(*by, "point_id").join(own, [*by, "point_id"], "left").join(reached, [*by, "point_id"], "left")
     return out.select(
         *by, "point_id", F.coalesce("_own", "_border", F.lit(-1)).cast("bigint").alias("cluster")
     )

@@ -186,7 +186,7 @@ BIND = """sp AS (SELECT sample_id, point_id, px*100 AS px, py*100 AS py, pz*100
 def bound(spark, sf):
     nodes, edges = skeleton(spark, sf, "part", "p_partkey")
     p = points(spark, sf).withColumns({a: F.col(a) * 100 for a in cl.AXES})
-    return p, nodes, edges, cl.bind_to_edge(p, nodes, edges, cell=20.0)
+    return p, nodes, edges, cl.bind_to_edge(p, nodes, edges)
 
 
 @query(

@@ -127,6 +127,74 @@ def test_a_crowd_and_an_outlier_take_few_rounds(spark):
     assert (r["same"], r["none"]) == (n // 50, 1) and time.time() - t < 240
 
 
+def brute_dbscan(pts, eps, least):
+    near = {i: [j for j, q in pts.items() if sum((a - b) ** 2 for a, b in zip(p, q)) <= eps * eps] for i, p in pts.items()}
+    core = {i for i in pts if len(near[i]) >= least}
+    out, seen = {}, {}
+    for i in sorted(core):
+        todo = [i]
+        while todo:
+            c = todo.pop()
+            if c not in seen:
+                seen[c] = i
+                todo += [j for j in near[c] if j in core]
+    for i in pts:
+        out[i] = seen[i] if i in core else min((seen[j] for j in near[i] if j in core), default=-1)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3, 8])
+def test_dbscan_equals_brute_force(spark, least, monkeypatch):
+    monkeypatch.setattr(celltree, "LEAF", 4)
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.normal(0, 0.02, (90, 3)), rng.uniform(-1, 1, (150, 3)), np.tile([[3.0, 3.0, 3.0]], (9, 1)), [[0.1 * i, 5, 5] for i in range(12)]])
+    rows = [(s, i % 2, i, *map(float, p)) for s in (0, 1) for i, p in enumerate(pts) if s == 0 or i > 200]
+    odd = [(0, 1, 900, float("nan"), 0.0, 0.0), (0, 1, 901, None, 0.0, 0.0), (0, 2, 902, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + odd, "sample_id bigint, label int, point_id bigint, px double, py double, pz double")
+    eps = {0: 0.2, 1: 0.35}
+    got = {(r["sample_id"], r["label"], r["point_id"]): r["cluster"] for r in cloud.dbscan(df, eps, least).collect()}
+    want = {(s, c, i): -1 for s, c, i, *_ in odd}
+    for s in (0, 1):
+        for c, e in eps.items():
+            some = {i: p for t, d, i, *p in rows if (t, d) == (s, c)}
+            want |= {(s, c, i): x for i, x in brute_dbscan(some, e, least).items()}
+    assert got == want
+
+
+def test_dbscan_of_a_crowd(spark):
+    """A million points within one eps, and a chain that leads to them."""
+    n = 1_000_000
+    u = [F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1 << 30)) / float(1 << 30) for j in range(3)]
+    chain = F.col("id") < 5
+    px = F.when(chain, F.col("id") * 0.9 - 4.1).otherwise(u[0] * 0.5)
+    df = spark.range(n).select(F.lit(0).alias("sample_id"), F.lit(0).alias("label"), F.col("id").alias("point_id"), px.alias("px"), F.when(chain, 0.0).otherwise(u[1] * 0.5).alias("py"), F.when(chain, 0.0).otherwise(u[2] * 0.5).alias("pz"))
+    t = time.time()
+    r = cloud.dbscan(df, 1.0, 3).groupBy("cluster").count().collect()
+    # the first of the chain has too few neighbours and hangs on to the second
+    assert [tuple(x) for x in r] == [(1, n)] and time.time() - t < 300
+
+
+def test_points_far_from_segments(spark):
+    rng = np.random.default_rng(5)
+    nodes = [(s, i, *map(float, p)) for s in (0, 1) for i, p in enumerate(rng.uniform(-2, 2, (90, 3)))] + [(0, 90, 1e6, 0.0, 0.0), (0, 91, float("nan"), 0.0, 0.0)]
+    edges = [(s, i, i + 1) for s in (0, 1) for i in range(89)] + [(0, 0, 90), (0, 1, 91)]
+    pts = [(s, i, *map(float, p)) for s in (0, 1) for i, p in enumerate(rng.uniform(-3, 3, (60, 3)))] + [(0, 60, -1e7, 4.0, 4.0)]
+    odd = [(0, 70, float("nan"), 0.0, 0.0), (1, 71, None, 0.0, 0.0)]
+    n = spark.createDataFrame(nodes, "sample_id bigint, node_id int, nx double, ny double, nz double")
+    e = spark.createDataFrame(edges, "sample_id bigint, a int, b int")
+    p = spark.createDataFrame(pts + odd, "sample_id bigint, point_id int, px double, py double, pz double")
+    got = {(r["sample_id"], r["point_id"]): r for r in cloud.bind_to_edge(p, n, e).collect()}
+    assert all(got.pop((s, i))["distance"] is None for s, i, *_ in odd) and len(got) == len(pts)
+    at = {(s, i): np.array(x) for s, i, *x in nodes}
+    for s, i, *x in pts:
+        best = []
+        for t, a, b in edges:
+            if t == s and b != 91:
+                v, d = np.array(x) - at[s, a], at[s, b] - at[s, a]
+                best.append((np.linalg.norm(v - np.clip(v @ d / max(d @ d, 1e-12), 0, 1) * d), a, b))
+        assert got[s, i]["distance"] == pytest.approx(min(best)[0]) and (got[s, i]["a"], got[s, i]["b"]) == min(best)[1:]
+
+
 def test_segments_and_bfs_of_a_small_tree(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 2, 4), (1, 4, 5)], "sample_id bigint, a int, b int")
     rows = skeleton.segments(edges).orderBy("seg_start", "seg_next", "pos").collect()

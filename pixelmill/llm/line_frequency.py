@@ -1,8 +1,8 @@
 """Quality rules: text statistics, and lines that many documents of a host share.
 
 A line is normalised to its words in lower case (A-Z), and hashed. Per host the distinct
-documents that have it are counted; lines above the limits are removed from all documents
-but the first that has them, and a document that loses most of its words is rejected.
+documents that have it are counted; lines above the limits are removed from all documents,
+and a document that loses most of its words is rejected.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ class Lines:
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_ROW = "_row long, row_key long, doc_id {kind}, host string, text_key long, line array<long>, line_words array<int>, line_number array<int>, " + _STATS
+_ROW = "_row long, row_key long, doc_id {kind}, host string, line array<long>, line_words array<int>, line_number array<int>, " + _STATS
 
 
 def row_key(*columns: str) -> Column:
@@ -101,7 +101,6 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 n = hi - lo
                 own = batch.slice(lo, n)
                 chars = (data & 0xC0) != 0x80
-                whole = span_hashes(data, offsets[:-1], offsets[1:])
                 longs = (
                     w.counts,
                     _per_text(chars & ~is_space(data), offsets),
@@ -115,7 +114,6 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         own.column(4),
                         own.column(0),
                         own.column(3),
-                        pa.array(signed(whole), pa.int64()),
                         lists(signed(lines.key), lines.range, pa.int64()),
                         lists(lines.words, lines.range, pa.int32()),
                         lists(lines.number, lines.range, pa.int32()),
@@ -139,6 +137,7 @@ def line_frequency(
     docs: DataFrame,
     min_docs: int = 10,
     max_share: float = 0.1,
+    max_docs: int = 100,
     keep_share: float = 0.5,
     min_words: int = 50,
     max_repeat: float = 0.5,
@@ -148,39 +147,41 @@ def line_frequency(
 ) -> DataFrame:
     """(_row, row_key, doc_id, statistics, n_lines_removed, n_words_left, base_failed, kept, removed) of every row.
 
-    A line goes if more than ``min_docs`` distinct documents of the host have it and they are
-    more than ``max_share`` of the host's. Documents with the same text count once, so copies
-    don't make a line frequent. The row with the smallest id keeps the line (all rows of that
-    id do). ``kept`` is false if a document has under ``min_words`` words, if more than
-    ``max_repeat`` of them stand in repeated 3-word windows, or if less than ``keep_share`` of
-    them is left.
+    A line goes if more than ``min_docs`` documents of the host have it, and they are more than
+    ``max_docs`` or more than ``max_share`` of the host's. Rows of one id are one document, each
+    row without an id is one of its own, and equal texts of different documents count each. The
+    line goes from all documents. ``kept`` is false if a document has under ``min_words`` words,
+    if more than ``max_repeat`` of them stand in repeated 3-word windows, or if less than
+    ``keep_share`` of them is left.
 
     Null and empty texts have no words and fail. A null host is a host of its own. Repeated
-    rows are judged each. Other columns are not looked at. ``_row`` tells rows apart; ``row_key``
+    rows are judged each. Texts may be of any length, and an empty table gives no rows. Other
+    columns are not looked at. ``_row`` tells rows apart; ``row_key``
     finds the row again in ``docs``. ``removed`` are the places of the lines that go, from 0, for
     ``without_lines``.
     """
     stats = cut_lineage(text_statistics(docs, doc_id, text, host))
-    texts_ = stats.groupBy("host", "text_key").agg(F.min("doc_id").alias("first"), F.first("line").alias("line"))
-    sizes = texts_.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    document = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.col("_row").cast("string"))
+    known = stats.select("host", F.xxhash64(document).alias("document"), F.array_distinct("line").alias("line"))
+    sizes = known.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     counts = (
-        texts_.select("host", "first", F.explode(F.array_distinct("line")).alias("line"))
+        known.select("host", "document", F.explode("line").alias("line"))
+        .distinct()
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > min_docs)
     )
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     frequent = (
         counts.join(sizes, "host")
-        .filter(F.col("n") > max_share * F.col("of"))
-        .select("host", "line", "first", salt)
+        .filter((F.col("n") > max_docs) | (F.col("n") > max_share * F.col("of")))
+        .select("host", "line", salt)
     )
     both = F.inline(F.arrays_zip("line", "line_words", "line_number")).alias("line", "words", "number")
     lost = (
-        stats.select("_row", "doc_id", "host", both)
+        stats.select("_row", "host", both)
         .withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         .join(frequent, ["host", "line", "salt"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("_row")
         .agg(
             F.sum("words").alias("lost"),

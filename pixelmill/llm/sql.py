@@ -10,9 +10,8 @@ def _lower(column: str) -> str:
 #: Statistics word by word; lines per host are counted over distinct texts.
 LINE_FREQUENCY = rf"""
 WITH d AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, doc_id, text AS whole, coalesce(text, '') AS t,
-         coalesce('=' || source, '') AS host
-  FROM documents
+  SELECT *, coalesce('=' || doc_id, rid::VARCHAR) AS document FROM (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS host FROM documents)
 ), w AS (SELECT rid, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM d),
 g AS (
   SELECT rid, i, word,
@@ -23,22 +22,21 @@ c AS (SELECT rid, word, bool_or(again) OVER (PARTITION BY rid ORDER BY i ROWS BE
 s AS (
   SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (cov) AS n_repeat_words
   FROM c GROUP BY rid
-), raw AS (SELECT rid, doc_id, host, t AS whole, unnest(string_split(t, chr(10))) AS t FROM d),
+), raw AS (SELECT rid, document, host, unnest(string_split(t, chr(10))) AS t FROM d),
 l AS (
-  SELECT rid, doc_id, host, whole, t AS line, {_WORDS} AS ws,
+  SELECT rid, document, host, t AS line, {_WORDS} AS ws,
          array_to_string(list_transform({_WORDS}, lambda x: {_lower('x')}), ' ') AS norm
   FROM raw WHERE len({_WORDS}) > 0
 ), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
-host_size AS (SELECT host, count(DISTINCT t) AS n_of FROM d GROUP BY host),
+host_size AS (SELECT host, count(DISTINCT document) AS n_of FROM d GROUP BY host),
 f AS (
-  SELECT l.host, norm, min(doc_id) AS first_id
+  SELECT l.host, norm
   FROM l JOIN host_size h ON l.host = h.host
   GROUP BY l.host, norm, n_of
-  HAVING count(DISTINCT whole) > 10 AND count(DISTINCT whole) > 0.1 * n_of
+  HAVING count(DISTINCT document) > 10 AND (count(DISTINCT document) > 100 OR count(DISTINCT document) > 0.1 * n_of)
 ), lost AS (
   SELECT rid, sum(len(ws)) AS lost, count(*) AS n_lines
-  FROM l JOIN f ON l.host = f.host AND l.norm = f.norm
-  WHERE doc_id IS DISTINCT FROM first_id GROUP BY rid
+  FROM l JOIN f ON l.host = f.host AND l.norm = f.norm GROUP BY rid
 ), a AS (
   SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,

@@ -4,7 +4,8 @@ Documents are partitioned by the number of their shingles, in powers of two. A s
 as many bins as the class's largest document has shingles, and in each bin the smallest hash:
 one permutation that suits the size, so that a short item's shingles have the same chance to
 show in a long document as in a short one. Items are signed once per class. Equal bins make
-candidates, which exact shingle containment verifies.
+candidates, which exact shingle containment verifies. An item of a few shingles might still
+show in no bin: it is looked up by shingles, as many as cannot all be missing.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pixelmill.session import cut_lineage
 
 #: Independent permutations; a shingle shows in one with a chance of 0.63 or more.
 SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD)
-#: Classes of 2**0 to 2**24 shingles and up.
-CLASSES = 25
+#: Classes of 2**0 to 2**39 shingles; no text is larger.
+CLASSES = 40
+#: Items of up to this many shingles show too rarely in a bin, and are looked up by shingles.
+SHORT = 4
 #: Bits of the filter that documents are read through; its 8 MB don't depend on the items.
 FILTER_BITS = 26
 
@@ -112,7 +115,9 @@ def contained(
     document has; pairs of ``percent`` hundredths or more are found. A text of fewer than
     ``words`` words is one shingle. Items and documents without words match nothing, null
     texts too. Repeated rows, repeated and null ids are searched each; ``_row`` tells rows
-    apart. Either table may be empty. What is broadcast is a bitmap of 8 MB.
+    apart. Either table may be empty, texts may be of any length, and other columns are not
+    looked at. Items of up to 4 shingles are found without fail; of longer ones one in some
+    hundred thousand may be missed. What is broadcast is a bitmap of 8 MB.
     """
     sets = cut_lineage(item_sets(items, words, item_id, item_text))
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter(sets.select(F.explode("shingles").alias("shingle"))))
@@ -154,8 +159,13 @@ def contained(
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = cut_lineage(rows.mapInArrow(run, f"_row long, doc_id {kind}, shared array<long>, keys array<long>"))
     item_kind = sets.schema["item_id"].dataType.simpleString()
-    signed_items = sets.mapInArrow(_item_keys(percent), f"item_id {item_kind}, key long")
-    pairs = found.select("_row", F.explode("keys").alias("key")).join(signed_items, "key").select("_row", "item_id").distinct()
+    signed_items = sets.filter(F.col("n_item") > SHORT).mapInArrow(_item_keys(percent), f"item_id {item_kind}, key long")
+    pairs = found.select("_row", F.explode("keys").alias("key")).join(signed_items, "key").select("_row", "item_id")
+    # of n shingles, at least as many as are needed are shared, so one of the first n - needed + 1 is
+    first = F.slice("shingles", 1, (F.col("n_item") - F.ceil(F.col("n_item") * percent / 100) + 1).cast("int"))
+    short = sets.filter(F.col("n_item") <= SHORT).select("item_id", F.explode(first).alias("key"))
+    looked_up = found.select("_row", F.explode("shared").alias("key")).join(short, "key").select("_row", "item_id")
+    pairs = pairs.unionByName(looked_up).distinct()
     n = F.size(F.array_intersect("shingles", "shared")).cast("long")
     both = pairs.join(found.drop("keys"), "_row").join(sets, "item_id").withColumn("n_shared", n)
     share = (F.col("n_shared") / F.col("n_item")).alias("containment")

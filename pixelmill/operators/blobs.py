@@ -1,8 +1,7 @@
 """Connected blobs of masks and what is measured on them.
 
-Blobs are found on row runs instead of pixels: a run is one vertex, overlapping
-runs of neighbouring rows are edges. A blob id is its first pixel in raster order,
-y * 65536 + x, so ids do not depend on partitioning.
+Blobs are found on row runs of whole frames (``raster``). A blob id is its first pixel in
+raster order, y * 65536 + x, so ids do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -14,39 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.operators import windows as wi
-from pixelmill.operators.components import components
 from pixelmill.operators.distance import mask_nearest, value_of_nearest
 from pixelmill.operators.metrics import ratio
 from pixelmill.operators.ordered import exact_percentiles
+from pixelmill.operators.raster import blob_runs, connected_components, outlines
 from pixelmill.session import cut_lineage
 
 _ROW = 65536
 
 
-def blob_runs(
-    df: DataFrame, mask: Column, connectivity: int = 8, frame: str = "frame_id"
-) -> DataFrame:
-    """(frame, line, start, stop, blob): the runs of a mask with their blob."""
-    if connectivity not in (4, 8):
-        raise ValueError("connectivity is 4 or 8")
-    reach = 1 if connectivity == 8 else 0
-    r = wi.runs(df, mask, "x", frame)
-    r = cut_lineage(
-        r.withColumn("node", F.col("line").cast("bigint") * _ROW + F.col("start"))
-    )
-    below = r.select(
-        frame,
-        (F.col("line") - 1).alias("line"),
-        F.col("start").alias("_s"),
-        F.col("stop").alias("_e"),
-        F.col("node").alias("b"),
-    )
-    touch = (F.col("_s") <= F.col("stop") + reach) & (F.col("_e") >= F.col("start") - reach)
-    edges = r.join(below, [frame, "line"]).filter(touch).select(frame, F.col("node").alias("a"), "b")
-    comp = components(r, edges, [frame]).withColumnRenamed("component", "blob")
-    return r.join(comp, [frame, "node"]).select(frame, "line", "start", "stop", "blob")
-
-
 def run_pixels(runs: DataFrame, frame: str = "frame_id") -> DataFrame:
     """(frame, y, x, blob) of run rows."""
     return runs.select(
@@ -54,14 +29,6 @@ def run_pixels(runs: DataFrame, frame: str = "frame_id") -> DataFrame:
     )
 
 
-def connected_components(
-    df: DataFrame, mask: Column, connectivity: int = 8, frame: str = "frame_id"
-) -> DataFrame:
-    """Foreground pixels with their blob id, all other columns kept."""
-    labels = run_pixels(blob_runs(df, mask, connectivity, frame), frame)
-    return df.filter(mask).join(labels, [frame, "y", "x"])
-
-
 def blob_stats(runs: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Area, bounding box, fill and aspect per blob, from its runs."""
     n = F.col("stop") - F.col("start") + 1
@@ -329,13 +296,13 @@ def blob_shape(
 
 
 def wirelike_blobs(shape: DataFrame, min_elong: float = 3.0, max_width: float = 10.0) -> DataFrame:
-    """kind = wirelike for long and thin blobs, else blob.
+    """kind = wirelike for long and thin blobs, else blob; ``shape`` is from ``outlines``.
 
-    The principal axes stand in for the minimum-area rectangle.
+    Length and thickness are the sides of the rectangle of least area, of at least one pixel.
     """
-    length = F.greatest(F.col("long_axis"), F.lit(1.0))
-    side = F.greatest(4.0 * F.col("minor"), F.lit(1.0))
-    wire = (length / side >= min_elong) & (F.col("area") / length <= max_width)
+    length = F.greatest(F.col("rect_long"), F.lit(1.0))
+    side = F.greatest(F.col("rect_short"), F.lit(1.0))
+    wire = (F.col("rect_long") / side >= min_elong) & (F.col("area") / length <= max_width)
     return shape.withColumn("kind", F.when(wire, "wirelike").otherwise("blob"))
 
 
@@ -414,26 +381,13 @@ def circularity(
 ) -> DataFrame:
     """4 pi area / perimeter^2 per blob, at most 1: (frame, blob, area, perimeter, circ).
 
-    The perimeter counts exposed pixel sides times pi/4, the mean projection of a side
-    over all directions; it stands in for the contour length.
+    The perimeter is the length of the outer contour; blobs without one, of a single pixel,
+    are left out, as are those under ``min_area``.
     """
-    from pyspark.sql import Window
-
-    row = Window.partitionBy(frame, "y").orderBy("x")
-    col = Window.partitionBy(frame, "x").orderBy("y")
-    d = df.withColumn("_m", mask.cast("int"))
-    sides = F.lit(0)
-    for w in (row, col):
-        for side in (F.lag, F.lead):
-            sides = sides + (1 - F.coalesce(side("_m", 1).over(w), F.lit(0)))
-    d = d.withColumn("_sides", sides)
-    p = connected_components(d, mask, 8, frame)
-    agg = p.groupBy(frame, "blob").agg(
-        F.count(F.lit(1)).alias("area"), (F.sum("_sides") * (math.pi / 4)).alias("perimeter")
-    )
-    per = F.col("perimeter")
+    found = outlines(df, mask, frame).filter((F.col("area") >= min_area) & (F.col("contour") > 1e-6))
+    per = F.col("contour")
     circ = F.least(F.lit(1.0), 4 * math.pi * F.col("area") / (per * per))
-    return agg.filter(F.col("area") >= min_area).withColumn("circ", circ)
+    return found.select(frame, "blob", "area", per.alias("perimeter"), circ.alias("circ"))
 
 
 def circularity_by_frame(blobs: DataFrame, frame: str = "frame_id") -> DataFrame:

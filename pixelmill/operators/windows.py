@@ -8,12 +8,13 @@ a time.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators.raster import Morph, morphs
+
 
 def _row(frame: str):
     return Window.partitionBy(frame, "y").orderBy("x")
@@ -214,41 +215,6 @@ def local_max(df: DataFrame, value: str, win: int, frame: str = "frame_id", out:
     return d
 
 
-def _half_widths(kernel: str, k: int) -> dict[int, int]:
-    """Half width of the structuring element in each row offset."""
-    if kernel == "square":
-        return {dy: k for dy in range(-k, k + 1)}
-    if kernel == "ellipse":
-        return {dy: round(math.sqrt(k * k - dy * dy)) for dy in range(-k, k + 1)}
-    raise ValueError(f"unknown kernel {kernel}")
-
-
-def _morph_once(df, column, kernel, k, grow, frame):
-    agg, merge = (F.max, F.greatest) if grow else (F.min, F.least)
-    over_row, over_col = _row(frame), _col(frame)
-    if kernel == "square":
-        d = df.withColumn(column, agg(column).over(over_row.rangeBetween(-k, k)))
-        return d.withColumn(column, agg(column).over(over_col.rangeBetween(-k, k)))
-    widths = _half_widths(kernel, k)
-    names = {hw: f"_win_m{hw}" for hw in sorted(set(widths.values()))}
-    d = df.withColumns(
-        {n: agg(column).over(over_row.rangeBetween(-hw, hw)) for hw, n in names.items()}
-    )
-    parts = []
-    for dy, hw in widths.items():
-        v = F.col(names[hw])
-        parts.append(v if dy == 0 else F.lag(v, -dy).over(over_col))
-    return d.withColumn(column, merge(*parts)).drop(*names.values())
-
-
-_STEPS = {
-    "dilate": [True],
-    "erode": [False],
-    "open": [False, True],
-    "close": [True, False],
-}
-
-
 def morph(
     df: DataFrame,
     mask: Column,
@@ -260,21 +226,18 @@ def morph(
 ) -> DataFrame:
     """Dilate, erode, open or close a mask with a (2k+1) kernel; 0/1 in ``out``.
 
-    Pixels outside the frame are ignored. Frames have to be complete.
+    Pixels outside the frame are ignored.
     """
-    d = df.withColumn(out, mask.cast("int"))
-    for grow in _STEPS[op]:
-        d = _morph_once(d, out, kernel, k, grow, frame)
-    return d
+    return morphs(df, [Morph(mask, op, k, kernel, out)], frame)
 
 
 def boundary_band(
     df: DataFrame, mask: Column, k: int, frame: str = "frame_id", out: str = "band"
 ) -> DataFrame:
     """1 within k pixels of the mask boundary, inside or outside."""
-    d = morph(df, mask, "dilate", k, "ellipse", frame, "_win_dil")
-    d = morph(d, mask, "erode", k, "ellipse", frame, "_win_ero")
-    return d.withColumn(out, F.col("_win_dil") * (1 - F.col("_win_ero"))).drop("_win_dil", "_win_ero")
+    jobs = [Morph(mask, op, k, "ellipse", f"_win_{op}") for op in ("dilate", "erode")]
+    band = F.col("_win_dilate") * (1 - F.col("_win_erode"))
+    return morphs(df, jobs, frame).withColumn(out, band).drop("_win_dilate", "_win_erode")
 
 
 def ring(
@@ -282,12 +245,9 @@ def ring(
     out: str = "ring", kernel: str = "square",
 ) -> DataFrame:
     """1 in the band between ``inner`` and ``outer`` pixels outside the mask."""
-    d = morph(df, mask, "dilate", outer, kernel, frame, "_win_out")
-    if inner:
-        d = morph(d, mask, "dilate", inner, kernel, frame, "_win_in")
-    else:
-        d = d.withColumn("_win_in", mask.cast("int"))
-    return d.withColumn(out, F.col("_win_out") - F.col("_win_in")).drop("_win_out", "_win_in")
+    jobs = [Morph(mask, "dilate", k, kernel, f"_win_{i}") for i, k in enumerate((outer, inner))]
+    band = F.col("_win_0") - F.col("_win_1")
+    return morphs(df, jobs, frame).withColumn(out, band).drop("_win_0", "_win_1")
 
 
 def arc_length(

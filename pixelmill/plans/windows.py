@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators import distance as di
 from pixelmill.operators import evals as ev
 from pixelmill.operators import metrics as m
+from pixelmill.operators import raster as ra
 from pixelmill.operators import windows as wi
 from pixelmill.plans.digest import digest, digest_sql
 from pixelmill.plans.fixtures import (
@@ -285,11 +286,10 @@ EL2 = """(SELECT e.dy, b.range AS dx FROM (VALUES (-2, 0), (-1, 2), (0, 2), (1,
     + digest_sql("a", "frame_id, op", ["m"]),
 )
 def morph(spark, sf):
-    px, mask = pixels(spark, sf), F.col("pred_a") == 2
-    for op in ("erode", "open", "dilate", "close"):
-        px = wi.morph(px, mask, op, 1, "square", out=op)
-    px = wi.morph(px, mask, "dilate", 2, "ellipse", out="dilate_ellipse")
-    px = wi.morph(px, mask, "erode", 2, "ellipse", out="erode_ellipse")
+    mask = F.col("pred_a") == 2
+    jobs = [ra.Morph(mask, op, out=op) for op in ("erode", "open", "dilate", "close")]
+    jobs += [ra.Morph(mask, op, 2, "ellipse", f"{op}_ellipse") for op in ("dilate", "erode")]
+    px = ra.morphs(pixels(spark, sf).select("frame_id", "y", "x", "pred_a"), jobs)
     ops = ["erode", "open", "dilate", "close", "dilate_ellipse", "erode_ellipse"]
     rows = F.array(*[F.struct(F.lit(o).alias("op"), F.col(o).alias("m")) for o in ops])
     return digest(px.select("frame_id", "y", "x", F.inline(rows)), ["frame_id", "op"], ["m"])

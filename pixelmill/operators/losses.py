@@ -98,6 +98,31 @@ def weighted_log_loss(
     )
 
 
+def _jaccard_sum(rows: DataFrame, keys: Sequence[str], value: Column, bounded: bool) -> DataFrame:
+    """(keys.., gts, _loss): ``value`` summed over the Jaccard steps, errors falling.
+
+    ``rows`` is (keys.., err, fg, n), one row per distinct error.
+    """
+    order = F.desc("err")
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(order)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = rows.withColumns({"cfg": F.sum("fg").over(upto), "cn": F.sum("n").over(upto)})
+    else:
+        cum = running(rows, keys, [order], {"cfg": ("sum", "fg"), "cn": ("sum", "n")})
+    total = cum.groupBy(*keys).agg(F.sum("fg").alias("gts"))
+    joined = cum.join(total, list(keys))
+    gts = F.col("gts")
+
+    def jaccard(cfg, cn):
+        return 1.0 - (gts - cfg) / (gts + cn - cfg)
+
+    here = jaccard(F.col("cfg"), F.col("cn"))
+    prev_n, prev_fg = F.col("cn") - F.col("n"), F.col("cfg") - F.col("fg")
+    before = F.when(prev_n > 0, jaccard(prev_fg, prev_n)).otherwise(0.0)
+    return joined.groupBy(*keys, "gts").agg(F.sum(value * (here - before)).alias("_loss"))
+
+
 def lovasz_score(
     df: DataFrame,
     by: Sequence[str],
@@ -132,25 +157,7 @@ def lovasz_score(
         .groupBy(*by, "cls", "err")
         .agg(F.sum("_fg").alias("fg"), F.count(F.lit(1)).alias("n"))
     )
-    keys = [*by, "cls"]
-    order = F.desc("err")
-    if bounded_groups:
-        w = Window.partitionBy(*keys).orderBy(order)
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = rows.withColumns({"cfg": F.sum("fg").over(upto), "cn": F.sum("n").over(upto)})
-    else:
-        cum = running(rows, keys, [order], {"cfg": ("sum", "fg"), "cn": ("sum", "n")})
-    total = cum.groupBy(*keys).agg(F.sum("fg").alias("gts"))
-    joined = cum.join(total, keys).filter(F.col("gts") > 0)
-    gts = F.col("gts")
-
-    def jaccard(cfg, cn):
-        return 1.0 - (gts - cfg) / (gts + cn - cfg)
-
-    here = jaccard(F.col("cfg"), F.col("cn"))
-    prev_n, prev_fg = F.col("cn") - F.col("n"), F.col("cfg") - F.col("fg")
-    before = F.when(prev_n > 0, jaccard(prev_fg, prev_n)).otherwise(0.0)
-    per_class = joined.groupBy(*keys).agg(F.sum(F.col("err") * (here - before)).alias("_loss"))
+    per_class = _jaccard_sum(rows, [*by, "cls"], F.col("err"), bounded_groups).filter("gts > 0")
     wts = weights or [1.0] * classes
     wt = F.array(*[F.lit(float(v)) for v in wts])[F.col("cls")]
     return per_class.groupBy(*by).agg(
@@ -159,6 +166,29 @@ def lovasz_score(
     )
 
 
+def lovasz_hinge(
+    df: DataFrame,
+    by: Sequence[str],
+    ignore: int = 255,
+    logit: str = "logit",
+    gt: str = "gt",
+    bounded_groups: bool = False,
+) -> DataFrame:
+    """(by.., hinge): two-class Lovasz loss of a logit per pixel, labels 0 and 1.
+
+    Errors are 1 - logit on foreground and 1 + logit elsewhere; those below 0 take part in the
+    order, not in the sum. A group whose rows are all ignored has loss 0, and one without
+    foreground its largest error. See ``lovasz_score`` for ``bounded_groups``.
+    """
+    by = list(by)
+    sign = 2.0 * F.col(gt) - 1.0
+    rows = df.filter(F.col(gt) != ignore).select(*by, F.col(gt).cast("bigint").alias("_fg"), (1.0 - F.col(logit) * sign).alias("err"))
+    rows = rows.groupBy(*by, "err").agg(F.sum("_fg").alias("fg"), F.count(F.lit(1)).alias("n"))
+    loss = _jaccard_sum(rows, by, F.greatest("err", F.lit(0.0)), bounded_groups)
+    groups = df.select(*by).distinct()
+    return groups.join(loss, by, "left").select(*by, F.coalesce("_loss", F.lit(0.0)).alias("hinge"))
+
+
 def kl_distill(
     df: DataFrame,
     alpha: float,

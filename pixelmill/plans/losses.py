@@ -111,6 +111,24 @@ def lovasz_per_frame(spark, sf):
     return out.withColumn("lovasz", r9(F.col("lovasz")))
 
 
+@query(
+    "L5",
+    f"""WITH {SCORES}, e0 AS (SELECT frame_id, CASE WHEN gt = 2 THEN 1 ELSE 0 END AS t, logits[3] - logits[1] AS z FROM prob WHERE gt <> 0 OR frame_id % 3 > 0),
+    e AS (SELECT frame_id, t, 1.0::DOUBLE - z * (2.0::DOUBLE * t - 1.0::DOUBLE) AS err FROM e0),
+    m AS (SELECT frame_id, err, CAST(sum(t) AS BIGINT) AS fg, count(*) AS n FROM e GROUP BY ALL),
+    k AS (SELECT *, sum(fg) OVER w AS cf, sum(n) OVER w AS cn, sum(fg) OVER (PARTITION BY frame_id) AS gts FROM m WINDOW w AS (PARTITION BY frame_id ORDER BY err DESC)),
+    j AS (SELECT *, 1.0::DOUBLE - (gts - cf)/(gts + cn - cf) AS j1, CASE WHEN cn > n THEN 1.0::DOUBLE - (gts - (cf-fg))/(gts + (cn-n) - (cf-fg)) ELSE 0.0 END AS j0 FROM k),
+    l AS (SELECT frame_id, sum(greatest(err, 0) * (j1 - j0)) AS loss FROM j GROUP BY frame_id)
+    SELECT f.frame_id, round(coalesce(loss, 0), 9) AS hinge FROM (SELECT DISTINCT frame_id FROM prob) f LEFT JOIN l ON l.frame_id = f.frame_id""",
+)
+def lovasz_hinge(spark, sf):
+    # background of every third frame is ignored
+    skip = (F.col("gt") == 0) & (F.col("frame_id") % 3 == 0)
+    label = F.when(skip, 255).when(F.col("gt") == 2, 1).otherwise(0)
+    d = scores(spark, sf).withColumns({"gt": label, "logit": F.col("logits")[2] - F.col("logits")[0]})
+    return ls.lovasz_hinge(d, ["frame_id"]).withColumn("hinge", r9(F.col("hinge")))
+
+
 @query(
     "L6",
     f"""WITH {SCORES}, a AS (SELECT set_id, gt, logits, z, teacher AS t,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import celltree, cloud, gates, hamming, joins, mix, recode, skeleton, splits
+from pixelmill.operators import celltree, cloud, gates, hamming, joins, losses, mix, recode, skeleton, splits
 
 
 def test_banded_hamming_equals_brute_force(spark):
@@ -250,3 +250,22 @@ def test_oversample_never_gives_fewer_copies_than_asked(spark):
     man = spark.createDataFrame([(1, "1_a", 0, "train"), (2, "2_a", 1, "val")], "set_id int, base string, line_no int, split string")
     with pytest.raises(ValueError):
         mix.oversample(man, 5, 100)
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_lovasz_hinge(spark, bounded):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for g in range(6):
+        z, t = np.round(rng.normal(0, 2, 40), 1), (rng.random(40) < (0, 0.3, 1, 0.5, 0.5, 0.5)[g]).astype(int)
+        skip = rng.random(40) < (0, 0, 0, 0.3, 1.1, 0)[g]
+        rows += [(g, float(a), 255 if s else int(b)) for a, b, s in zip(z, t, skip)]
+        z, t = z[~skip], t[~skip]
+        err = 1 - z * (2 * t - 1)
+        order = np.argsort(-err, kind="stable")
+        e, f = err[order], t[order]
+        jac = 1 - (f.sum() - np.cumsum(f)) / (f.sum() + np.cumsum(1 - f)) if len(f) else np.zeros(0)
+        want[g] = float(np.maximum(e, 0) @ np.diff(np.r_[0, jac])) if len(f) else 0.0
+    df = spark.createDataFrame(rows, "g int, logit double, gt int")
+    got = {r["g"]: r["hinge"] for r in losses.lovasz_hinge(df, ["g"], bounded_groups=bounded).collect()}
+    assert got == pytest.approx(want)

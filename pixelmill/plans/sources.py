@@ -281,10 +281,11 @@ def _stream(spark, sf, name):
 )
 def stream_new_evals(spark, sf):
     ev = _stream(spark, sf, "events").select(
-        F.col("event_type").alias("arm"), F.col("user_id").alias("step")
+        F.col("event_type").alias("arm"), F.col("user_id").alias("step"), F.col("ts").cast("timestamp").alias("ts")
     )
     path = scratch_dir(spark, "evals")
-    mo.run_available(mo.new_evals(ev), f"{path}/checkpoint", f"{path}/out")
+    # the table spans less than that, so that every repeat falls within
+    mo.run_available(mo.new_evals(ev, ts="ts", within="1000 days").select("arm", "step"), f"{path}/checkpoint", f"{path}/out")
     return spark.read.schema("arm string, step bigint").parquet(f"{path}/out")
 
 
@@ -298,6 +299,7 @@ def stream_stall_alerts(spark, sf):
         F.col("event_type").alias("arm"), F.col("ts").cast("timestamp").alias("ts")
     )
     path = scratch_dir(spark, "stalls")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", mo.ROCKSDB)
     mo.run_available(mo.stall_detector(ev, 900, live=False), f"{path}/checkpoint", f"{path}/out")
     out = spark.read.schema("arm string, last_seen timestamp, resumed timestamp").parquet(f"{path}/out")
     return out.select(

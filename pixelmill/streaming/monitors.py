@@ -4,67 +4,139 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pixelmill.operators.metrics import coverage
 
+#: State store that timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def new_evals(
-    stream: DataFrame, every: int = 6, always_from: int = 26, arm: str = "arm", step: str = "step"
+    stream: DataFrame, every: int = 6, always_from: int = 26, arm: str = "arm", step: str = "step",
+    ts: str | None = None, within: str | None = None,
 ) -> DataFrame:
     """Each (arm, step) once; reported for every 6th step and for late steps.
 
-    The filter runs before the de-duplication, so state holds reported steps only.
+    The filter runs before the de-duplication, so state holds reported steps only. With
+    ``ts`` and ``within``, a step is forgotten when the watermark has passed it by that much,
+    so state stays bounded; a repeat that comes later still is reported anew.
     """
     keep = (F.col(step) % every == 0) | (F.col(step) >= always_from)
-    return stream.filter(keep).dropDuplicates([arm, step])
+    kept = stream.filter(keep)
+    if ts is None:
+        return kept.dropDuplicates([arm, step])
+    return kept.withWatermark(ts, within).dropDuplicatesWithinWatermark([arm, step])
 
 
-def stall_detector(
-    stream: DataFrame, timeout_s: int = 3600, arm: str = "arm", ts: str = "ts", live: bool = True
-) -> DataFrame:
-    """Alerts (arm, last_seen, resumed) for arms without a new row for ``timeout_s``.
+_SPANS = "arm string, start_us bigint, stop_us bigint"
+_ALERTS = "arm string, last_seen timestamp, resumed timestamp"
+
 
-    A gap inside the data is reported with the time the arm came back. An arm that is
-    silent in wall-clock time is reported with resumed = NULL and the clock starts anew.
-    Set ``live`` to False for backfills: a wall-clock timeout keeps a query that should
-    stop at the end of the data running for ever.
+def activity_spans(stream: DataFrame, timeout_s: int, arm: str = "arm", ts: str = "ts") -> DataFrame:
+    """(arm, start_us, stop_us): times of an arm that follow each other within the timeout.
+
+    Each task shortens the rows it holds to spans, so one busy arm is no long list for anybody.
+    Spans of different tasks may overlap. Rows without a time are left out.
     """
-    gap = pd.Timedelta(seconds=timeout_s)
+    gap = timeout_s * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arms = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, us = arms.indices.to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((us, code))
+            code, us = code[order], us[order]
+            new = np.ones(len(us), dtype=bool)
+            new[1:] = (code[1:] != code[:-1]) | (us[1:] - us[:-1] > gap)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(us))[: len(first)] - 1
+            cols = [arms.dictionary.take(pa.array(code[first])), pa.array(us[first]), pa.array(us[last])]
+            yield pa.RecordBatch.from_arrays(cols, ["arm", "start_us", "stop_us"])
+
+    rows = stream.filter(F.col(ts).isNotNull()).select(F.col(arm).cast("string").alias("arm"), F.unix_micros(ts).alias("us"))
+    return rows.mapInArrow(run, _SPANS)
+
+
+class _Watch(StatefulProcessor):
+    """Keeps the last time of an arm; a timer goes off if nothing comes after it."""
+
+    def __init__(self, timeout_s: int, live: bool, forget: int):
+        self.timeout_s, self.live, self.forget = timeout_s, live, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, silent int")
+
+    def _wait(self, timers) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_s * 1000)
+
+    @staticmethod
+    def _table(rows: list[tuple]) -> pd.DataFrame:
+        arms, seen, resumed = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame(
+            {
+                "arm": pd.Series(arms, dtype=object),
+                "last_seen": pd.to_datetime(pd.Series(seen, dtype="Int64"), unit="us").astype("datetime64[us]"),
+                "resumed": pd.to_datetime(pd.Series(resumed, dtype="Int64"), unit="us").astype("datetime64[us]"),
+            }
+        )
 
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans = sorted({(int(a), int(b)) for table in rows for a, b in zip(table["start_us"], table["stop_us"])})
+        stop = self.last.get()[0] if self.last.exists() else None
         alerts = []
-        if state.hasTimedOut:
-            alerts.append((key[0], last, pd.NaT))
+        for a, b in spans:
+            if stop is not None and a - stop > self.timeout_s * 1_000_000:
+                alerts.append((key[0], stop, a))
+            stop = b if stop is None else max(stop, b)
+        self.last.update((stop, 0))
+        if self.live:
+            self._wait(timerValues)
+        yield self._table(alerts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.last.exists():
+            return
+        stop, silent = self.last.get()
+        if silent + 1 >= self.forget:
+            self.last.clear()
         else:
-            seen = pd.concat([b[ts] for b in batches]).sort_values().drop_duplicates()
-            if last is not None:
-                seen = pd.concat([pd.Series([last]), seen[seen > last]])
-            step = seen.diff()
-            values, steps = seen.to_list(), step.to_list()
-            for prev, now, d in zip(values, values[1:], steps[1:]):
-                if d > gap:
-                    alerts.append((key[0], prev, now))
-            last = values[-1]
-        state.update((int(last.value // 1000),))
-        if live:
-            state.setTimeoutDuration(timeout_s * 1000)
-        yield pd.DataFrame(alerts, columns=["arm", "last_seen", "resumed"])
+            self.last.update((stop, silent + 1))
+            self._wait(timerValues)
+        yield self._table([(key[0], stop, None)])
 
-    return (
-        stream.select(arm, ts)
-        .groupBy(arm)
-        .applyInPandasWithState(
-            watch,
-            "arm string, last_seen timestamp, resumed timestamp",
-            "last_us bigint",
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout,
-        )
+    def close(self) -> None:
+        pass
+
+
+def stall_detector(
+    stream: DataFrame, timeout_s: int = 3600, arm: str = "arm", ts: str = "ts", live: bool = True, forget: int = 24
+) -> DataFrame:
+    """Alerts (arm, last_seen, resumed) for arms without a new row for ``timeout_s``.
+
+    A gap inside the data is reported with the time the arm came back, also between batches;
+    rows that come late don't take an alert back. An arm that is silent in wall-clock time is
+    reported with resumed = NULL by a timer that starts anew, and forgotten after ``forget``
+    such alerts, so that arms which never come back leave no state. ``live`` = False is for
+    backfills, which stop at the end of the data and set no timers.
+
+    The state lives in RocksDB: set ``spark.sql.streaming.stateStore.providerClass`` to
+    ``ROCKSDB`` first.
+    """
+    spans = activity_spans(stream, timeout_s, arm, ts)
+    return spans.groupBy("arm").transformWithStateInPandas(
+        statefulProcessor=_Watch(timeout_s, live, forget),
+        outputStructType=_ALERTS,
+        outputMode="append",
+        timeMode="ProcessingTime" if live else "None",
     )
 
 

@@ -21,7 +21,8 @@ from pixelmill.plans.fixtures import (
     points,
 )
 from pixelmill.plans.registry import query, r6, r9
-from pixelmill.sources.logs import eval_rows, loss_rows
+from pixelmill.session import scratch_dir
+from pixelmill.sources.logs import eval_rows, loss_rows, read_run_logs
 
 SIZE = (H, W)
 
@@ -34,14 +35,22 @@ def _round(df, f, *cols):
     return df.withColumns({c: f(F.col(c)) for c in cols})
 
 
+def _log_files(spark, sf):
+    """The log lines as text files, one folder per run."""
+    path = scratch_dir(spark, "logs")
+    lines = eval_log(spark, sf).repartitionByRange("arm", "step").sortWithinPartitions("arm", "step")
+    lines.select(F.col("line").alias("value"), "arm").write.partitionBy("arm").text(path)
+    return read_run_logs(spark, f"{path}/arm=*/*")
+
+
 @query("S7", f"WITH {EVALS} SELECT * FROM evals")
 def parsed_eval_log(spark, sf):
-    return _evals(spark, sf)
+    return eval_rows(_log_files(spark, sf))
 
 
 @query("S7", f"WITH {EVALS} SELECT * FROM losses")
 def parsed_loss_log(spark, sf):
-    return loss_rows(eval_log(spark, sf))
+    return loss_rows(_log_files(spark, sf))
 
 
 @query(

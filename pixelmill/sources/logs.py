@@ -44,3 +44,12 @@ def read_eval_log(spark: SparkSession, path: str, arm: str) -> tuple[DataFrame,
         F.lit(arm).alias("arm"), "line_no", F.col("line")
     )
     return eval_rows(lines), loss_rows(lines)
+
+
+def read_run_logs(spark: SparkSession, path: str, folder: str = r"([^/=]+)/[^/]+$") -> DataFrame:
+    """(arm, line_no, line) of many runs; the arm is the name of a log's folder.
+
+    Part files of one run count on in name order, so a log of any size may be in many files.
+    """
+    arm = F.url_decode(F.regexp_extract("path", folder, 1))
+    return read_lines(spark, path, group=arm).select(arm.alias("arm"), "line_no", "line")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.sources.text import read_lines
@@ -36,20 +36,13 @@ def read_manifest(spark: SparkSession, path: str | list[str], dataset: str) -> D
     A split is ``<split>.txt`` or a folder ``<split>.txt/`` of ordered part files. Blank
     lines are skipped and not counted; line_no starts at 1 per split.
     """
-    lines = read_lines(spark, path).filter(F.trim("line") != "")
     split = F.regexp_extract("path", r"([^/]+)\.txt(?:/[^/]*)?$", 1)
-    per_file = Window.partitionBy("path").orderBy("line_no")
-    lines = lines.withColumns({"split": split, "_i": F.row_number().over(per_file)})
-    # Few files per split: their line counts, summed in name order, give the offsets.
-    files = lines.groupBy("split", "path").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("split").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("split", "path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    out = lines.join(offsets, ["split", "path"])
-    out = parse_frame_name(out.withColumn("_l", F.trim("line")), "_l")
+    lines = read_lines(spark, path, skip_blank=True, group=split).withColumn("split", split)
+    out = parse_frame_name(lines.withColumn("_l", F.trim("line")), "_l")
     return out.select(
         F.lit(dataset).alias("dataset"),
         "split",
-        (F.col("_i") + F.col("_o")).cast("bigint").alias("line_no"),
+        "line_no",
         "base",
         "set_id",
         "src",

@@ -52,3 +52,29 @@ def test_logs_and_metadata_and_inventory(spark, tmp_path):
     (tmp_path / "ds" / "train" / "004" / "rgb" / "0001_00_front.png").write_bytes(b"x")
     inv = tables.inventory(spark, str(tmp_path / "ds"))
     assert tuple(inv.first()) == ("train", 4, "rgb", "0001_00_front")
+
+
+def test_line_numbers_of_files_read_in_splits(spark, tmp_path):
+    from pixelmill.sources.text import read_lines
+
+    lines = [f"line {i} " + "x" * (i * 37 % 90) if i % 11 else " " * (i % 2) for i in range(700)]
+    (tmp_path / "train.txt").mkdir()
+    for part, some in (("part-0", lines[:500]), ("part-1", lines[500:])):
+        (tmp_path / "train.txt" / part).write_text("\r\n".join(some) + "\n" * (part == "part-0"))
+    (tmp_path / "val.txt").write_text("\n".join(lines[:9]))
+    old = [spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = read_lines(spark, str(tmp_path / "train.txt"))
+        assert spark.read.text(str(tmp_path / "train.txt")).rdd.getNumPartitions() >= 8
+        got = {(r["path"][-6:], r["line_no"]): r["line"] for r in df.collect()}
+        want = {("part-0", i + 1): x for i, x in enumerate(lines[:500])} | {("part-1", i + 1): x for i, x in enumerate(lines[500:])}
+        assert got == want
+        rows = manifests.read_manifest(spark, str(tmp_path / "*.txt"), "d").collect()
+        full = [x for x in lines if x.strip()]
+        assert {r["line_no"]: r["base"] for r in rows if r["split"] == "train"} == {i + 1: x.strip() for i, x in enumerate(full)}
+        assert sorted(r["line_no"] for r in rows if r["split"] == "val") == list(range(1, 9))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])

@@ -23,6 +23,8 @@ def local_session(cores: int | str = 8, app: str = "pixelmill", **conf) -> Spark
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # checkpoint files go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)

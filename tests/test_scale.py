@@ -23,3 +23,22 @@ def test_tasks_grow_with_the_number_of_frames(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fixtures, "PER_TASK", 10)
     spark.range(400).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     assert fixtures.pixels(spark, str(tmp_path)).rdd.getNumPartitions() == 40
+
+
+@pytest.mark.parametrize(
+    "name",
+    "drop_small edge_profile blob_shape width_of_nearest_ridge recall_by_property classify_fp_modes "
+    "boundary_band_errors ring_median mask_nearest halo_split gate_isolation".split(),
+)
+def test_pixels_are_not_shuffled_between_steps(spark, name):
+    # steps that built on each other sent whole pixel rows through an exchange, and a semi-join
+    # with a list of pixels was broadcast; what is exchanged has to be ids or sums
+    plan = REGISTRY[name].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "MapInArrow" in line:
+            below = [lines[j] for j in range(i + 1, len(lines)) if depth[j] > depth[i]]
+            assert not any("MapInArrow" in b for b in below)
+            assert not any("Exchange" in b and "REPARTITION_BY_NUM" not in b for b in below)
+    assert not any("Join" in line and "y#" in line for line in lines)

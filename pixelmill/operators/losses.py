@@ -47,19 +47,25 @@ def softmax_argmax(df: DataFrame, logits: str = "logits", classes: int = 3) -> D
     return df.withColumns({"prob": softmax(logits, classes), "pred": argmax(logits)})
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda u, v: u + v)
+def tta_merge(passes: Sequence[DataFrame], keys=("frame_id", "y", "x"), classes: int = 3) -> DataFrame:
+    """Add the logits of several passes that were mapped back to one pixel grid.
 
-
-def tta_merge(passes: Sequence[DataFrame], keys=("frame_id", "y", "x")) -> DataFrame:
-    """Add the logits of several passes that were mapped back to one pixel grid."""
-    out = passes[0].select(*keys, "logits")
-    for p in passes[1:]:
-        other = p.select(*keys, F.col("logits").alias("_l"))
-        out = out.join(other.hint("merge"), list(keys)).select(
-            *keys, _add(F.col("logits"), F.col("_l")).alias("logits")
-        )
-    return out.withColumn("pred", argmax("logits"))
+    A pass has one row per pixel. Passes are laid together and grouped, not joined: that needs
+    no exchange if they are partitioned by frame.
+    """
+    rows = None
+    for i, p in enumerate(passes):
+        part = p.select(*keys, F.lit(i).alias("_p"), *[F.get("logits", k).alias(f"_l{k}") for k in range(classes)])
+        rows = part if rows is None else rows.unionByName(part)
+    at = [F.col("_p") == i for i in range(len(passes))]
+    found = rows.groupBy(*keys).agg(
+        *[F.max(F.when(own, F.col(f"_l{k}"))).alias(f"_l{i}_{k}") for i, own in enumerate(at) for k in range(classes)],
+        *[F.max(own).alias(f"_has{i}") for i, own in enumerate(at)],
+    )
+    for i in range(len(passes)):
+        found = found.filter(F.col(f"_has{i}"))
+    logits = F.array(*[_total([F.col(f"_l{i}_{k}") for i in range(len(passes))]) for k in range(classes)])
+    return found.select(*keys, logits.alias("logits")).withColumn("pred", argmax("logits"))
 
 
 def overlap_merge(windows: DataFrame, classes: int) -> DataFrame:

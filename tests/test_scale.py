@@ -42,3 +42,10 @@ def test_pixels_are_not_shuffled_between_steps(spark, name):
             assert not any("MapInArrow" in b for b in below)
             assert not any("Exchange" in b and "REPARTITION_BY_NUM" not in b for b in below)
     assert not any("Join" in line and "y#" in line for line in lines)
+
+
+def test_passes_are_merged_without_an_exchange_of_pixels(spark):
+    # the join exchanged every pixel of both passes
+    plan = REGISTRY["tta_merge"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "y#" in line for line in plan.splitlines())
+    assert "Join" not in plan

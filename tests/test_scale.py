@@ -49,3 +49,10 @@ def test_passes_are_merged_without_an_exchange_of_pixels(spark):
     plan = REGISTRY["tta_merge"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange" in line and "y#" in line for line in plan.splitlines())
     assert "Join" not in plan
+
+
+def test_small_clouds_are_compared_without_an_exchange(spark):
+    # the tree wrote points to checkpoints and exchanged them in each of its rounds
+    plan = REGISTRY["nearest_point"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in plan
+    assert not any("Exchange" in line and "REPARTITION_BY_NUM" not in line for line in plan.splitlines())

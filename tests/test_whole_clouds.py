@@ -66,3 +66,28 @@ def test_z_buffer_keeps_its_minimum_in_place(spark):
     # no id comes first, as in any order of Spark
     assert got == {0: (None, 0), 1: (-(2**31), 1)}
     assert "SortAggregate" not in plan(out)
+
+
+def test_boxes_and_ranges_sort_a_frame_once(spark):
+    from pyspark.sql import functions as F
+
+    from pixelmill.operators import compare, windows
+
+    rnd = random.Random(3)
+    v = {(f, y, x): rnd.choice((None, 0.0, 1.5, 7.0)) for f in range(2) for y in range(6) for x in range(9) if rnd.random() < 0.9}
+    px = spark.createDataFrame([(*k, c) for k, c in v.items()], "frame_id bigint, y int, x int, v double")
+    near = {
+        k: [v[n] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (n := (k[0], k[1] + dy, k[2] + dx)) in v and v[n] is not None] for k in v
+    }
+    ranges = windows.local_range(px, F.col("v"), 3)
+    sums = windows.box_sums(px, {"s": F.col("v"), "n": F.lit(1)}, 3, (6, 9), "clip")
+    for r in ranges.collect():
+        some = near[r["frame_id"], r["y"], r["x"]]
+        assert r["range"] == (max(some) - min(some) if some else None)
+    for r in sums.collect():
+        some = near[r["frame_id"], r["y"], r["x"]]
+        assert r["s"] == (sum(some) if some else None)
+    sharp = compare.new_sharp_edges(px, F.col("v"), F.col("v") * 2, F.col("x") > 2)
+    for out in (ranges, sums, sharp):
+        first = plan(out).split("Initial Plan")[0]
+        assert first.count(" Sort [") <= 1 and "Join" not in first

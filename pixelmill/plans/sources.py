@@ -141,25 +141,32 @@ def object_manifest(spark, sf):
 
 
 def _encode_clouds(df):
-    """(set_id, sample_id, kind, content): .npy bytes per cloud, as a file would hold them."""
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        bad = int(pdf.sample_id.iloc[0]) % 17 == 3
-        out = []
-        for kind, a in (
-            ("pcl", pdf[["px", "py", "pz"][: 2 if bad else 3]].to_numpy("float32")),
-            ("seg", pdf.label.to_numpy("int8")),
-        ):
-            buf = io.BytesIO()
-            np.save(buf, a)
-            out.append((pdf.set_id.iloc[0], pdf.sample_id.iloc[0], kind, buf.getvalue()))
-        return pd.DataFrame(out, columns=["set_id", "sample_id", "kind", "content"])
-
-    cols = df.select("set_id", "sample_id", "point_id", "px", "py", "pz", "label")
-    return cols.groupBy("set_id", "sample_id").applyInPandas(
-        encode, "set_id int, sample_id bigint, kind string, content binary"
-    )
+    """(set_id, sample_id, content, seg): .npy bytes per cloud, as two files would hold them."""
+
+    def npy(a) -> bytes:
+        buf = io.BytesIO()
+        np.save(buf, a)
+        return buf.getvalue()
+
+    def encode(batches):
+        for batch in batches:
+            out = []
+            for s, n, *axes, label in zip(batch.set_id, batch.sample_id, batch.px, batch.py, batch.pz, batch.label):
+                a = np.stack(axes[: 2 if n % 17 == 3 else 3], axis=1).astype("float32")
+                out.append((s, n, npy(a), npy(np.asarray(label, dtype="int8"))))
+            yield pd.DataFrame(out, columns=["set_id", "sample_id", "content", "seg"])
+
+    cols = ["px", "py", "pz", "label"]
+    # a file holds its whole cloud
+    per = df.groupBy("set_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("point_id", *cols))).alias("p"))
+    per = per.select("set_id", "sample_id", *[F.col(f"p.{c}").alias(c) for c in cols])
+    return per.mapInPandas(encode, "set_id int, sample_id bigint, content binary, seg binary")
+
+
+def _cloud_files(spark, sf):
+    enc = _encode_clouds(points(spark, sf))
+    keys = ["set_id", "sample_id"]
+    return enc.select(*keys, "content"), enc.select(*keys, F.col("seg").alias("content"))
 
 
 @query(
@@ -168,8 +175,7 @@ def _encode_clouds(df):
     FROM pts WHERE sample_id % 17 <> 3 GROUP BY sample_id""",
 )
 def read_point_clouds(spark, sf):
-    enc = _encode_clouds(points(spark, sf))
-    pts, _ = clouds.labelled_points(enc.filter("kind = 'pcl'"), enc.filter("kind = 'seg'"))
+    pts, _ = clouds.labelled_points(*_cloud_files(spark, sf))
     k = F.col("point_id") + 1
     milli = sum(
         ((i + 1) * F.round(F.col(a) * 1000).cast("bigint") for i, a in enumerate(("px", "py", "pz"))),
@@ -184,8 +190,7 @@ def read_point_clouds(spark, sf):
 
 @query("S5", "SELECT count(*) FILTER (p_partkey % 17 = 3) AS skipped FROM part")
 def skipped_point_clouds(spark, sf):
-    enc = _encode_clouds(points(spark, sf))
-    return clouds.labelled_points(enc.filter("kind = 'pcl'"), enc.filter("kind = 'seg'"))[1]
+    return clouds.labelled_points(*_cloud_files(spark, sf))[1]
 
 
 @query(

@@ -64,22 +64,71 @@ def decode_labels(files: DataFrame) -> DataFrame:
     )
 
 
-def labelled_points(clouds: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points, skipped): clouds joined to their labels; ``skipped`` counts the samples
-    dropped for a bad file or different lengths, as one row."""
+def _pairs(clouds: DataFrame, labels: DataFrame) -> DataFrame:
+    """(set_id, sample_id, content, _seg): the files of samples that have both."""
     keys = ["set_id", "sample_id"]
-    p, q = decode_points(clouds), decode_labels(labels)
-    sizes = (
-        p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"), F.min("point_id").alias("_p0"))
-        .join(
-            q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"), F.min("point_id").alias("_q0")),
-            keys,
-        )
+    seg = labels.select(*keys, F.col("content").alias("_seg"))
+    return clouds.select(*keys, "content").join(seg, keys)
+
+
+def _both(content, seg) -> tuple[np.ndarray, np.ndarray] | None:
+    """Points and labels of a sample; None for a bad file or different lengths."""
+    a, q = _load(content), _load(seg)
+    fine = a is not None and q is not None and a.ndim == 2 and a.shape[1] == 3 and q.ndim == 1
+    return (a, q) if fine and len(a) == len(q) else None
+
+
+def labelled_points(clouds: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, skipped): clouds with their labels; ``skipped`` counts the samples
+    dropped for a bad file or different lengths, as one row.
+
+    The two files of a sample meet before they are read, so each is read once and points are
+    neither joined nor grouped. A file's points go out together, many small files in one batch.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held, size = [], 0
+            for s, n, content, seg in zip(batch.set_id, batch.sample_id, batch.content, batch._seg):
+                both = _both(content, seg)
+                if both is None:
+                    continue
+                held.append((s, n, *both))
+                size += len(both[0])
+                if size >= _ROWS:
+                    yield _rows(held)
+                    held, size = [], 0
+            if held:
+                yield _rows(held)
+
+    def faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = sum(_both(content, seg) is None for content, seg in zip(batch.content, batch._seg))
+            yield pd.DataFrame({"n": [n]})
+
+    points = _pairs(clouds, labels).mapInPandas(
+        decode, "set_id int, sample_id bigint, point_id int, px double, py double, pz double, label int"
+    )
+    bad = _pairs(clouds, labels).select("content", "_seg").mapInPandas(faults, "n bigint")
+    return points, bad.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("skipped"))
+
+
+#: Points that go out together.
+_ROWS = 1 << 16
+
+
+def _rows(held: list) -> pd.DataFrame:
+    size = np.array([len(a) for _, _, a, _ in held])
+    xyz = np.concatenate([a.astype("float64") for _, _, a, _ in held])
+    return pd.DataFrame(
+        {
+            "set_id": np.repeat([s for s, *_ in held], size),
+            "sample_id": np.repeat([n for _, n, *_ in held], size),
+            "point_id": np.arange(len(xyz)) - np.repeat(np.cumsum(size) - size, size),
+            "px": xyz[:, 0], "py": xyz[:, 1], "pz": xyz[:, 2],
+            "label": np.concatenate([q.astype("int32") for *_, q in held]),
+        }
     )
-    fine = (F.col("_np") == F.col("_nq")) & (F.col("_p0") == 0) & (F.col("_q0") == 0)
-    good = sizes.filter(fine).select(*keys)
-    points = p.join(q.hint("merge"), [*keys, "point_id"]).join(good, keys, "left_semi")
-    return points, sizes.agg(F.count_if(~fine).alias("skipped"))
 
 
 def _binary(spark: SparkSession, glob: str, pattern: str) -> DataFrame:

@@ -91,3 +91,26 @@ def test_boxes_and_ranges_sort_a_frame_once(spark):
     for out in (ranges, sums, sharp):
         first = plan(out).split("Initial Plan")[0]
         assert first.count(" Sort [") <= 1 and "Join" not in first
+
+
+def test_both_files_of_a_sample_are_read_once(spark):
+    import io
+
+    import numpy as np
+
+    from pixelmill.sources import clouds
+
+    def npy(a):
+        buf = io.BytesIO()
+        np.save(buf, a)
+        return buf.getvalue()
+
+    xyz = np.arange(12.0).reshape(4, 3)
+    pcl = [(1, 1, npy(xyz)), (1, 2, npy(xyz[:, :2])), (1, 3, npy(xyz)), (1, 4, b"no array"), (2, 5, npy(xyz)), (2, 6, npy(xyz))]
+    seg = [(1, i, npy(np.arange(3 if i == 3 else 4, dtype="int8"))) for i in (1, 2, 3, 4)] + [(2, 5, npy(np.arange(4)))]
+    kind = "set_id int, sample_id bigint, content binary"
+    points, skipped = clouds.labelled_points(spark.createDataFrame(pcl, kind), spark.createDataFrame(seg, kind))
+    got = sorted((r["sample_id"], r["point_id"], r["px"], r["label"]) for r in points.collect())
+    assert got == [(s, i, 3.0 * i, i) for s in (1, 5) for i in range(4)]
+    assert skipped.collect()[0]["skipped"] == 3
+    assert plan(points).split("Initial Plan")[0].count("MapInPandas") == 1

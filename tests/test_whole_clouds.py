@@ -114,3 +114,28 @@ def test_both_files_of_a_sample_are_read_once(spark):
     assert got == [(s, i, 3.0 * i, i) for s in (1, 5) for i in range(4)]
     assert skipped.collect()[0]["skipped"] == 3
     assert plan(points).split("Initial Plan")[0].count("MapInPandas") == 1
+
+
+def test_bind_to_edge_meets_in_one_visit(spark):
+    rnd = random.Random(5)
+    nodes = [(c, i, *(rnd.uniform(-1, 1) for _ in range(3))) for c in range(3) for i in range(6)] + [(0, 9, float("nan"), 0.0, 0.0)]
+    edges = [(c, i, i + 1) for c in range(2) for i in range(5)] + [(0, 5, 9), (1, 3, 77)]
+    rows = crowd(6, 3, 20)
+    at = {(c, i): xyz for c, i, *xyz in nodes}
+    want = {}
+    for c, i, _, *q in rows:
+        if q[0] != q[0]:
+            want[c, i] = (None, None)
+            continue
+        best = []
+        for s, a, b in edges:
+            if s == c and (s, b) in at and b != 9:
+                ev, pv = [y - x for x, y in zip(at[s, a], at[s, b])], [y - x for x, y in zip(at[s, a], q)]
+                t = max(0.0, min(1.0, sum(x * y for x, y in zip(pv, ev)) / max(sum(x * x for x in ev), 1e-12)))
+                best.append((sum((x - t * y) ** 2 for x, y in zip(pv, ev)), a, b))
+        if best:
+            want[c, i] = min(best)[1:]
+    n = spark.createDataFrame(nodes, "sample_id bigint, node_id int, nx double, ny double, nz double")
+    out = cloud.bind_to_edge(spark.createDataFrame(rows, POINTS), n, spark.createDataFrame(edges, "sample_id bigint, a int, b int"))
+    assert {(r["sample_id"], r["point_id"]): (r["a"], r["b"]) for r in out.collect()} == want
+    assert "Join" not in plan(out) and "checkpoint" not in plan(out).lower()

@@ -158,3 +158,9 @@ def test_dbscan_of_small_clouds_makes_no_rounds(spark):
     out = cloud.dbscan(spark.createDataFrame(rows, POINTS), eps, 3)
     assert {(r["sample_id"], r["point_id"]): r["cluster"] for r in out.collect()} == want
     assert "Join" not in plan(out)
+
+
+def test_a_task_makes_few_frames(spark):
+    from pixelmill.plans import fixtures
+
+    assert fixtures._tasks(spark, spark.range(5000)) >= 10
